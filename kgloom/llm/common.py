@@ -111,3 +111,12 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     if label is None:
         return both.select(F.col("a").alias("node"), F.col("a").alias("component"))
     return label.select("node", F.col("to").alias("component"))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
+def strings(values) -> Column:
+    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")

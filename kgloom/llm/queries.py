@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import license_scan, mixing, quality_rules
 
 
 def queries():
-    return {"op3_mixing": mixing.query}
+    return {"op1_license_scan": license_scan.query, "op3_mixing": mixing.query, "op7_quality_rules": quality_rules.query}
 
 
 def oracle_sql():
-    return {"op3_mixing": mixing.sql()}
+    return {"op1_license_scan": license_scan.sql(), "op3_mixing": mixing.sql(), "op7_quality_rules": quality_rules.sql()}
