@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, quality_rules
+from . import context_tree, license_scan, mixing, quality_classifier, quality_rules
 
 
 def queries():
-    return {"op1_license_scan": license_scan.query, "op3_mixing": mixing.query, "op7_quality_rules": quality_rules.query}
+    return {
+        "op1_license_scan": license_scan.query, "op2_quality_classifier": quality_classifier.query, "op3_mixing": mixing.query, "op7_quality_rules": quality_rules.query,
+        "op8_lm_scoring": context_tree.query,
+    }
 
 
 def oracle_sql():
