@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, context_tree, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules
+from . import chat, context_tree, embedding_dedup, license_scan, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules
 
 
 def queries():
     return {
         "op1_license_scan": license_scan.query, "op2_quality_classifier": quality_classifier.query, "op3_mixing": mixing.query,
-        "op4_chat_formatting": chat.query, "op6_ngram_jaccard_join": ngram_join.query, "op7_quality_rules": quality_rules.query, "op8_lm_scoring": context_tree.query,
-        "op10_packing": packing.query,
+        "op4_chat_formatting": chat.query, "op5_embedding_dedup": embedding_dedup.query,
+        "op6_ngram_jaccard_join": ngram_join.query, "op7_quality_rules": quality_rules.query, "op8_lm_scoring": context_tree.query,
+        "op9_line_dedup": line_dedup.query, "op10_packing": packing.query,
     }
 
 
 def oracle_sql():
-    return {"op1_license_scan": license_scan.sql(), "op3_mixing": mixing.sql(), "op4_chat_formatting": chat.sql(), "op7_quality_rules": quality_rules.sql()}
+    return {"op1_license_scan": license_scan.sql(), "op3_mixing": mixing.sql(), "op4_chat_formatting": chat.sql(), "op7_quality_rules": quality_rules.sql(), "op9_line_dedup": line_dedup.sql()}
