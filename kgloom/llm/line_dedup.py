@@ -135,7 +135,11 @@ def dedup(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     found = _per_document(removals(docs.select("doc_id", "text"), num, den))
     keyed = docs.withColumn("r_key", F.xxhash64("text"))
     out = keyed.join(found, keyed["doc_id"].eqNullSafe(found["r_doc_id"]) & (keyed["r_key"] == found["r_text_key"]), "left")
-    out = out.withColumn("text", F.when(F.col("removed").isNotNull(), let(lines, lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("removed")), lambda i: F.get(ls, i)), "\n"))).otherwise(F.col("text")))
+
+    def without(lines: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")), lambda i: F.get(lines, i)), "\n")
+
+    out = out.withColumn("text", F.when(F.col("removed").isNotNull(), let(F.split("text", "\n", -1), without)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("removed").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
