@@ -1,0 +1,337 @@
+"""Each operator against a brute-force version, with nulls, empties, ties, repeated rows and empty tables."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kgloom.llm import chat, context_tree, embedding_dedup, license_scan, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules
+from kgloom.llm.common import components
+
+
+def words(t):
+    return (t or "").encode().lower().split()
+
+
+def groups(nodes, linked):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 30)] + [(40, 41), (41, 42), (50, 50), (None, 3), (42, 40)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 1 for i in range(1, 31)}, 40: 40, 41: 40, 42: 40}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_license_scan(spark, corpus, empty):
+    got = license_scan.scan(corpus).collect()
+    assert len(got) == corpus.count() and license_scan.scan(empty).count() == 0
+    for r in got:
+        w = re.findall(license_scan.WORD, "".join(c.lower() if c.isascii() else c for c in r.text or ""))
+        places = sorted((label, i) for label, p in license_scan.PHRASES for i in range(len(w)) if tuple(w[i : i + len(p)]) == p)
+        assert sorted((p.label, p.start) for p in r.license.places) == places and r.license.n_words == len(w)
+        blocks = set()
+        for k, line in enumerate((r.text or "").split("\n")):
+            own = set(re.findall(license_scan.WORD, line.lower()))
+            blocks |= {(k, label) for label, t in license_scan.TEMPLATES if 10 * len(own & set(t.split())) >= 9 * len(set(t.split()))}
+        assert {(b.block, b.label) for b in r.license.blocks} == blocks
+
+
+def test_quality_classifier(spark, corpus, empty):
+    rows = [(i, f"good plain words number {i % 7} here" if i % 2 else f"bad!! *** junk!! {i % 7}") for i in range(400)]
+    docs = spark.createDataFrame([*rows, (None, None), (1000, ""), (1000, "")], "doc_id bigint, text string").withColumn("quality_score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(None, 1), (5, None), (7, 9)], "doc_id bigint, quality int")
+    model = quality_classifier.train(docs, labels)
+    got = quality_classifier.classify(docs, model).collect()
+    held = [r for r in got if r.doc_id is not None and r.doc_id < 400 and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert np.mean([(r.quality_score >= 0.5) == bool(r.doc_id % 2) for r in held]) > 0.97
+    assert len(got) == 403 and all(0 <= r.quality_score <= 1 for r in got)
+    assert quality_classifier.classify(empty, model).count() == 0
+    none = quality_classifier.train(empty, labels.where("false"))
+    assert {r.quality_score for r in quality_classifier.classify(docs, none).collect()} == {0.5}
+
+
+def test_mixing(spark, corpus, empty):
+    got = mixing.with_copies(corpus).collect()
+    assert len(got) == corpus.count() and mixing.with_copies(empty).count() == 0
+    size = defaultdict(int)
+    for r in got:
+        assert r.mix_size == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        size[r.source] += r.mix_size
+    names = sorted(size, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, open_, left = {}, set(names), 1.5 * sum(size.values())
+    while open_:  # reshares by weight until no target is above its cap
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * size[s]}
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 2.0 * size[s]
+            left -= target[s]
+        open_ -= over
+    for r in got:
+        assert math.isclose(r.mix_target, target[r.source]) and r.mix_copies <= 2
+    assert mixing.mix(corpus).count() == sum(r.mix_copies for r in got)
+    assert mixing.mix(corpus).columns == corpus.columns
+
+
+@pytest.mark.parametrize("sources", [1, 4])
+def test_mixing_comes_near_its_targets(spark, sources):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), (F.col("id") % sources).cast("string").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")).alias("text"))
+    per = mixing.with_copies(docs).groupBy("source").agg(F.sum(F.col("mix_size") * F.col("mix_copies")).alias("taken"), F.first("mix_target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) < 0.05 * r.target for r in per)
+
+
+def test_chat(spark):
+    rows = [
+        (1, 0, 0, "message", "user", "hi"), (1, 1, 1, "message", "assistant", "He"), (1, 1, 2, "delta", None, "llo"), (1, 1, 5, "regenerate", None, None), (1, 1, 6, "delta", None, "Good "), (1, 1, 7, "delta", None, "day"),
+        (1, 0, 3, "edit", None, "hi <there>"), (2, 0, 0, "message", None, None), (2, 1, 1, "message", "assistant", chat.TRAP), (2, 1, 1, "message", "assistant", chat.TRAP), (None, None, None, None, "user", "x\\l\"y"),
+    ]
+    events = spark.createDataFrame(rows, "conv_id bigint, message bigint, seq bigint, kind string, role string, text string").withColumn("formatted", F.lit(1))
+    out = chat.format_chats(events)
+    by = defaultdict(list)
+    for r in sorted(out.collect(), key=lambda r: (r.conv_id or -1, r.message or 0, r.part)):
+        by[r.conv_id] += chat.parse(r.formatted)
+        assert chat.unescape(r.formatted[r.loss_start : r.loss_end]) == (chat.parse(r.formatted)[0][1] if chat.parse(r.formatted)[0][0] == "assistant" else "")
+    assert by == {1: [("user", "hi <there>"), ("assistant", "Good day")], 2: [("", ""), ("assistant", chat.TRAP), ("assistant", chat.TRAP)], None: [("user", "x\\l\"y")]}
+    digests = {r.conv_id: r for r in chat.read_back(out).collect()}
+    assert digests[2].loss_sha256 == hashlib.sha256((chat.TRAP * 2).encode()).hexdigest() and digests[2].n_turns == 3
+    assert chat.read_back(chat.format_chats(events.where("false"))).count() == 0
+    with pytest.raises(ValueError):
+        chat.parse("plain")
+
+
+def test_chat_escape_round_trip():
+    from hypothesis import given
+    from hypothesis import strategies as st
+
+    @given(st.lists(st.tuples(st.text(), st.text())))
+    def check(turns):
+        assert chat.parse("".join(chat.render(r, t)[0] for r, t in turns)) == turns
+
+    check()
+
+
+def test_embedding_dedup(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((400, 32))
+    near = base[:60] + 0.05 * rng.standard_normal((60, 32))
+    hot = base[0] + 0.02 * rng.standard_normal((80, 32))
+    vectors = np.concatenate([base, near, hot, base[5:6], base[5:6]])
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(9001, None), (9002, []), (9003, [0.0] * 32), (9004, [float("nan")] * 32), (9005, [1.0, None]), (9006, [1e300, 1e300]), (9007, [3e300, 3e300])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("n_links_note", F.lit(0))
+    old, embedding_dedup.BLOCK_ROWS = embedding_dedup.BLOCK_ROWS, 16  # so that large directions are split
+    try:
+        got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    finally:
+        embedding_dedup.BLOCK_ROWS = old
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    found = sum(got[i].n_links for i in range(len(u)))
+    assert all(got[i].n_links <= links[i].sum() for i in range(len(u))) and found >= 0.97 * links.sum()
+    assert got[400].component_id == 0 and not got[400].kept and got[0].kept
+    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(9001, 9006))
+    assert got[9006].n_links == 1 and got[9007].component_id == 9006
+    assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80)])
+def test_ngram_join(spark, corpus, empty, width, num):
+    rows = corpus.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()
+    sets = {}
+    for r in rows:
+        w = words(r.text)
+        sets[r.doc_id] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+    ids = sorted(sets)
+    linked = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    want = groups(ids, linked)
+    got = ngram_join.near_duplicates(corpus, width, num, 100).collect()
+    assert len(got) == corpus.count() and len(linked) > 5
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want[r.doc_id])
+    assert [r.component_id for r in got if r.doc_id is None] == [want[5]]
+    assert ngram_join.near_duplicates(empty, width, num, 100).count() == 0
+
+
+def test_ngram_signatures_meet():
+    """Any two sets that are similar enough share an index entry, in every band and near its edges."""
+    rng = np.random.default_rng(1)
+    for counts in (None, {k: 10**9 for k in range(80)}):
+        cut = ngram_join.bands(90, 100, counts)
+        highs = np.array([b.high for b in cut])
+        for _ in range(400):
+            n = int(rng.integers(9, 600))
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            drop = int(rng.integers(0, n // 10 + 1))
+            b = np.unique(np.concatenate([a[rng.permutation(len(a))[drop:]], rng.integers(0, 2**63, int(rng.integers(0, n // 10 + 1))).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both < 90 * (len(a) + len(b) - both):
+                continue
+
+            def entries(s):
+                own = int(np.searchsorted(highs, len(s)))
+                found = [ngram_join.signatures(s, own, cut, 90, 100)]
+                if own and -(-90 * len(s) // 100) <= cut[own - 1].high:
+                    found.append(ngram_join.signatures(s, own - 1, cut, 90, 100))
+                return np.concatenate(found)
+
+            assert len(np.intersect1d(entries(a), entries(b))) or len(a) == len(b) == both
+
+
+def test_quality_rules(spark, corpus, empty):
+    got = quality_rules.judge(corpus).collect()
+    assert len(got) == corpus.count() and quality_rules.judge(empty).count() == 0
+    for r in got:
+        t, q = r.text or "", r.quality
+        w = words(r.text) if r.text and r.text.isascii() else t.replace(" ", "_").split()
+        seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        inside = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        lines = [x for x in t.split("\n") if x.strip(" \t\r\x0b\x0c")]
+        assert (q.n_words, q.n_repeat_words, q.n_dup_lines) == (len(w), len(inside), len(lines) - len(set(lines)))
+        assert q.n_symbols == sum(c in "#*$%&|<>" for c in t) and q.word_chars == sum(map(len, w)) if r.text is None or not r.text.isascii() else True
+        assert q.base_failed == (len(w) < 20 or 100 * len(inside) > 30 * len(w)) and (not q.kept or not q.base_failed)
+
+
+def test_context_tree_is_a_distribution_and_learns(spark, corpus, empty):
+    keys = context_tree.gram_keys(np.frombuffer(b"abracadabra abracadabra", np.uint8), np.array([0, 12, 23]))
+    k, n = np.unique(keys, return_counts=True)
+    table = context_tree.fit_tree(k, n).reshape(-1, 256)
+    assert np.allclose((10.0 ** table.astype(float)).sum(1), 1, atol=1e-4)
+    assert 10.0 ** table.ravel()[keys].mean() > 3 / 256
+
+
+def test_context_tree_against_plain_recursion():
+    """The mixture along a path equals the ratio of weighted probabilities of the tree with and without one more symbol."""
+    data = b"the cat the dog the cat"
+    keys = context_tree.gram_keys(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+
+    def weighted(symbols):
+        node = defaultdict(lambda: [0, 0])
+        for ctx, byte in symbols:
+            for d in range(context_tree.DEPTH + 1):
+                own = ctx & ((1 << (5 * d)) - 1)
+                for bit in range(8):
+                    node[d, own, (1 << bit) | (byte >> (8 - bit))][(byte >> (7 - bit)) & 1] += 1
+
+        def kt(a, b):
+            return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+        kids = defaultdict(set)
+        for d, own, x in node:
+            if d:
+                kids[d - 1, own & ((1 << (5 * (d - 1))) - 1), x].add((d, own, x))
+
+        def log_w(key):
+            own = kt(*node[key])
+            if key[0] == context_tree.DEPTH:
+                return own
+            below = sum(log_w(c) for c in kids[key])
+            return np.logaddexp(own, below) - math.log(2)
+
+        return sum(log_w(key) for key in list(node) if key[0] == 0)
+
+    train = [(int(k) >> 8, int(k) & 255) for k in keys]
+    k, n = np.unique(keys, return_counts=True)
+    table = context_tree.fit_tree(k, n)
+    for ctx, byte in train[:6] + [(train[3][0], ord("z"))]:
+        want = (weighted(train + [(ctx, byte)]) - weighted(train)) / math.log(10)
+        # unseen contexts at depth have no node yet; their estimate of one half is what the tree adds
+        assert abs(table[(ctx << 8) | byte] - want) < 1e-3
+
+
+def test_lm_scoring(spark, corpus, empty):
+    rows = corpus.collect()
+    model = context_tree.train(corpus.where("doc_id % 2 = 0"))
+    counted = Counter(w for r in rows if r.doc_id is not None and r.doc_id % 2 == 0 for w in [*words(r.text), None])
+    total, distinct = sum(counted.values()), len(counted)
+    old, model.hot = model.hot, tuple(x[:20] for x in model.hot)  # so that most words go through the join
+    got = context_tree.score(corpus, model).collect()
+    model.hot = old
+    assert len(got) == len(rows) and model.total == total and model.distinct == distinct
+    key = lambda r: (r.doc_id is None, r.doc_id, r.source or "")
+    for r, g in zip(sorted(rows, key=key), sorted(got, key=key), strict=True):
+        own = [*words(r.text), None]
+        base = sum(math.log10((counted[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in own)
+        assert (g.lm.n_tokens, g.lm.n_known) == (len(own), sum(counted[w] > 0 for w in own)) and math.isclose(g.lm.base_score, base, rel_tol=1e-9)
+    assert context_tree.score(empty, model).count() == 0
+    blank = context_tree.train(empty)
+    assert all(r.lm.n_known == 0 and r.lm.train_tokens == 0 for r in context_tree.score(corpus, blank).collect())
+
+
+def test_line_dedup(spark, corpus, empty):
+    rows = sorted({(r.doc_id, r.text) for r in corpus.collect() if r.text is not None}, key=lambda x: (x[0] is not None, x[0]))
+    lines = [((i, k), line, set(line.lower().split())) for i, (_, t) in enumerate(rows) for k, line in enumerate(t.split("\n"))]
+    lines = [x for x in lines if len(x[2]) >= line_dedup.MIN_WORDS]
+    gone = {a for a, _, sa in lines for b, _, sb in lines if b < a and 10 * len(sa & sb) >= 8 * len(sa | sb)}
+    got = {(r.doc_id, r.text_key, r.line) for r in line_dedup.removals(corpus).collect()}
+    keys = {(r.doc_id, r.text): r.k for r in corpus.select("doc_id", "text", F.xxhash64("text").alias("k")).collect()}
+    assert got == {(rows[i][0], keys[rows[i]], k) for i, k in gone} and len(gone) > 10
+    out = line_dedup.dedup(corpus)
+    assert out.columns == corpus.columns and out.count() == corpus.count() and line_dedup.dedup(empty).count() == 0
+    index = {r: i for i, r in enumerate(rows)}
+    want = Counter((r.doc_id, None if r.text is None else "\n".join(x for k, x in enumerate(r.text.split("\n")) if (index[r.doc_id, r.text], k) not in gone)) for r in corpus.collect())
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == want
+
+
+def test_packing(spark, corpus, empty):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = corpus.collect()
+    pieces = packing.pack(corpus, length=64).collect()
+    ids = lambda t: [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+    by = defaultdict(list)
+    for p in pieces:
+        by[p.sequence_id].append(p)
+    for own in by.values():
+        own.sort(key=lambda p: p.offset)
+        ends = np.cumsum([len(p.ids) // 4 for p in own])
+        assert [p.offset for p in own] == [0, *ends[:-1]] and ends[-1] <= 64 and ends[-1] & (ends[-1] - 1) == 0
+    whole = Counter()
+    for r in rows:
+        whole[r.doc_id] += len(ids(r.text))
+    got = Counter()
+    for p in pieces:
+        got[p.doc_id] += len(p.ids) // 4
+    assert whole == got
+    texts = {r.doc_id: ids(r.text) for r in rows}
+    for p in pieces:
+        assert np.frombuffer(p.ids, "<u4").tolist() == texts[p.doc_id][p.start : p.start + len(p.ids) // 4] and p.doc_tokens == len(texts[p.doc_id])
+    assert packing.pack(empty).count() == 0
+
+
+def test_packing_encoder_matches_the_tokenizer():
+    import public_tokenizers as P
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    tok, encode = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.public_encoder()
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(alphabet=st.sampled_from(list("ab1 .,'!\n\t é☃sI"))) | st.text())
+    def check(t):
+        assert encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+    check()
