@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE_WORD, components, discard, stage, table
+from .common import SPACE_WORD, components, discard, let, stage, table
 from .textcols import chain, mix64, text_chunks, tokens
 
 BAND_RATIO = 1.5
@@ -182,7 +182,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SPACE_WORD))
     edges = [b.high for b in bands(num, den)]
     upto = F.array(*[F.lit(e).cast("long") for e in edges])
-    rough = F.size(F.filter(upto, lambda e: e < F.greatest(n_words - (width - 1), F.lit(1)).cast("long")))
+    # bound once: inside the inner lambda the words would be counted for every edge
+    rough = let(F.greatest(n_words - (width - 1), F.lit(1)).cast("long"), lambda n: F.size(F.filter(upto, lambda e: e < n)))
     measured = {r["band"]: r["n"] for r in docs.groupBy(rough.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()}
     cut = bands(num, den, measured)
     highs = np.array([b.high for b in cut])
