@@ -34,6 +34,8 @@ BAND_RATIO = 1.5
 VERIFY_COST = 20
 BLOOM_BITS = 26
 MAX_SIZE = 1 << 40
+#: Longs of a set's parity bitmap: two sets differ in at least as many members as their bitmaps do in bits.
+PARITY = 16
 
 
 @dataclass(frozen=True)
@@ -126,6 +128,21 @@ def shingle_sets(column: pa.Array, width: int):
             yield np.unique(chain(own, width)) if len(own) >= width else mix64(chain(own, len(own)) + np.uint64(len(own))) if len(own) else own
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_be_similar(num: int, den: int):
+    """A condition on a_size, b_size, a_bits, b_bits that every similar pair meets."""
+    sa, sb = F.col("a_size"), F.col("b_size")
+    least = F.ceil((sa + sb) * num / (num + den) - 1e-9)
+    apart = F.bit_count(F.col("a_bits")[0].bitwiseXOR(F.col("b_bits")[0]))
+    for i in range(1, PARITY):
+        apart = apart + F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i]))
+    return (den * F.least(sa, sb) >= num * F.greatest(sa, sb)) & (apart <= sa + sb - 2 * least)
+
+
 def digest(shingles: np.ndarray) -> int:
     return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -191,13 +208,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     def index(batches):
         done = set()
         for b in batches:
-            sizes, fps, sigs = [], [], []
+            sizes, fps, sigs, bits = [], [], [], []
             for s in shingle_sets(b.column("text"), width):
                 sizes.append(len(s))
                 fp = digest(s) if len(s) else None
                 fps.append(fp)
                 if fp is None or fp in done:
                     sigs.append(None)
+                    bits.append(None)
                     continue
                 done.add(fp)
                 own = int(np.searchsorted(highs, len(s)))
@@ -205,33 +223,47 @@ def near_duplicates(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
                 if own and -(-num * len(s) // den) <= cut[own - 1].high:
                     found.append(signatures(s, own - 1, cut, num, den))
                 sigs.append(np.unique(np.concatenate(found)).view(np.int64))
+                bits.append(parity(s))
             lens = np.cumsum([0] + [0 if s is None else len(s) for s in sigs])
             flat = np.concatenate([s for s in sigs if s is not None] or [np.zeros(0, np.int64)])
             out = b.select(plain)
             out = out.append_column("nd_size", pa.array(sizes, pa.int64())).append_column("nd_fp", pa.array(fps, pa.int64()))
+            out = out.append_column("nd_bits", pa.array(bits, pa.list_(pa.int64())))
             yield out.append_column("nd_sigs", pa.ListArray.from_arrays(pa.array(lens.astype(np.int32)), pa.array(flat)))
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*plain).schema.fields)
-    indexed = stage(docs.mapInArrow(index, f"{fields}nd_size bigint, nd_fp bigint, nd_sigs array<bigint>"), "indexed")
+    indexed = stage(docs.mapInArrow(index, f"{fields}nd_size bigint, nd_fp bigint, nd_bits array<bigint>, nd_sigs array<bigint>"), "indexed")
     entries = indexed.select(F.explode("nd_sigs").alias("sig"), F.col("nd_fp").alias("fp"))
-    # every member against the bucket's smallest: linear, whatever the bucket
+    # buckets that more than one set is in: a running minimum tells, and nothing is gathered
     ordered = Window.partitionBy("sig").orderBy("fp")
-    members = stage(entries.select("sig", "fp", F.first("fp").over(ordered).alias("hub")).where("fp <> hub").distinct(), "members")
-    links = _verified(docs, members.select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), width, num, den)
+    found = stage(entries.select("sig", "fp", F.first("fp").over(ordered).alias("least")).where("fp <> least").distinct(), "shared")
+    shared = stage(found.select("sig", "fp").union(found.select("sig", "least").distinct()), "members")
+    discard(found)
+    # every member against the bucket's most widely shared set, which is what copies have in common: linear, whatever the bucket
+    width_of = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    spread = shared.join(width_of, "sig").groupBy("fp").agg(F.sum("n").alias("spread"))
+    hubs = shared.join(spread, "fp").groupBy("sig").agg(F.max(F.struct("spread", "fp")).alias("top")).select("sig", F.col("top.fp").alias("hub"))
+    members = stage(shared.join(hubs, "sig").where("fp <> hub"), "hubs")
+    pairs = members.select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b")).distinct()
+    nodes = indexed.where("nd_bits IS NOT NULL").dropDuplicates(["nd_fp"])
+    na, nb = (nodes.select(F.col("nd_fp").alias(x), F.col("nd_size").alias(f"{x}_size"), F.col("nd_bits").alias(f"{x}_bits")) for x in "ab")
+    close = _may_be_similar(num, den)
+    pairs = stage(pairs.join(na, "a").join(nb, "b").where(close).select("a", "b"), "pairs")
+    links = _verified(docs, pairs, width, num, den)
     label = components(links)
     # buckets whose members are not yet all connected: only pairs across components are left to try
     la, lb = label.select(F.col("node").alias("fp"), F.col("component").alias("c")), label.select(F.col("node").alias("hub"), F.col("component").alias("hc"))
     marked = members.join(la, "fp", "left").join(lb, "hub", "left").select("sig", "fp", "hub", F.coalesce("c", "fp").alias("c"), F.coalesce("hc", "hub").alias("hc"))
     marked = stage(marked, "marked")
     mixed = marked.where("c <> hc").select("sig").distinct()
-    rest = marked.join(mixed, "sig", "left_semi")
-    # hub pairs were tried already
-    left, right = rest.select("sig", F.col("fp").alias("a"), F.col("c").alias("ca")), rest.select("sig", F.col("fp").alias("b"), F.col("c").alias("cb"))
-    more = left.join(right, "sig").where("a < b AND ca <> cb").select("a", "b").distinct()
+    rest = marked.join(mixed, "sig", "left_semi")  # without the hubs, whose pairs were tried
+    rest = rest.join(nodes.select(F.col("nd_fp").alias("fp"), F.col("nd_size").alias("size"), F.col("nd_bits").alias("bits")), "fp")
+    left, right = (rest.select("sig", F.col("fp").alias(x), F.col("c").alias(f"c{x}"), F.col("size").alias(f"{x}_size"), F.col("bits").alias(f"{x}_bits")) for x in "ab")
+    more = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
     more = stage(more, "more")
     if not more.isEmpty():
         label = components(links.union(_verified(docs, more, width, num, den)))
-    of = indexed.drop("nd_sigs").join(label.select(F.col("node").alias("nd_fp"), F.col("component").alias("nd_label")), "nd_fp", "left").withColumn("nd_label", F.coalesce("nd_label", "nd_fp"))
+    of = indexed.drop("nd_sigs", "nd_bits").join(label.select(F.col("node").alias("nd_fp"), F.col("component").alias("nd_label")), "nd_fp", "left").withColumn("nd_label", F.coalesce("nd_label", "nd_fp"))
     of = stage(of, "labelled")
     least = of.where("nd_label IS NOT NULL").groupBy("nd_label").agg(F.min("doc_id").alias("component_id"))
     return of.join(least, "nd_label", "left").select(*plain, F.col("nd_size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
