@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, let, table
+from .common import SPACE_WORD, let, stage, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -115,6 +115,9 @@ def fit(votes: DataFrame, rules=RULES, rounds: int = ROUNDS) -> tuple[float, lis
     return m["prior"], list(m["good"]), list(m["bad"])
 
 
+SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts")
+
+
 def judge(docs: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
     """docs plus the struct `quality`: the signals, votes, posterior, base_failed and kept.
 
@@ -122,9 +125,12 @@ def judge(docs: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
     one by one against the one model, so repeated rows agree; an empty
     table stays empty; other columns pass through.
     """
-    seen = docs.withColumn("quality_signals", signals(docs["text"]))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts"]
-    vote = F.array(*[F.expr(_in_struct(_vote_sql(r), names)) for r in rules])
+    return judge_signals(docs.withColumn("quality_signals", signals(docs["text"])), rules, rounds)
+
+
+def judge_signals(seen: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
+    """Like judge(), from a column quality_signals that signals() made."""
+    vote = F.array(*[F.expr(_in_struct(_vote_sql(r), SIGNALS)) for r in rules])
     prior, good, bad = fit(seen.select(vote.alias("v")), rules, rounds)
     seen = seen.withColumn("quality_votes", vote)
     odds = F.lit(math.log(prior / (1 - prior)))
@@ -138,7 +144,7 @@ def judge(docs: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
     return seen.withColumn("quality", quality).drop("quality_signals", "quality_votes")
 
 
-def _in_struct(sql: str, names: list[str]) -> str:
+def _in_struct(sql: str, names) -> str:
     return re.sub(r"\b(" + "|".join(names) + r")\b", r"quality_signals.\1", sql)
 
 
@@ -146,7 +152,10 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *[f"quality.{c}" for c in BASE])
+    docs = table(spark, sf_dir, "documents")
+    # the counts are read twice, by the estimation and by the verdicts; texts only once
+    seen = stage(docs.select("doc_id", signals(docs["text"]).alias("quality_signals")), "signals")
+    return judge_signals(seen).select("doc_id", *[f"quality.{c}" for c in BASE])
 
 
 def sql() -> str:
