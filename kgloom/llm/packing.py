@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ TERM_BITS = 18
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 SHARD_TOKENS = 1 << 21
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 19
 _RUN = re.compile(r"\s\s")
 
 
@@ -45,25 +46,43 @@ def byte_bpe(ranks_path: str, pattern: str) -> Callable[[str], np.ndarray]:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    class Known(dict):
-        def __missing__(self, word):
-            ids = np.array(encoding.encode_ordinary(" " + word), "<u4").tobytes()
-            if len(self) < CACHE_WORDS:
-                self[word] = ids
-            return ids
+    width = np.zeros(max(ranks.values()) + 1, np.int64)
+    width[list(ranks.values())] = [len(piece) for piece in ranks]
+    known: dict[str, bytes] = {}
 
-    known = Known()
+    def ids_of(text: str) -> bytes:
+        return np.array(encoding.encode_ordinary(text), "<u4").tobytes()
+
+    def learn(words: list[str]) -> None:
+        """Encodes new words in one go; no piece crosses the blank between two of them."""
+        ids = np.array(encoding.encode_ordinary(" " + " ".join(words)), "<u4")
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        cuts = [0, *(4 * (np.searchsorted(np.cumsum(width[ids]), ends) + 1)).tolist()]
+        flat = ids.tobytes()
+        known.update(zip(words, (flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
 
     def encode(text: str) -> np.ndarray:
         if _RUN.search(text):
             return np.array(encoding.encode_ordinary(text), "<u4")
         head, *rest = text.split(" ")
-        return np.frombuffer(np.array(encoding.encode_ordinary(head), "<u4").tobytes() + b"".join(map(known.__getitem__, rest)), "<u4")
+        new = set(rest).difference(known)
+        if new:
+            if len(known) + len(new) > CACHE_WORDS:
+                known.clear()
+                new = set(rest)
+            if "" in new:  # a blank at the end
+                new.remove("")
+                known[""] = ids_of(" ")
+            if new:
+                learn(list(new))
+        return np.frombuffer(ids_of(head) + b"".join(map(known.__getitem__, rest)), "<u4")
 
     return encode
 
 
+@cache
 def public_encoder(name: str = "byte_bpe_50k") -> Callable[[str], np.ndarray]:
+    """One encoder for each worker process, so what it remembers lasts from task to task."""
     import public_tokenizers as P
 
     return byte_bpe(P.path(f"{name}.tiktoken"), P.PATTERN)
