@@ -19,6 +19,8 @@ NUM, DEN = 8, 10
 MIN_WORDS = 5
 BUCKET_BITS = 16
 BLOOM_WORDS = 1 << 16
+#: Longs of the wide parity bitmap; a power of two.
+PARITY = 8
 
 
 def _table_literal(values) -> Column:
@@ -128,13 +130,33 @@ def _verified(docs: DataFrame, rank: Column, candidates: DataFrame, firsts: Data
     bloom = _table_literal(words.get(i, 0) for i in range(BLOOM_WORDS))
     word, one = bit(F.xxhash64("doc_id", "text_key", "line"))
     wanted = _lines(docs).where(F.get(bloom, word).bitwiseAND(one) != 0)
-    sets = _with_sets(wanted, rank, lambda t: F.struct(F.xxhash64(t).alias("sid"), F.size(t).alias("size"), t.alias("tokens"))).select("s.sid", "s.tokens")
-    sets = stage(sets.dropDuplicates(["sid"]), "sets")
-    pairs = candidates.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
+    def described(t: Column) -> Column:
+        wide = []
+        for k in range(PARITY):  # bit t mod 64 of the long that the next bits of t choose
+            wide.append(F.aggregate(t, F.lit(0).cast("long"), _flip(k)))
+        return F.struct(F.xxhash64(t).alias("sid"), F.size(t).alias("size"), F.array(*wide).alias("wide"), t.alias("tokens"))
+
+    sets = stage(_with_sets(wanted, rank, described).select("s.*").dropDuplicates(["sid"]), "sets")
+    # a wide parity bitmap first: whole sets travel only for pairs that it leaves
+    brief_a, brief_b = (sets.select(F.col("sid").alias(x), F.col("size").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
+    apart = F.lit(0)
+    for k in range(PARITY):
+        apart = apart + F.bit_count(F.col("wa")[k].bitwiseXOR(F.col("wb")[k]))
+    total = F.col("na") + F.col("nb")
+    left = candidates.join(brief_a, "a").join(brief_b, "b").where(apart <= total - 2 * _ceil(total, num, num + den)).select("a", "b")
+    pairs = left.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return stage(pairs.where(den * common >= num * (F.size("ta") + F.size("tb") - common)).select("a", "b"), "links")
 
 
+def _flip(k: int):
+    def step(a: Column, t: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+        return F.when(F.shiftright(t, 6).bitwiseAND(F.lit(PARITY - 1)) == k, a.bitwiseXOR(bit)).otherwise(a)
+
+    return step
+
+
 def _per_document(removed: DataFrame) -> DataFrame:
     return removed.groupBy(F.col("doc_id").alias("r_doc_id"), F.col("text_key").alias("r_text_key")).agg(
         F.sort_array(F.collect_list("line")).alias("removed"), F.sum(F.col("n_chars") + 1).alias("removed_chars"))
