@@ -4,15 +4,16 @@ Random product codes give many directions: the rotated vector is cut into four
 blocks, each block has its own random unit codewords, and every choice of
 one word per block is a direction. A vector goes to all directions whose
 inner product with it exceeds a threshold, found by list decoding (partial
-sums that can't reach it any more are dropped). Vectors that share a direction are compared
+sums that can't reach it any more are dropped); a vector that exceeds it for too few goes to its
+nearest ones, so none is left uncompared. Vectors that share a direction are compared
 in full. The number of directions grows with the number of vectors, so the number
-that share one does not.
+that share one does not, and codes are added until sample pairs at the least
+cosine meet often enough.
 """
 
 from __future__ import annotations
 
 from hashlib import blake2b
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +24,36 @@ from .common import components, discard, stage, table
 
 LEAST = 0.95
 BLOCKS = 4
-#: Independent codes; what one leaves undecoded another finds.
+#: Independent codes, at least; pairs that one keeps apart another brings together.
 CODES = 4
+#: Share of SAMPLE random pairs at the least cosine that have to meet, whatever the number of vectors.
+RECALL, SAMPLE = 0.95, 400
 #: Directions per vector and code, and vectors per direction, that the threshold aims at.
 PER_VECTOR, PER_FILTER = 12, 24
+#: Directions per vector and code at least: its nearest, where fewer exceed the threshold.
+LEAST_DIRECTIONS = 4
 SEED = 5
 #: A direction with more vectors is compared block against block, in as many tasks.
 BLOCK_ROWS = 1000
 
 
+def cap_quantile(dim: int, p: float) -> float:
+    """The inner product that a random unit vector of this length has with a fixed one, or more, with probability p."""
+    if dim < 2:
+        return 1.0
+    angle = np.linspace(0, np.pi / 2, 200_001)
+    density = np.sin(angle) ** (dim - 2)
+    mass = np.append(0.0, np.cumsum(density[1:] + density[:-1]))
+    return float(np.cos(np.interp(p, mass / (2 * mass[-1]), angle)))
+
+
 class Code:
     """One product code for vectors of one length, over a random rotation. Depends only on the arguments."""
 
     def __init__(self, dim: int, n: int, number: int, seed: int = SEED):
         p = min(0.25, PER_FILTER / max(n, 1))
         self.words = max(2, round((PER_VECTOR / p) ** (1 / BLOCKS)))
-        # one entry of a random unit vector is about normal with variance 1 / dim
-        self.least = NormalDist().inv_cdf(1 - p) / dim**0.5
+        self.least = cap_quantile(dim, p)
         rng = np.random.default_rng([seed, dim, number])
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.blocks, self.codes = np.array_split(np.arange(dim), BLOCKS), []
@@ -48,7 +62,7 @@ class Code:
             self.codes.append(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12) / BLOCKS**0.5)
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """For each row the sorted numbers of all directions that exceed the threshold."""
+        """For each row the sorted numbers of all directions that exceed the threshold, and of the nearest LEAST_DIRECTIONS."""
         unit = unit @ self.rotation
         dots = [unit[:, b] @ c.T for b, c in zip(self.blocks, self.codes, strict=True)]
         best = np.cumsum([d.max(1) for d in dots[::-1]], axis=0)[::-1]  # most that blocks from k on can add
@@ -62,8 +76,55 @@ class Code:
                 ids = (ids[:, None] * self.words + np.arange(self.words)[None, :])[keep]
                 sums = grown[keep]
             out.append(np.sort(ids))
+        few = [i for i, ids in enumerate(out) if len(ids) < LEAST_DIRECTIONS]
+        if few:
+            for i, ids in zip(few, self._nearest([d[few] for d in dots]), strict=True):
+                out[i] = np.union1d(out[i], ids)
         return out
 
+    def _nearest(self, dots: list[np.ndarray]) -> np.ndarray:
+        """The numbers of each row's nearest LEAST_DIRECTIONS directions; the best sums consist of the best partial sums."""
+
+        def best(values: np.ndarray) -> np.ndarray:
+            return np.argsort(-values, axis=1, kind="stable")[:, :LEAST_DIRECTIONS]
+
+        n = len(dots[0])
+        sums, ids = np.zeros((n, 1)), np.zeros((n, 1), np.int64)
+        for d in dots:
+            own = best(d)
+            grown = (sums[:, :, None] + np.take_along_axis(d, own, 1)[:, None, :]).reshape(n, -1)
+            numbers = (ids[:, :, None] * self.words + own[:, None, :]).reshape(n, -1)
+            top = best(grown)
+            sums, ids = np.take_along_axis(grown, top, 1), np.take_along_axis(numbers, top, 1)
+        return ids
+
+
+def sample_pairs(dim: int, cosine: float, size: int = SAMPLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors and for each a partner at this cosine."""
+    a, b = np.random.default_rng([seed, dim, size]).standard_normal((2, size, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
+    return a, cosine * a + (1 - cosine**2) ** 0.5 * b
+
+
+def meeting(codes: list[Code], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each row of a shares a direction with the same row of b in any of the codes."""
+    met = np.zeros(len(a), bool)
+    for code in codes:
+        met |= [bool(np.isin(x, y).any()) for x, y in zip(code.decode(a), code.decode(b), strict=True)]
+    return met
+
+
+def codes_needed(dim: int, n: int, least: float = LEAST, seed: int = SEED) -> int:
+    """How many codes bring RECALL of the sample pairs at cosine least together; the random rotation makes every pair a random one."""
+    a, b = sample_pairs(dim, least)
+    met, number = np.zeros(len(a), bool), 0
+    while number < CODES or met.mean() < RECALL:
+        met |= meeting([Code(dim, n, number, seed)], a, b)
+        number += 1
+    return number
+
 
 def _units(column: pa.Array) -> list[np.ndarray | None]:
     """Unit vectors in double precision; None for null, zero, empty and non-finite ones."""
@@ -147,6 +208,8 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, seed: int = SEED)
     nodes = stage(nodes, "nodes")
     lengths = {r["dim"]: r["n"] for r in nodes.groupBy((F.octet_length("unit") / 8).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
 
+    needed = {dim: codes_needed(dim, n, least, seed) for dim, n in lengths.items()}
+
     def spread(batches):
         codes = {}
         for b in batches:
@@ -155,10 +218,10 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, seed: int = SEED)
             dims = np.array([len(u) for u in units])
             for dim in np.unique(dims):
                 if dim not in codes:
-                    codes[dim] = [Code(int(dim), lengths[int(dim)], k, seed) for k in range(CODES)]
+                    codes[dim] = [Code(int(dim), lengths[int(dim)], k, seed) for k in range(needed[int(dim)])]
                 at = np.flatnonzero(dims == dim)
                 own = np.stack([units[i] for i in at])
-                decoded = [[ids * CODES + k for ids in code.decode(own)] for k, code in enumerate(codes[dim])]
+                decoded = [[ids * len(codes[dim]) + k for ids in code.decode(own)] for k, code in enumerate(codes[dim])]
                 for i, ids in zip(at, zip(*decoded, strict=True), strict=True):
                     found[i] = np.concatenate(ids) * 4096 + dim % 4096
             lens = np.cumsum([0] + [len(f) for f in found]).astype(np.int32)

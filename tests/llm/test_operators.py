@@ -154,6 +154,22 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", [5_000, 100_000, 1_000_000, 10_000_000])
+def test_embedding_directions_meet_whatever_the_number_of_vectors(n):
+    rng = np.random.default_rng(11)
+    a, b = rng.standard_normal((2, 200, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.95 * a + (1 - 0.95**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    met = np.zeros(len(a), bool)
+    for k in range(embedding_dedup.CODES):
+        code = embedding_dedup.Code(64, n, k)
+        own, other = code.decode(a), code.decode(b)
+        assert min(map(len, own)) > 0
+        met |= [len(np.intersect1d(x, y)) > 0 for x, y in zip(own, other, strict=True)]
+    assert met.mean() >= 0.9
+
+
 @pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80)])
 def test_ngram_join(spark, corpus, empty, width, num):
     rows = corpus.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()
