@@ -213,20 +213,19 @@ def chunk_merge(k):
 
 @query()
 def timeline_dedupe(k):
-    o = k.orders.where("o_custkey < 200")
-    items = o.select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("ordinal"), F.concat(F.lit("X:"), F.col("o_orderkey") % 6).alias("entity_id"), F.when(F.col("o_orderkey") % 5 != 0, "Org").alias("org"), F.col("o_orderpriority").alias("role"), F.date_format("o_orderdate", "yyyy.MM").alias("start"), F.lit(None).cast("string").alias("end"))
+    items = k.orders.select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("ordinal"), F.concat(F.lit("X:"), F.col("o_orderkey") % 6).alias("entity_id"), F.when(F.col("o_orderkey") % 5 != 0, "Org").alias("org"), F.col("o_orderpriority").alias("role"), F.date_format("o_orderdate", "yyyy.MM").alias("start"), F.lit(None).cast("string").alias("end"))
     return assembly.timeline_dedupe(items)
 
 
 @query()
 def work_dedupe(k):
-    items = k.orders.where("o_custkey < 200").select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("ordinal"), F.concat(F.lit("W:"), "o_orderkey").alias("entity_id"), F.col("o_orderstatus").alias("kind"), F.array(F.concat(F.lit("u"), F.col("o_orderkey") % 7)).alias("urls"))
+    items = k.orders.select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("ordinal"), F.concat(F.lit("W:"), "o_orderkey").alias("entity_id"), F.col("o_orderstatus").alias("kind"), F.array(F.concat(F.lit("u"), F.col("o_orderkey") % 7)).alias("urls"))
     return assembly.work_dedupe(items).select("graph_id", "ordinal", "entity_id", "kind", F.array_join("urls", ",").alias("urls"))
 
 
 @query()
 def activity_absorption(k):
-    titles = k.facts.where("predicate = 'name' AND entity_id LIKE 'S:%' AND graph_id < 100").select("graph_id", "entity_id", "value_str", F.col("updated").alias("ordinal"))
+    titles = k.facts.where("predicate = 'name' AND entity_id LIKE 'S:%'").select("graph_id", "entity_id", "value_str", F.col("updated").alias("ordinal"))
     pairs = resolution.similar_title_pairs(titles, ["graph_id"], "entity_id", "value_str")
     return assembly.absorb_activities(titles.where("ordinal % 2 = 0"), titles.where("ordinal % 2 = 1"), pairs.union(pairs.select("graph_id", "b", "a"))).select("graph_id", "entity_id", "absorbed_by")
 

@@ -44,3 +44,31 @@ def test_oracles_agree_on_a_few(spark):
         want = sorted(map(str, con.execute(f"SELECT {', '.join(cols)} FROM ({e.oracle_sql()[name]})").fetchall()))
         assert got == want, name
     assert e.entry(spark).limit(1).count() == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_queries_without_sql_run_over_all_graphs(spark):
+    import __spark_entry__ as e
+    from kgloom.plans.adapter import Frames
+
+    sf = "/root/testdata/sf0.01"
+    q = e.queries()
+    orders = spark.read.parquet(f"{sf}/orders.parquet").orderBy("o_orderkey").collect()
+    customers = {r.o_custkey for r in orders}
+    assert {r.graph_id for r in q["timeline_dedupe"](spark, sf).select("graph_id").collect()} == customers and max(customers) >= 200
+
+    works: dict = {}  # brute force: the first earlier work of a kind with a common URL takes a work in
+    for r in orders:
+        kept = works.setdefault(r.o_custkey, [])
+        have = next((w for w in kept if w[1] == r.o_orderstatus and w[2] == r.o_orderkey % 7), None)
+        if have is None:
+            kept.append((r.o_orderkey, r.o_orderstatus, r.o_orderkey % 7))
+    got = {(r.graph_id, r.ordinal, r.kind, r.urls) for r in q["work_dedupe"](spark, sf).collect()}
+    assert got == {(g, n, kind, f"u{url}") for g, kept in works.items() for n, kind, url in kept}
+
+    named = Frames(spark, SF).facts.where("predicate = 'name' AND entity_id LIKE 'S:%'").collect()
+    even = {r.graph_id for r in named if r.updated % 2 == 0}
+    assert {r.graph_id for r in q["entity_components"](spark, SF).select("graph_id").collect()} == {r.graph_id for r in named}
+    for name in ("sequential_resolution", "activity_absorption"):
+        assert {r.graph_id for r in q[name](spark, SF).select("graph_id").collect()} == even
+    assert max(even) >= 100
