@@ -27,9 +27,10 @@ from .textcols import text_chunks, tokens
 LENGTH = 1024
 END = 0
 TERM_BITS = 18
-QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 SHARD_TOKENS = 1 << 21
+#: A term that more than one in so many of a shard's documents have is held as a row over all of them.
+DENSE = 4
 CACHE_WORDS = 1 << 19
 _RUN = re.compile(r"\s\s")
 
@@ -138,6 +139,13 @@ class Shard:
         self.weight = (stats.idf[slot] * tf * (K1 + 1) / (tf + norm[doc]))[order]
         self.slots, self.at = np.unique(slot[order], return_index=True)
         self.at = np.append(self.at, len(order))
+        self.df = np.diff(self.at)
+        frequent = np.flatnonzero(self.df * DENSE > n)
+        self.row = np.full(len(self.slots), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), n))
+        for row, k in zip(self.dense, frequent, strict=True):
+            row[self.doc[self.at[k] : self.at[k + 1]]] = self.weight[self.at[k] : self.at[k + 1]]
         self.free = np.ones(n, bool)
         self.next = 0
 
@@ -151,14 +159,16 @@ class Shard:
         return self.take(self.next) if self.next < len(self.free) else None
 
     def neighbours(self, i: int) -> Iterator[int]:
-        """Unused documents that share query terms with document i, best first; each is taken as it is given out."""
-        slot = self.terms[i][0]
-        slot = slot[np.argsort(-self.stats.idf[slot], kind="stable")[:QUERY_TERMS]]
-        k = np.searchsorted(self.slots, slot)
-        spans = [slice(a, b) for a, b in zip(self.at[k], self.at[k + 1], strict=True)]
-        if not spans:
-            return
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.free))
+        """Unused documents that share any terms with document i, best first; each is taken as it is given out."""
+        k = np.searchsorted(self.slots, self.terms[i][0])
+        k = k[self.df[k] > 1]  # the others stand in document i only
+        few, many = k[self.row[k] < 0], self.row[k[self.row[k] >= 0]]
+        spans = [slice(a, b) for a, b in zip(self.at[few], self.at[few + 1], strict=True)]
+        score = np.zeros(len(self.free))
+        if spans:
+            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.free))
+        for row in many:
+            score += self.dense[row]
         score[~self.free] = 0
         while True:
             best = int(np.argmax(score))

@@ -337,6 +337,19 @@ def test_packing(spark, corpus, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_asks_with_all_terms():
+    """The best neighbour shares only words that are more frequent than many of the seed's own."""
+    own, shared, common = np.arange(40), np.arange(100, 110), np.arange(200, 205)
+    sets = [np.concatenate([own, shared, common]), np.concatenate([own + 1000, common]), np.concatenate([own + 2000, shared, common]), own + 3000, own + 4000]
+    terms = [(s, np.ones(len(s), np.int64), len(s)) for s in sets]
+    df = np.zeros(1 << packing.TERM_BITS)
+    for s in sets:
+        df[s] += 1
+    stats = packing.Statistics(np.log1p((len(sets) - df + 0.5) / (df + 0.5)), float(np.mean([w for _, _, w in terms])))
+    shard = packing.Shard(terms, stats)
+    assert shard.seed() == 0 and list(shard.neighbours(0)) == [2, 1]
+
+
 def test_packing_encoder_matches_the_tokenizer():
     import public_tokenizers as P
     from hypothesis import given, settings
