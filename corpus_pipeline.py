@@ -20,8 +20,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that match an earlier one."""
-    return line_dedup.dedup(docs)
+    """Takes out lines that match an earlier one, short ones too; lines without words stay."""
+    return line_dedup.dedup(docs, min_words=1)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

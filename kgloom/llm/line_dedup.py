@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import let, stage, table
 
 NUM, DEN = 8, 10
-#: Lines with fewer distinct words are never removed.
+#: Lines with fewer distinct words are never removed by the registered query, as in its SQL; the pipeline asks for one word.
 MIN_WORDS = 5
 BUCKET_BITS = 16
 BLOOM_WORDS = 1 << 16
@@ -59,28 +59,28 @@ def _token_set(line: Column, rank: Column) -> Column:
     return F.sort_array(F.transform(hashes, lambda h: F.get(rank, _bucket(h).cast("int")).bitwiseXOR(h)))
 
 
-def _with_sets(lines: DataFrame, rank: Column, body) -> DataFrame:
+def _with_sets(lines: DataFrame, rank: Column, body, min_words: int) -> DataFrame:
     """lines plus `s`: body(token set), for lines with enough words. The set is computed once, inside the generator."""
     one = F.transform(F.array(_token_set(F.col("text"), rank)), body)
-    return lines.select("*", F.explode(F.filter(one, lambda s: s["size"] >= MIN_WORDS)).alias("s"))
+    return lines.select("*", F.explode(F.filter(one, lambda s: s["size"] >= min_words)).alias("s"))
 
 
 def _ceil(n: Column, num: int, den: int) -> Column:
     return F.floor((n * num + (den - 1)) / den).cast("int")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     keyed = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
     # whatever has too few words for its length in letters needn't be looked at twice
-    return keyed.where(F.length("text") >= 2 * MIN_WORDS - 1)
+    return keyed.where(F.length("text") >= 2 * min_words - 1)
 
 
-def removals(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+def removals(docs: DataFrame, num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_key, line, n_chars of every line that an earlier one matches.
 
     Rows with equal doc_id and text are one document, so repeated rows lose the
     same lines. Null ids come first; null texts have no lines; lines of
-    fewer than MIN_WORDS distinct words stay. Other columns are not looked at.
+    fewer than min_words distinct words stay. Other columns are not looked at.
     An empty table has no removals.
     """
     rank = rarity(docs)
@@ -91,7 +91,7 @@ def removals(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
         prefix = F.slice(tokens, F.lit(1), size - _ceil(size, num, den) + 1)
         return F.struct(F.xxhash64(tokens).alias("sid"), size.alias("size"), parity.alias("bits"), prefix.alias("prefix"))
 
-    lines = stage(_with_sets(_lines(docs), rank, described).select("doc_id", "text_key", "line", F.length("text").cast("int").alias("n_chars"), "s.*"), "lines")
+    lines = stage(_with_sets(_lines(docs, min_words), rank, described, min_words).select("doc_id", "text_key", "line", F.length("text").cast("int").alias("n_chars"), "s.*"), "lines")
     pos = F.struct("doc_id", "text_key", "line")
     distinct = lines.groupBy("sid", "size", "bits").agg(F.first("prefix").alias("prefix"))
     # half of a word's number is enough to meet; candidates are verified on whole sets
@@ -109,14 +109,14 @@ def removals(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     )
     candidates = stage(candidates.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct(), "candidates")
     firsts = stage(lines.groupBy("sid").agg(F.min(pos).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
-    links = _verified(docs, rank, candidates, firsts, num, den)
+    links = _verified(docs, rank, candidates, firsts, num, den, min_words)
     both = links.select("a", "b").union(links.select("b", "a"))
     near = both.join(firsts.select(F.col("sid").alias("b"), "first"), "b").groupBy(F.col("a").alias("sid")).agg(F.min("first").alias("near"))
     earliest = firsts.join(near, "sid", "left").where("n > 1 OR near IS NOT NULL").select("sid", F.least("first", F.coalesce("near", "first")).alias("earliest"))
     return lines.join(earliest, "sid").where(pos > F.col("earliest")).select("doc_id", "text_key", "line", "n_chars").distinct()
 
 
-def _verified(docs: DataFrame, rank: Column, candidates: DataFrame, firsts: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(docs: DataFrame, rank: Column, candidates: DataFrame, firsts: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
     """The candidates whose whole token sets are similar enough. Only lines that stand for a candidate are read into words again."""
     sids = candidates.select(F.col("a").alias("sid")).union(candidates.select("b")).distinct()
     places = firsts.join(sids, "sid", "left_semi").select(F.xxhash64("first.doc_id", "first.text_key", "first.line").alias("place"))
@@ -129,14 +129,14 @@ def _verified(docs: DataFrame, rank: Column, candidates: DataFrame, firsts: Data
     words = {r["word"]: r["bits"] for r in places.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits")).collect()}  # of fixed size at most
     bloom = _table_literal(words.get(i, 0) for i in range(BLOOM_WORDS))
     word, one = bit(F.xxhash64("doc_id", "text_key", "line"))
-    wanted = _lines(docs).where(F.get(bloom, word).bitwiseAND(one) != 0)
+    wanted = _lines(docs, min_words).where(F.get(bloom, word).bitwiseAND(one) != 0)
     def described(t: Column) -> Column:
         wide = []
         for k in range(PARITY):  # bit t mod 64 of the long that the next bits of t choose
             wide.append(F.aggregate(t, F.lit(0).cast("long"), _flip(k)))
         return F.struct(F.xxhash64(t).alias("sid"), F.size(t).alias("size"), F.array(*wide).alias("wide"), t.alias("tokens"))
 
-    sets = stage(_with_sets(wanted, rank, described).select("s.*").dropDuplicates(["sid"]), "sets")
+    sets = stage(_with_sets(wanted, rank, described, min_words).select("s.*").dropDuplicates(["sid"]), "sets")
     # a wide parity bitmap first: whole sets travel only for pairs that it leaves
     brief_a, brief_b = (sets.select(F.col("sid").alias(x), F.col("size").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
     apart = F.lit(0)
@@ -162,9 +162,9 @@ def _per_document(removed: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list("line")).alias("removed"), F.sum(F.col("n_chars") + 1).alias("removed_chars"))
 
 
-def dedup(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+def dedup(docs: DataFrame, num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the removed lines taken out of text; n_chars, where it exists, follows. No row is dropped."""
-    found = _per_document(removals(docs.select("doc_id", "text"), num, den))
+    found = _per_document(removals(docs.select("doc_id", "text"), num, den, min_words))
     keyed = docs.withColumn("r_key", F.xxhash64("text"))
     out = keyed.join(found, keyed["doc_id"].eqNullSafe(found["r_doc_id"]) & (keyed["r_key"] == found["r_text_key"]), "left")
 

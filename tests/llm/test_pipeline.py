@@ -37,3 +37,10 @@ def test_run_equals_stages(spark, sf_dir, corpus):
             assert {a for a in sets if not sets[a]} <= kept
     got = corpus_pipeline.run(spark, sf_dir)
     assert sum(r.length for r in got.collect()) == sum(r.length for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect())
+
+
+def test_short_lines_are_deduplicated_too(spark):
+    texts = ["Les.\nla la la la la la\none two three four\n\nends here", "les.\nnew\nla la\none two three\n\nfour three two one", "這是一行沒有空白的文字", "這是一行沒有空白的文字", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t) if t else None) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert got == {0: texts[0], 1: "new\none two three\n", 2: texts[2], 3: "", 4: None}
