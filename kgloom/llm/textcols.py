@@ -15,17 +15,22 @@ LOWER[65:91] += 32
 PUNCT = np.zeros(256, bool)
 PUNCT[33:48] = PUNCT[58:65] = PUNCT[91:97] = PUNCT[123:127] = True
 #: Texts are taken together up to so many bytes, a longer text alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+#: Powers of the odd base and of its inverse modulo 2 ** 64.
+_powers = _inverses = np.ones(1, np.uint64)
+#: What a byte counts in a hash: itself and one, in lower case or not; white space nothing.
+_VALUE = {lower: np.where(SPACE, 0, (LOWER if lower else np.arange(256)).astype(np.uint64) + np.uint64(1)) for lower in (True, False)}
 
 
-def _pow(n: int) -> np.ndarray:
-    global _powers
+def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
+    global _powers, _inverses
     if len(_powers) < n:
-        _powers = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(2 * n, _BASE, np.uint64))])
-    return _powers
+        _powers, _inverses = (
+            np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n + n // 4, base, np.uint64))]) for base in (_BASE, pow(_BASE, -1, 1 << 64))
+        )
+    return _powers, _inverses
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -61,28 +66,25 @@ def tokens(buf: np.ndarray, offsets: np.ndarray, lower: bool = True, split_punct
     punctuation mark is a word of its own. A word never spans two texts.
     """
     n = len(buf)
-    ok = ~SPACE[buf]
-    first = np.zeros(n + 1, bool)
-    first[offsets] = True
-    start = ok.copy()
-    if n:
-        cut = ~ok[:-1] | first[1:n]
-        if split_punct:
-            punct = PUNCT[buf]
-            cut |= punct[1:] | punct[:-1]
-        start[1:] &= cut
-    starts = np.flatnonzero(start)
+    value = _VALUE[lower][buf]
+    ok = value != 0
+    cut = np.zeros(n + 1, bool)  # a word can't go on over these
+    cut[offsets] = True
+    if split_punct and n:
+        punct = PUNCT[buf]
+        cut[1:n] |= punct[1:] | punct[:-1]
+    cut[:-1] |= ~ok
+    cut[1:] |= ~ok
+    starts = np.flatnonzero(ok & cut[:-1])
     bounds = np.searchsorted(starts, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), bounds
-    kept = buf[ok]
-    if lower:
-        kept = LOWER[kept]
-    at = np.cumsum(ok)[starts] - 1
-    lens = np.diff(np.append(at, len(kept)))
-    pos = np.arange(len(kept)) - np.repeat(at, lens)
-    h = np.add.reduceat((kept.astype(np.uint64) + np.uint64(1)) * _pow(int(lens.max()))[pos], at)
-    return mix64(h + lens.astype(np.uint64)), bounds
+    ends = np.flatnonzero(ok & cut[1:]) + 1
+    powers, inverses = _pow(n)
+    value *= powers[:n]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, out=value)])
+    h = (sums[ends] - sums[starts]) * inverses[starts]
+    return mix64(h + (ends - starts).astype(np.uint64)), bounds
 
 
 def chain(hashes: np.ndarray, n: int) -> np.ndarray:
