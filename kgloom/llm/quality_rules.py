@@ -3,7 +3,8 @@
 Each rule votes for (1) or against (-1) a document or abstains (0).
 Expectation-maximisation over the counts of vote patterns estimates how
 often each rule is right on good and on bad documents and how common good
-ones are; a document is
+ones are. Most kinds of bad documents are seen by two rules (symbols by word and by letter, capitals
+and shouting), whose agreement tells a rule that is right from one that isn't. A document is
 kept when its posterior probability of being good reaches one half,
 instead of having to pass every rule.
 """
@@ -23,8 +24,8 @@ WINDOW = 8
 ROUNDS = 30
 #: Where estimation starts: share of good documents, and how often a vote is right on good and on bad ones.
 PRIOR, GOOD, BAD = 0.8, 0.99, 0.4
-#: Rules are written to be careful: on good documents a vote is right at least so often, on bad ones at least so often.
-LEAST_GOOD, LEAST_BAD = 0.99, 0.2
+#: Bounds of the estimates: a rule is no worse than chance on good documents; of bad ones it may see a few only.
+LEAST_GOOD, LEAST_BAD = 0.5, 0.05
 #: name, expression, (good from, good to), (bad below, bad above); between the two a rule abstains.
 RULES = (
     ("length", "n_words", (50, None), (20, None)),
