@@ -1,7 +1,9 @@
 """License scans (native): an exact set-similarity join of text blocks with license templates.
 
-Blocks are lines. A block matches a template when it holds at least
-nine tenths of the template's distinct words. Words are ordered by their
+A block is a run of words, over line ends, a quarter longer than the
+template it is compared with, or what the text has left. It matches when it holds at least
+nine tenths of the template's distinct words. Texts are read once: those whose whole
+text can't match any template only leave counts. Words are ordered by their
 document frequency over the whole corpus, rarest first; prefix, length and
 positional filters then leave few block-template pairs to verify.
 """
@@ -11,21 +13,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, strings, table
+from .common import ascii_lower, let, stage, strings, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
-#: Openings of public license notices.
+#: Passages of public license notices.
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("lgpl", "licensed under the gnu lesser general public license"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
@@ -37,14 +44,23 @@ def needed(n: int, threshold=THRESHOLD) -> int:
     return -(-threshold[0] * n // threshold[1])
 
 
+def block_words(text: str) -> int:
+    """How many words a block has that is compared with this template."""
+    return -(-5 * len(text.split()) // 4)
+
+
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    text = F.coalesce(text, F.lit(""))
+    # lower() is much faster, and the same where all characters are ASCII
+    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text))
+    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
 
 
-def rarity_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
-    """The templates' words by document frequency. Bounded by the templates, whatever the corpus."""
-    hits = docs.select(F.explode(F.array_intersect(strings(vocabulary), words_of(F.col("text")))).alias("word"))
-    counted = {r["word"]: r["n"] for r in hits.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+def rarity_order(hits: DataFrame, vocabulary: list[str]) -> list[str]:
+    """The templates' words by document frequency. hits: one column, an array of each document's. Bounded by the templates, whatever the corpus."""
+    (name,) = hits.columns
+    words = hits.select(F.explode(name).alias("word"))
+    counted = {r["word"]: r["n"] for r in words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     return sorted(vocabulary, key=lambda w: (counted.get(w, 0), w))
 
 
@@ -86,34 +102,50 @@ def _place(label: str):
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESHOLD) -> DataFrame:
-    """docs plus a struct column `license`: n_words, places (label, start) of base phrases, and blocks (block, label, containment).
+    """docs' columns but text, plus the struct `license`: n_words, places (label, start) of base phrases, and blocks (start, label, containment).
 
+    Starts are words, from 0; of a template's blocks those that begin with one of its words are given.
     Null text counts as empty and gives empty lists. Rows are judged one
     by one, so repeated rows, null ids and further columns are kept as they
-    are. Nothing is shuffled but the templates' word counts.
+    are; a column `license` is replaced. An empty table stays empty. Nothing is shuffled but the templates' word counts.
     """
+    plain = [c for c in docs.columns if c not in ("text", "license")]
     vocabulary = sorted({w for _, t in templates for w in t.split()})
-    order = rarity_order(docs, vocabulary)
-    order_c = strings(order)
-    lower = ascii_lower(F.coalesce(docs["text"], F.lit("")))
-
-    def in_order(words: Column) -> Column:
-        return F.array_intersect(order_c, words)
 
-    def by_block(_words: Column) -> Column:
-        lines = F.split(lower, "\n", -1)
-        per_line = F.transform(lines, lambda line, i: let(in_order(F.regexp_extract_all(line, F.lit(WORD), F.lit(0))), lambda b: F.transform(
-            _matches(b, order, templates, threshold), lambda m: F.struct(i.alias("block"), m["label"].alias("label"), m["containment"].alias("containment")))))
-        return F.flatten(per_line)
+    def may_match(hits: Column) -> Column:
+        can = F.lit(False)
+        for own in (sorted(set(t.split())) for _, t in templates):
+            least = needed(len(own), threshold)
+            can = can | ((F.size(hits) >= least) & (F.size(F.array_intersect(strings(own), hits)) >= least))
+        return can
 
-    def of(words: Column) -> Column:
+    def read(words: Column) -> Column:
         places = F.flatten(F.array(*[F.transform(_positions(words, p), _place(label)) for label, p in phrases]))
-        # a block can't match a template that its whole document doesn't
-        whole = F.size(_matches(in_order(words), order, templates, threshold)) > 0
-        blocks = F.when(whole, by_block(words)).otherwise(F.array().cast("array<struct<block:int,label:string,containment:double>>"))
-        return F.struct(F.size(words).cast("long").alias("n_words"), places.alias("places"), blocks.alias("blocks"))
+        # a block can't match a template that its whole text doesn't
+        return let(F.array_intersect(strings(vocabulary), words), lambda hits: F.struct(
+            F.size(words).cast("long").alias("n_words"), places.alias("places"), hits.alias("hits"), F.when(may_match(hits), words).alias("words")))
+
+    seen = stage(docs.select(F.struct(*[F.col(f"`{c}`") for c in plain]).alias("ls_row"), let(words_of(docs["text"]), read).alias("ls_read")), "license")
+    order = rarity_order(seen.select("ls_read.hits"), vocabulary)
+    order_c, words = strings(order), F.col("ls_read.words")
+
+    def blocks_of(template) -> Column:
+        label, text = template
+        own = strings(sorted(set(text.split())))
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(own, F.get(words, i)))
 
-    return docs.withColumn("license", let(words_of(docs["text"]), of))
+        def at(i: Column) -> Column:
+            block = F.array_intersect(order_c, F.slice(words, i + 1, block_words(text)))
+            return let(block, lambda b: F.transform(_matches(b, order, [template], threshold), lambda m: F.struct(i.alias("start"), m["label"].alias("label"), m["containment"].alias("containment"))))
+
+        whole = F.size(F.array_intersect(own, F.col("ls_read.hits"))) >= needed(len(set(text.split())), threshold)
+        return F.when(whole, F.flatten(F.transform(starts, at))).otherwise(F.array().cast(BLOCKS))
+
+    blocks = F.when(words.isNotNull(), F.flatten(F.array(*[blocks_of(t) for t in templates]))).otherwise(F.array().cast(BLOCKS))
+    return seen.select("ls_row.*", F.struct("ls_read.n_words", "ls_read.places", blocks.alias("blocks")).alias("license"))
+
+
+BLOCKS = "array<struct<start:int,label:string,containment:double>>"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -140,18 +172,22 @@ def sql() -> str:
     for label, phrase in PHRASES:
         hit = " AND ".join(f"words[i + {j + 1}] = '{w}'" for j, w in enumerate(phrase))
         places.append(f"[{{'label': '{label}', 'start': i}} FOR i IN range(len(words)) IF {hit}]")
-    templates = ", ".join(f"({k}, '{label}', {sorted(set(text.split()))!r})" for k, (label, text) in enumerate(TEMPLATES))
+    templates = ", ".join(f"({k}, '{label}', {block_words(text)}, {sorted(set(text.split()))!r})" for k, (label, text) in enumerate(TEMPLATES))
+    enough = f"{THRESHOLD[1]} * len(list_intersect(own, {{}})) >= {THRESHOLD[0]} * len(own)"
     return f"""
-WITH templates(template, label, own) AS (VALUES {templates}),
+WITH templates(template, label, width, own) AS (VALUES {templates}),
 lowered AS (SELECT doc_id, {lower} AS text FROM documents),
+worded AS (SELECT doc_id, regexp_extract_all(text, '{word}') AS words FROM lowered),
 based AS (
-  SELECT doc_id, len(words)::BIGINT AS n_words, {" || ".join(places)} AS places
-  FROM (SELECT doc_id, regexp_extract_all(text, '{word}') AS words FROM lowered)
+  SELECT doc_id, len(words)::BIGINT AS n_words, {" || ".join(places)} AS places FROM worded
+),
+blocks AS (
+  SELECT doc_id, label, own, words[i:i + width - 1] AS block FROM (
+    SELECT *, unnest(range(1, len(words) + 1)) AS i FROM worded, templates WHERE {enough.format("words")}
+  ) WHERE list_contains(own, words[i])
 ),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(text, chr(10))), '{word}')) AS words FROM lowered),
 matched AS (
-  SELECT doc_id, label, len(list_intersect(own, words)) / len(own) AS containment
-  FROM blocks, templates WHERE {THRESHOLD[1]} * len(list_intersect(own, words)) >= {THRESHOLD[0]} * len(own)
+  SELECT doc_id, label, len(list_intersect(own, block)) / len(own) AS containment FROM blocks WHERE {enough.format("block")}
 ),
 per_doc AS (SELECT doc_id, list(label) AS found, max(containment) AS containment FROM matched GROUP BY doc_id)
 SELECT doc_id, n_words, len(places)::BIGINT AS n_base,
