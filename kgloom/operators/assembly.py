@@ -78,9 +78,19 @@ def work_dedupe(items: DataFrame) -> DataFrame:
 
 
 def absorb_activities(activities: DataFrame, works: DataFrame, pairs: DataFrame) -> DataFrame:
-    """activities plus the first work (by ordinal) of the same graph that each is alike; pairs: graph_id, a (activity), b (work)."""
-    first = pairs.join(works.select("graph_id", F.col("entity_id").alias("b"), "ordinal"), ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("entity_id")).agg(F.min_by("b", F.struct("ordinal", "b")).alias("absorbed_by"))
-    return activities.join(first, ["graph_id", "entity_id"], "left")
+    """activities plus the first work (by ordinal) of the same graph that each is alike; pairs: what resolution.similar_title_pairs() gives over both."""
+    equal = pairs.where("equal").select("graph_id", F.col("b").alias("entity_id"), F.col("a").alias("rep"))
+
+    def named(items: DataFrame) -> DataFrame:
+        return items.join(equal, ["graph_id", "entity_id"], "left").withColumn("rep", F.coalesce("rep", "entity_id"))
+
+    best = named(works).groupBy("graph_id", F.col("rep").alias("like")).agg(F.min(F.struct("ordinal", "entity_id")).alias("best"))
+    near = pairs.where("NOT equal")
+    near = near.select("graph_id", F.col("a").alias("rep"), F.col("b").alias("like")).union(near.select("graph_id", "b", "a"))
+    own = named(activities)
+    reps = own.select("graph_id", "rep").distinct()
+    first = reps.withColumn("like", F.col("rep")).union(near.join(reps, ["graph_id", "rep"], "left_semi").select("graph_id", "rep", "like")).join(best, ["graph_id", "like"]).groupBy("graph_id", "rep").agg(F.min("best").alias("best"))
+    return own.join(first, ["graph_id", "rep"], "left").withColumn("absorbed_by", F.col("best.entity_id")).drop("rep", "best")
 
 
 def merge_chunk_results(results: DataFrame) -> DataFrame:

@@ -23,14 +23,34 @@ def strong_keys(facts: DataFrame) -> DataFrame:
 
 
 def similar_title_pairs(items: DataFrame, keys: list[str], ident: str, title: str) -> DataFrame:
-    """Pairs under the same keys whose titles are alike. Two alike titles share a word, so pairs meet on shared words only;
-    equal titles are collapsed first."""
-    folded = items.withColumn("_f", text.nfkc_fold(F.col(title))).groupBy(*keys, "_f").agg(F.min(ident).alias(ident), F.count(F.lit(1)).alias("n"))
-    words = folded.select(*keys, ident, "_f", F.explode(text.token_set(F.col("_f"))).alias("_w"))
+    """(keys, a, b, equal): under the same keys, each item with the smallest one of its title (equal), and these with each other where
+    their titles are alike. Titles without letters or digits are like nothing.
+
+    Two items are alike if their titles' smallest items are, so groups of equal titles make no pairs among themselves. Two alike
+    titles share a word, so titles meet on words only.
+    """
+    folded = items.withColumn("_f", text.nfkc_fold(F.col(title))).withColumn("_w", text.token_set(F.col("_f"))).where(F.size("_w") > 0)
+    first = Window.partitionBy(*keys, "_f")
+    named = folded.withColumn("_rep", F.min(ident).over(first))
+    same = named.where(F.col(ident) != F.col("_rep")).select(*keys, F.col("_rep").alias("a"), F.col(ident).alias("b"), F.lit(True).alias("equal"))
+    words = named.where(F.col(ident) == F.col("_rep")).select(*keys, ident, "_f", F.explode("_w").alias("_w"))
     a = words.select(*keys, "_w", F.col(ident).alias("a"), F.col("_f").alias("_fa"))
     b = words.select(*keys, "_w", F.col(ident).alias("b"), F.col("_f").alias("_fb"))
     met = a.join(b, [*keys, "_w"]).where("a < b").select(*keys, "a", "b", "_fa", "_fb").distinct()
-    return met.where(text.similar_title(F.col("_fa"), F.col("_fb"))).select(*keys, "a", "b")
+    alike = met.where(text.similar_title(F.col("_fa"), F.col("_fb"))).select(*keys, "a", "b", F.lit(False).alias("equal"))
+    return same.union(alike)
+
+
+def _alike(pairs: pd.DataFrame):
+    """A test of two items from the pairs that similar_title_pairs() gives for one graph."""
+    rep = dict(zip(pairs.loc[pairs.equal, "b"], pairs.loc[pairs.equal, "a"], strict=True))
+    near = set(zip(pairs.loc[~pairs.equal, "a"], pairs.loc[~pairs.equal, "b"], strict=True))
+
+    def test(x, y) -> bool:
+        x, y = rep.get(x, x), rep.get(y, y)
+        return x == y or (x, y) in near or (y, x) in near
+
+    return test
 
 
 def accept_links(groups: DataFrame, members: DataFrame, least: float) -> DataFrame:
@@ -61,52 +81,50 @@ def accept_links(groups: DataFrame, members: DataFrame, least: float) -> DataFra
 def sequential_resolve(candidates: DataFrame, stored: DataFrame, same: DataFrame) -> DataFrame:
     """Matches candidates in order against a pool that grows with each new one.
 
-    candidates: graph_id, ord, ref; stored: graph_id, entity_id; same: graph_id, a, b (which may be one entity; symmetric, refs and ids).
+    candidates: graph_id, ord, ref; stored: graph_id, entity_id; same: what similar_title_pairs() gives over refs and ids.
     No match: new. One: matched. Several that all match each other: the smallest id; else ambiguous.
     """
     pool = candidates.select("graph_id", F.col("ord").cast("long").alias("ord"), F.col("ref").alias("id"), F.lit(True).alias("is_new")).union(stored.select("graph_id", F.lit(-1).cast("long"), "entity_id", F.lit(False)))
-    pairs = same.groupBy("graph_id").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        alike = {(p["a"], p["b"]) for p in (pdf["pairs"].iloc[0] if pdf["pairs"].iloc[0] is not None else [])}
-        alike |= {(b, a) for a, b in alike}
+    def fold(pdf: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        alike = _alike(pairs)
         rows = pdf.sort_values(["ord", "id"])
         entity = {i: i for i in rows.loc[~rows.is_new, "id"]}
         out = []
         for row in rows[rows.is_new].itertuples():
-            hits = sorted({i for i in entity if (row.id, i) in alike})
+            hits = sorted(i for i in entity if i != row.id and alike(row.id, i))
             targets = sorted({entity[i] for i in hits})
             if not targets:
                 entity[row.id] = row.id
                 out.append((row.graph_id, row.id, "new", row.id))
-            elif len(targets) == 1 or all((x, y) in alike or entity[x] == entity[y] for x in hits for y in hits):
+            elif len(targets) == 1 or all(entity[x] == entity[y] or alike(x, y) for x in hits for y in hits):
                 entity[row.id] = targets[0]
                 out.append((row.graph_id, row.id, "matched", targets[0]))
             else:
                 out.append((row.graph_id, row.id, "ambiguous", None))
         return pd.DataFrame(out, columns=["graph_id", "ref", "outcome", "entity_id"])
 
-    return pool.join(pairs, "graph_id", "left").groupBy("graph_id").applyInPandas(fold, "graph_id bigint, ref string, outcome string, entity_id string")
+    return pool.groupBy("graph_id").cogroup(same.select(F.col("graph_id").alias("of_graph"), "a", "b", "equal").groupBy("of_graph")).applyInPandas(fold, "graph_id bigint, ref string, outcome string, entity_id string")
 
 
 def constrained_components(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """Union by ascending pair, unless it would put two items of one chunk together. items: graph_id, id, chunk."""
-    grouped = pairs.groupBy("graph_id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("pairs"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(pdf: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
         group = {r.id: r.id for r in pdf.itertuples()}
+        members = {r.id: [r.id] for r in pdf.itertuples()}
         chunks = {r.id: {r.chunk} for r in pdf.itertuples()}
-        listed = pdf["pairs"].iloc[0]
-        for p in listed if listed is not None else []:
-            x, y = group.get(p["a"]), group.get(p["b"])
+        for a, b in sorted(set(zip(listed.a, listed.b, strict=True))):
+            x, y = group.get(a), group.get(b)
             if x is None or y is None or x == y or chunks[x] & chunks[y]:
                 continue
             x, y = min(x, y), max(x, y)
             chunks[x] |= chunks.pop(y)
-            group = {i: x if g == y else g for i, g in group.items()}
+            for i in members[y]:
+                group[i] = x
+            members[x] += members.pop(y)
         return pdf[["graph_id", "id"]].assign(component=[group[i] for i in pdf["id"]])
 
-    return items.join(grouped, "graph_id", "left").groupBy("graph_id").applyInPandas(fold, "graph_id bigint, id string, component string")
+    return items.groupBy("graph_id").cogroup(pairs.select(F.col("graph_id").alias("of_graph"), "a", "b").groupBy("of_graph")).applyInPandas(fold, "graph_id bigint, id string, component string")
 
 
 def dense_ids(entities: DataFrame, prefix: str, order: list) -> DataFrame:

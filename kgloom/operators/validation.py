@@ -82,7 +82,10 @@ def unidentified(entities: DataFrame, facts: DataFrame) -> DataFrame:
     return entities.join(F.broadcast(keys.select("class_type").distinct()), "class_type", "left_semi").join(having, ["source_id", "ref"], "left_anti")
 
 
-def grounded(claims: DataFrame, evidence: DataFrame, content: DataFrame) -> DataFrame:
-    """claims (source_id, claim, locator): a claim is grounded if every locator is a candidate's whose snippet is in the content."""
-    usable = evidence.join(content, "source_id").where(F.contains("content", "snippet")).select("source_id", "locator").distinct().withColumn("found", F.lit(True))
+def grounded(claims: DataFrame, evidence: DataFrame, content: DataFrame, *document: str) -> DataFrame:
+    """claims (source_id, claim, locator): a claim is grounded if every locator is a candidate's whose snippet is in the content.
+
+    document: columns, besides source_id, by which evidence finds its own content.
+    """
+    usable = evidence.join(content, [*document] or "source_id").where(F.contains("content", "snippet")).select("source_id", "locator").distinct().withColumn("found", F.lit(True))
     return claims.join(usable, ["source_id", "locator"], "left").groupBy("source_id", "claim").agg(F.bool_and(F.coalesce("found", F.lit(False))).alias("grounded"))

@@ -5,7 +5,12 @@ Every frame carries graph_id, so one plan serves all graphs at once.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from kgloom.plans.staging import written
 
 TABLES = ("customer", "orders", "lineitem", "part", "supplier", "documents", "events", "pages")
 
@@ -33,7 +38,7 @@ _FRAMES = {
         UNION ALL SELECT graph_id, concat('S:', graph_id, ':', p_partkey), 'kind', CASE WHEN p_size % 2 = 0 THEN 'tool' ELSE 'method' END, 'active', 'profile', p_partkey FROM (SELECT DISTINCT graph_id, l_partkey FROM owned) o JOIN part ON l_partkey = p_partkey
         UNION ALL SELECT graph_id, concat('S:', graph_id, ':', p_partkey), 'category', CASE p_size % 5 WHEN 0 THEN 'language' WHEN 1 THEN 'database' WHEN 2 THEN 'frontend' WHEN 3 THEN 'backend' ELSE 'unlisted' END, 'active', 'profile', p_partkey FROM (SELECT DISTINCT graph_id, l_partkey FROM owned) o JOIN part ON l_partkey = p_partkey
         UNION ALL SELECT graph_id, concat('O:', graph_id, ':', s_suppkey), 'name', s_name, 'active', 'source', s_suppkey FROM (SELECT DISTINCT graph_id, l_suppkey FROM owned) o JOIN supplier ON l_suppkey = s_suppkey) f""",
-    "docs": """SELECT doc_id, doc_id % 100 AS graph_id, text, source, {sha}(text{bits}) AS now_hash, {sha}(concat(text, 'v0'){bits}) AS old_hash FROM documents WHERE text IS NOT NULL""",
+    "docs": """SELECT doc_id, doc_id % (SELECT 1 + CAST(floor(count(*) / 4) AS BIGINT) FROM customer) AS graph_id, text, source, {sha}(text{bits}) AS now_hash, {sha}(concat(text, 'v0'){bits}) AS old_hash FROM documents WHERE text IS NOT NULL""",
     "source_documents": """SELECT graph_id, concat('D:', doc_id) AS document_id, doc_id, CASE doc_id % 4 WHEN 0 THEN 'github' WHEN 1 THEN 'notion' WHEN 2 THEN 'pdf' ELSE 'docx' END AS source_type,
         concat('src:', doc_id) AS source_key, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN old_hash ELSE now_hash END AS processed_hash,
         CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN '2.0' ELSE '2.1' END AS processed_ontology FROM docs""",
@@ -41,16 +46,17 @@ _FRAMES = {
     "doc_lines": "{lines}",
     "evidence": """SELECT l.graph_id, concat('E:', l.doc_id, ':', l.line) AS evidence_id, concat('D:', l.doc_id) AS document_id, CASE WHEN l.line % 5 = 4 THEN d.old_hash ELSE d.now_hash END AS content_hash,
         l.text AS snippet, concat('line:', l.line) AS locator, l.doc_id * 1000000 + l.line AS ord FROM doc_lines l JOIN docs d ON l.doc_id = d.doc_id""",
-    "numbered_evidence": "SELECT graph_id, evidence_id, row_number() OVER (PARTITION BY graph_id ORDER BY ord) - 1 AS rn, count(*) OVER (PARTITION BY graph_id) AS n FROM evidence",
+    "evidence_counts": "SELECT graph_id, count(*) AS n FROM evidence GROUP BY graph_id",
+    "numbered_evidence": "SELECT graph_id, evidence_id, row_number() OVER (PARTITION BY graph_id ORDER BY ord) - 1 AS rn FROM evidence",
+    "numbered_facts": """SELECT f.graph_id, fact_id, row_number() OVER (PARTITION BY f.graph_id ORDER BY fact_id) - 1 AS rn, n FROM facts f JOIN evidence_counts c ON f.graph_id = c.graph_id WHERE provenance = 'source'""",
     "fact_evidence": """SELECT f.graph_id, f.fact_id, e.evidence_id FROM (
-        SELECT graph_id, fact_id, row_number() OVER (PARTITION BY graph_id ORDER BY fact_id) - 1 AS rn FROM facts WHERE provenance = 'source' AND graph_id < 100) f
-        JOIN numbered_evidence e ON f.graph_id = e.graph_id AND (f.rn % e.n = e.rn OR (f.rn + 7) % e.n = e.rn)""",
+        SELECT graph_id, fact_id, rn % n AS at FROM numbered_facts UNION SELECT graph_id, fact_id, (rn + 7) % n FROM numbered_facts) f JOIN numbered_evidence e ON f.graph_id = e.graph_id AND f.at = e.rn""",
     "relation_evidence": """SELECT f.graph_id, f.relation_id, e.evidence_id FROM (
-        SELECT graph_id, relation_id, row_number() OVER (PARTITION BY graph_id ORDER BY relation_id) - 1 AS rn FROM relations WHERE provenance = 'source' AND graph_id < 100) f
-        JOIN numbered_evidence e ON f.graph_id = e.graph_id AND (f.rn * 3) % e.n = e.rn""",
+        SELECT r.graph_id, relation_id, ((row_number() OVER (PARTITION BY r.graph_id ORDER BY relation_id) - 1) * 3) % n AS at FROM relations r JOIN evidence_counts c ON r.graph_id = c.graph_id WHERE provenance = 'source') f
+        JOIN numbered_evidence e ON f.graph_id = e.graph_id AND f.at = e.rn""",
     "entity_evidence": """SELECT f.graph_id, f.entity_id, e.evidence_id FROM (
-        SELECT graph_id, entity_id, row_number() OVER (PARTITION BY graph_id ORDER BY entity_id) - 1 AS rn FROM entities WHERE class_type = 'Work' AND graph_id < 100) f
-        JOIN numbered_evidence e ON f.graph_id = e.graph_id AND (f.rn * 5) % e.n = e.rn""",
+        SELECT r.graph_id, entity_id, ((row_number() OVER (PARTITION BY r.graph_id ORDER BY entity_id) - 1) * 5) % n AS at FROM entities r JOIN evidence_counts c ON r.graph_id = c.graph_id WHERE class_type = 'Work') f
+        JOIN numbered_evidence e ON f.graph_id = e.graph_id AND f.at = e.rn""",
     "entity_keys": """SELECT o_custkey AS graph_id, concat('W:', o_orderkey) AS entity_id, 'work_url' AS key_type, concat('https://example.org/w/', o_orderkey % 5000) AS key_value, o_orderkey % 3 <> 0 AS is_strong FROM orders""",
     "candidate_facts": """SELECT l_orderkey AS source_id, concat('e', l_linenumber) AS ref, l_orderkey * 10 + l_linenumber AS ord,
         CASE WHEN l_linenumber = 6 THEN NULL WHEN l_linenumber % 3 = 0 THEN 'Skill' WHEN l_linenumber % 3 = 1 THEN 'Work' ELSE 'Organization' END AS class_type,
@@ -67,8 +73,6 @@ _DUCK_LINES = "SELECT graph_id, doc_id, source, line - 1 AS line, text FROM (SEL
 
 def _needed(sql: str) -> list[str]:
     """The frames that a text uses, dependencies first."""
-    import re
-
     out: list[str] = []
 
     def visit(text: str) -> None:
@@ -83,7 +87,7 @@ def _needed(sql: str) -> list[str]:
 
 
 def duck_ctes(sql: str) -> str:
-    parts = [f"{n} AS ({_FRAMES[n].format(sha='sha256', bits='', lines=_DUCK_LINES)})" for n in _needed(sql)]
+    parts = [f"{n} AS MATERIALIZED ({_FRAMES[n].format(sha='sha256', bits='', lines=_DUCK_LINES)})" for n in _needed(sql)]
     return ", ".join(parts)
 
 
@@ -97,22 +101,33 @@ def oracle(sql: str) -> str:
     return f"WITH {ctes} {sql}" if ctes else sql
 
 
+#: Where the frames of a data folder are written, by application: each is made once and then read with its columns pruned.
+_MADE: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
 class Frames:
-    """The frames of one data folder, built on demand: frames.facts, frames.evidence and so on; base tables likewise."""
+    """The frames of one data folder, made on first use and kept in the shared folder: frames.facts, frames.evidence and so on; base tables likewise."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in _FRAMES:
-            return self.sql(f"SELECT * FROM {name}")
+            path, schema = self._made(name)
+            return self.spark.read.schema(schema).parquet(path)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def sql(self, text: str) -> DataFrame:
-        import re
+    def _made(self, name: str) -> tuple[str, StructType]:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _MADE:
+            body = _FRAMES[name].format(sha="sha2", bits=", 256", lines=_SPARK_LINES)
+            df = self.sql(body)
+            _MADE[key] = (written(df, f"frame-{name}"), df.schema)
+        return _MADE[key]
 
-        names = _needed(text)
-        parts = [f"{n} AS ({_FRAMES[n].format(sha='sha2', bits=', 256', lines=_SPARK_LINES)})" for n in names]
-        used = " ".join(parts) + text
-        tables = [f"{t} AS (SELECT * FROM parquet.`{self.sf_dir}/{t}.parquet`)" for t in TABLES if re.search(rf"\b{t}\b", used)]
-        return self.spark.sql("WITH " + ", ".join(tables + parts) + " " + text)
+    def sql(self, text: str) -> DataFrame:
+        """A query over frames and base tables."""
+        used = [n for n in _FRAMES if re.search(rf"\b{n}\b", text)]
+        parts = [f"{n} AS (SELECT * FROM parquet.`{self._made(n)[0]}`)" for n in used]
+        parts += [f"{t} AS (SELECT * FROM parquet.`{self.sf_dir}/{t}.parquet`)" for t in TABLES if re.search(rf"\b{t}\b", text)]
+        return self.spark.sql("WITH " + ", ".join(parts) + " " + text)

@@ -202,15 +202,15 @@ def duplicate_refs(k):
     return validation.duplicate_refs(k.candidate_relations.select("source_id", F.col("object_ref").alias("ref"))).select("source_id", "ref", F.col("n_ref").alias("n")).distinct()
 
 
-@query("""SELECT c.graph_id, c.claim, bool_and(coalesce(e.locator IS NOT NULL, false)) AS grounded FROM (SELECT graph_id, fact_id AS claim, 'line:' || (updated % 7)::VARCHAR AS locator FROM facts WHERE provenance = 'source' AND graph_id < 100
-   UNION ALL SELECT graph_id, fact_id, 'line:' || (updated % 11)::VARCHAR FROM facts WHERE provenance = 'source' AND graph_id < 100) c
-  LEFT JOIN (SELECT DISTINCT e.graph_id, e.locator FROM evidence e JOIN docs d ON e.document_id = concat('D:', d.doc_id) WHERE contains(d.text, e.snippet) AND d.doc_id < 100) e ON e.graph_id = c.graph_id AND e.locator = c.locator GROUP BY ALL""")
+@query("""SELECT c.graph_id, c.claim, bool_and(coalesce(e.locator IS NOT NULL, false)) AS grounded FROM (SELECT graph_id, fact_id AS claim, 'line:' || (updated % 7)::VARCHAR AS locator FROM facts WHERE provenance = 'source'
+   UNION ALL SELECT graph_id, fact_id, 'line:' || (updated % 11)::VARCHAR FROM facts WHERE provenance = 'source') c
+  LEFT JOIN (SELECT DISTINCT e.graph_id, e.locator FROM evidence e JOIN docs d ON e.document_id = concat('D:', d.doc_id) WHERE contains(d.text, e.snippet)) e ON e.graph_id = c.graph_id AND e.locator = c.locator GROUP BY ALL""")
 def grounding(k):
-    f = k.facts.where("provenance = 'source' AND graph_id < 100").withColumnRenamed("graph_id", "source_id")
+    f = k.facts.where("provenance = 'source'").withColumnRenamed("graph_id", "source_id")
     claims = f.select("source_id", F.col("fact_id").alias("claim"), F.explode(F.array(F.concat(F.lit("line:"), F.col("updated") % 7), F.concat(F.lit("line:"), F.col("updated") % 11))).alias("locator"))
-    e = k.evidence.where("ord < 100000000").select(F.col("graph_id").alias("source_id"), "locator", "snippet")
-    body = k.docs.where("doc_id < 100").select(F.col("graph_id").alias("source_id"), F.col("text").alias("content"))
-    return validation.grounded(claims, e, body).withColumnRenamed("source_id", "graph_id")
+    e = k.evidence.select(F.col("graph_id").alias("source_id"), "document_id", "locator", "snippet")
+    body = k.docs.select(F.concat(F.lit("D:"), "doc_id").alias("document_id"), F.col("text").alias("content"))
+    return validation.grounded(claims, e, body, "document_id").withColumnRenamed("source_id", "graph_id")
 
 
 # Status decisions
@@ -301,10 +301,10 @@ def superseded_version_guard(k):
     return k.evidence.join(d, ["graph_id", "document_id"]).where(~F.col("content_hash").eqNullSafe(F.col("processed_hash"))).select("graph_id", "evidence_id")
 
 
-@query(f"SELECT f.graph_id, f.fact_id, n.fact_id IS NOT NULL AS has_current FROM facts f LEFT JOIN (SELECT DISTINCT graph_id, fact_id FROM ({_LINKS.format(bridge='fact_evidence')})) n USING (graph_id, fact_id) WHERE f.graph_id < 100")
+@query(f"SELECT f.graph_id, f.fact_id, n.fact_id IS NOT NULL AS has_current FROM facts f LEFT JOIN (SELECT DISTINCT graph_id, fact_id FROM ({_LINKS.format(bridge='fact_evidence')})) n USING (graph_id, fact_id)")
 def current_evidence_flag(k):
     now = graph_store.current_links(k.fact_evidence, k.evidence, k.source_documents).select("graph_id", "fact_id").distinct().withColumn("now", F.lit(True))
-    return k.facts.where("graph_id < 100").join(now, ["graph_id", "fact_id"], "left").select("graph_id", "fact_id", F.col("now").isNotNull().alias("has_current"))
+    return k.facts.join(now, ["graph_id", "fact_id"], "left").select("graph_id", "fact_id", F.col("now").isNotNull().alias("has_current"))
 
 
 @query("""SELECT graph_id, fact_id, CASE WHEN predicate = 'kind' AND value_str = 'thesis' THEN 'project' ELSE value_str END AS value_str, CASE WHEN predicate = 'category' AND value_str NOT IN ('language', 'frontend', 'backend', 'database', 'other') THEN 'retracted' ELSE status END AS status FROM facts WHERE predicate <> 'start'""")
@@ -447,13 +447,11 @@ def section_paths(k):
     return documents.section_path(lines, ["doc_id"], "line", "level", "text").select("doc_id", "line", "section_path")
 
 
-@query("""WITH l AS (SELECT graph_id AS book, doc_id AS page, text AS key FROM doc_lines WHERE line < 2), p AS (SELECT book, count(DISTINCT page) AS pages FROM l GROUP BY ALL), o AS (SELECT book, key, count(DISTINCT page) AS n FROM l GROUP BY ALL)
- SELECT book, key, n FROM o JOIN p USING (book) WHERE n >= greatest(2, (pages + 1) // 8)""")
+@query("""WITH l AS (SELECT DISTINCT graph_id % 50 AS book, graph_id AS page, concat(line % 2, ':', length(text) // 40) AS key FROM doc_lines WHERE line < 2), p AS (SELECT book, count(DISTINCT page) AS pages FROM l GROUP BY ALL)
+ SELECT book, key, n FROM (SELECT book, key, count(*) AS n FROM l GROUP BY ALL) JOIN p USING (book) WHERE n >= greatest(2, (pages + 1) // 2)""")
 def repeated_lines(k):
-    lines = k.doc_lines.where("line < 2").select(F.col("graph_id").alias("book"), F.col("doc_id").alias("page"), F.col("text").alias("key"))
-    pages = lines.groupBy("book").agg(F.countDistinct("page").alias("pages"))
-    on = lines.groupBy("book", "key").agg(F.countDistinct("page").alias("n"))
-    return on.join(pages, "book").where(F.col("n") >= F.greatest(F.lit(2), F.floor((F.col("pages") + 1) / 8))).select("book", "key", "n")
+    lines = k.doc_lines.where("line < 2").select((F.col("graph_id") % 50).alias("book"), F.col("graph_id").alias("page"), F.concat_ws(":", (F.col("line") % 2).cast("string"), F.floor(F.length("text") / 40).cast("string")).alias("key"))
+    return documents.repeated_margins(lines, "book", "page", "key")
 
 
 @query("SELECT graph_id, arg_max(size, (w, -size)) AS size, max(w) AS weight FROM (SELECT graph_id, (length(text) % 7)::INT AS size, sum(length(text))::BIGINT AS w FROM doc_lines GROUP BY ALL) GROUP BY graph_id")
@@ -566,13 +564,13 @@ def date_ranks(k):
     return k.facts.where("predicate = 'start'").select("graph_id", "entity_id", iso.alias("iso"), dates.date_rank(dates.iso_to_output(iso), 1).alias("rank"))
 
 
-@query("""WITH p AS (SELECT o_custkey AS graph_id, o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 1, 7) ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS s, CASE WHEN o_orderkey % 4 <> 0 THEN substr(CAST(CAST(o_orderdate + INTERVAL 900 DAY AS DATE) AS VARCHAR), 1, 4) END AS e FROM orders WHERE o_orderkey % 5 = 0)
+@query("""WITH p AS (SELECT o_custkey AS graph_id, o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 1, 7) ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS s, CASE WHEN o_orderkey % 4 <> 0 THEN substr(CAST(CAST(o_orderdate + INTERVAL 900 DAY AS DATE) AS VARCHAR), 1, 4) END AS e FROM orders)
  SELECT graph_id, bool_and(left(a.s, least(length(a.s), length(coalesce(b.e, '9999')))) <= left(coalesce(b.e, '9999'), least(length(a.s), length(coalesce(b.e, '9999'))))) AS overlap FROM p a JOIN p b USING (graph_id) GROUP BY graph_id""")
 def period_overlaps(k):
     start = F.col("o_orderdate").cast("date").cast("string")
     end = F.date_add(F.col("o_orderdate").cast("date"), 900).cast("string")
     period = F.struct(F.when(F.col("o_orderkey") % 3 == 0, F.left(start, F.lit(7))).otherwise(start).alias("start"), F.when(F.col("o_orderkey") % 4 != 0, F.left(end, F.lit(4))).alias("end"))
-    return k.orders.where("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("graph_id")).agg(F.collect_list(period).alias("p")).select("graph_id", dates.periods_overlap(F.col("p")).alias("overlap"))
+    return k.orders.groupBy(F.col("o_custkey").alias("graph_id")).agg(F.collect_list(period).alias("p")).select("graph_id", dates.periods_overlap(F.col("p")).alias("overlap"))
 
 
 @query("SELECT p_partkey, array_to_string(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')), ' ') IS NOT NULL AS ok, len(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')))::INT AS n_tokens FROM part")
@@ -590,7 +588,7 @@ def core_term_pairs(k):
 
 @query()
 def similar_title_pairs(k):
-    return resolution.similar_title_pairs(k.part.select(F.lit(0).alias("graph_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), ["graph_id"], "id", "title").select("a", "b")
+    return resolution.similar_title_pairs(k.part.select(F.lit(0).alias("graph_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), ["graph_id"], "id", "title").select("a", "b", "equal")
 
 
 @query("SELECT key, count(*) AS n FROM (SELECT regexp_replace(replace(replace(lower(p_name), '+', 'plus'), '#', 'sharp'), '[^\\p{L}\\p{N}]+', '', 'g') AS key FROM part) GROUP BY key")

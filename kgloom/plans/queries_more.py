@@ -120,18 +120,18 @@ def evidenced_values(k):
     return f.select("graph_id", "entity_id", text.required_value(asked, held).alias("kept"))
 
 
-@query("SELECT o_custkey AS graph_id, NOT (bool_or(kind = 'publication') AND count(DISTINCT kind) > 1) AS compatible, count(DISTINCT lower(o_orderpriority)) <= 1 AS one_priority FROM (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN 'publication' ELSE 'project' END AS kind FROM orders WHERE o_orderkey % 5 = 0) GROUP BY ALL")
+@query("SELECT o_custkey AS graph_id, NOT (bool_or(kind = 'publication') AND count(DISTINCT kind) > 1) AS compatible, count(DISTINCT lower(o_orderpriority)) <= 1 AS one_priority FROM (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN 'publication' ELSE 'project' END AS kind FROM orders) GROUP BY ALL")
 def at_most_one(k):
     kind = F.when(F.col("o_orderkey") % 7 == 0, "publication").otherwise("project")
     none = F.array().cast("array<struct<start:string,end:string>>")
-    per = k.orders.where("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("graph_id")).agg(F.collect_list(kind).alias("kinds"), F.collect_list("o_orderpriority").alias("p"))
+    per = k.orders.groupBy(F.col("o_custkey").alias("graph_id")).agg(F.collect_list(kind).alias("kinds"), F.collect_list("o_orderpriority").alias("p"))
     return per.select("graph_id", assembly.works_compatible(F.col("kinds"), none).alias("compatible"), assembly.at_most_one(F.col("p")).alias("one_priority"))
 
 
-@query("SELECT a.o_custkey AS graph_id, a.o_orderkey AS a, b.o_orderkey AS b, CAST(a.o_orderdate AS DATE) <= CAST(b.o_orderdate AS DATE) + 100 AND CAST(b.o_orderdate AS DATE) <= CAST(a.o_orderdate AS DATE) + 100 AS overlap FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey WHERE a.o_orderkey % 4 = 0 AND b.o_orderkey % 4 = 0")
+@query("SELECT a.o_custkey AS graph_id, a.o_orderkey AS a, b.o_orderkey AS b, CAST(a.o_orderdate AS DATE) <= CAST(b.o_orderdate AS DATE) + 100 AND CAST(b.o_orderdate AS DATE) <= CAST(a.o_orderdate AS DATE) + 100 AS overlap FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey")
 def period_pairs(k):
     day = F.col("o_orderdate").cast("date")
-    p = k.orders.where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("id"), F.struct(day.cast("string").alias("start"), F.date_add(day, 100).cast("string").alias("end")).alias("p"))
+    p = k.orders.select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("id"), F.struct(day.cast("string").alias("start"), F.date_add(day, 100).cast("string").alias("end")).alias("p"))
     a, b = p.select("graph_id", F.col("id").alias("a"), F.col("p").alias("pa")), p.select("graph_id", F.col("id").alias("b"), F.col("p").alias("pb"))
     return a.join(b, "graph_id").where("a < b").select("graph_id", "a", "b", dates.periods_overlap(F.array("pa", "pb")).alias("overlap"))
 
@@ -203,11 +203,11 @@ def cv_entries(k):
     return k.orders.select("o_orderkey", dates.format_range(start, end).alias("shown"))
 
 
-@query("SELECT source_id, chunk, 'e' || n AS ref, 'e' || (n + CASE WHEN chunk = 1 THEN 3 ELSE 0 END) AS new_ref FROM (SELECT o_orderkey AS source_id, unnest([0, 0, 0, 1, 1]) AS chunk, unnest([1, 2, 3, 1, 2]) AS n FROM orders WHERE o_orderkey % 10 = 1)")
+@query("SELECT source_id, chunk, 'e' || n AS ref, 'e' || (n + CASE WHEN chunk = 1 THEN 3 ELSE 0 END) AS new_ref FROM (SELECT o_orderkey AS source_id, unnest([0, 0, 0, 1, 1]) AS chunk, unnest([1, 2, 3, 1, 2]) AS n FROM orders WHERE o_orderkey % 10 <> 2)")
 def chunk_merge(k):
     arr = lambda *x: F.array(*[F.lit(v) for v in x])
     rows = F.array(F.struct(F.lit(0).alias("chunk"), arr("e1", "e2", "e3").alias("refs")), F.struct(F.lit(1).alias("chunk"), F.when(F.col("o_orderkey") % 10 != 2, arr("e1", "e2")).alias("refs")))
-    r = k.orders.where("o_orderkey % 10 IN (1, 2)").select(F.col("o_orderkey").alias("source_id"), F.explode(rows).alias("x")).select("source_id", "x.*")
+    r = k.orders.select(F.col("o_orderkey").alias("source_id"), F.explode(rows).alias("x")).select("source_id", "x.*")
     return assembly.merge_chunk_results(r)
 
 
@@ -227,7 +227,7 @@ def work_dedupe(k):
 def activity_absorption(k):
     titles = k.facts.where("predicate = 'name' AND entity_id LIKE 'S:%'").select("graph_id", "entity_id", "value_str", F.col("updated").alias("ordinal"))
     pairs = resolution.similar_title_pairs(titles, ["graph_id"], "entity_id", "value_str")
-    return assembly.absorb_activities(titles.where("ordinal % 2 = 0"), titles.where("ordinal % 2 = 1"), pairs.union(pairs.select("graph_id", "b", "a"))).select("graph_id", "entity_id", "absorbed_by")
+    return assembly.absorb_activities(titles.where("ordinal % 2 = 0"), titles.where("ordinal % 2 = 1"), pairs).select("graph_id", "entity_id", "absorbed_by")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority || ' | ' || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderstatus END END AS row FROM orders")

@@ -44,11 +44,23 @@ def test_margins_modes_and_lines(spark):
 def test_sequential_resolution_truth_table(spark):
     c = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (1, 3, "d"), (2, 0, "x")], "graph_id bigint, ord int, ref string")
     s = spark.createDataFrame([(1, "S1"), (1, "S2"), (1, "S3")], "graph_id bigint, entity_id string")
-    same = spark.createDataFrame([(1, "a", "S1"), (1, "b", "S1"), (1, "b", "S2"), (1, "S1", "S2"), (1, "c", "S2"), (1, "c", "S3")], "graph_id bigint, a string, b string")
+    same = spark.createDataFrame([(1, "a", "S1"), (1, "b", "S1"), (1, "b", "S2"), (1, "S1", "S2"), (1, "c", "S2"), (1, "c", "S3")], "graph_id bigint, a string, b string").withColumn("equal", F.lit(False))
     got = {(r.graph_id, r.ref): (r.outcome, r.entity_id) for r in resolution.sequential_resolve(c, s, same).collect()}
     assert got == {(1, "a"): ("matched", "S1"), (1, "b"): ("matched", "S1"), (1, "c"): ("ambiguous", None), (1, "d"): ("new", "d"), (2, "x"): ("new", "x")}
 
 
+def test_equal_titles_are_alike(spark):
+    rows = [(1, "a", "Red Shop"), (1, "b", "red  shop"), (1, "c", "RED SHOP"), (1, "d", "Red Shop 2"), (1, "e", "Blue"), (2, "f", "red shop"), (1, "g", "!!")]
+    items = spark.createDataFrame(rows, "graph_id bigint, id string, title string")
+    pairs = resolution.similar_title_pairs(items, ["graph_id"], "id", "title")
+    got = {(r.graph_id, r.a, r.b, r.equal) for r in pairs.collect()}
+    assert {(1, "a", "c", True)} <= got and not any(x[0] == 2 for x in got) and (1, "a", "d", False) in got and not any("e" in x or "g" in x for x in got)
+    out = resolution.sequential_resolve(items.where("id IN ('b', 'c', 'd')").select("graph_id", F.col("id").alias("ord"), F.col("id").alias("ref")).withColumn("ord", F.ascii("ord")), items.where("id = 'a'").select("graph_id", F.col("id").alias("entity_id")), pairs)
+    assert {r.ref: r.entity_id for r in out.collect()} == {"b": "a", "c": "a", "d": "a"}
+    acts, works = (items.where(f"id IN ({ids})").select("graph_id", F.col("id").alias("entity_id"), F.ascii("id").alias("ordinal")) for ids in ("'c', 'e'", "'b', 'd', 'f'"))
+    assert {r.entity_id: r.absorbed_by for r in assembly.absorb_activities(acts, works, pairs).collect()} == {"c": "b", "e": None}
+
+
 def test_link_groups_are_greedy(spark):
     members = spark.createDataFrame([(1, "n1", True, "s1"), (1, "n2", True, "s2"), (1, "n3", True, "s1"), (1, "E1", False, None), (1, "E2", False, None)], "graph_id bigint, id string, is_new boolean, source_id string")
     groups = spark.createDataFrame([(1, 0, 0.5, ["n1", "n2"]), (1, 1, 0.9, ["n1", "E1", "E2"]), (1, 2, 0.9, ["n1", "n3"]), (1, 3, 0.9, ["n1", "E1", "n1"]), (1, 4, 0.9, ["n1", "n2"]), (1, 5, 0.95, ["n2", "n3"])], "graph_id bigint, group_ord int, confidence double, ids array<string>")
