@@ -121,3 +121,44 @@ def ref_offsets(sizes: DataFrame, keys: list[str], order: str, size: str) -> Dat
     """Adds offset: the sum of the sizes before each row."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)))
+
+
+def line_gaps(lines: DataFrame, keys: list[str], page: str, order: str) -> DataFrame:
+    """Adds gap: the space between a line's top and the bottom of the one before on its page."""
+    return lines.withColumn("gap", F.col("top") - F.lag("bottom").over(Window.partitionBy(*keys, page).orderBy(order)))
+
+
+#: Least space before an item where lines have no pages.
+ITEM_GAP = 12.0
+
+
+def item_starts(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adds starts: whether a line begins an item, from its layout and that of the line before.
+
+    lines: heading_level, table, is_list, blank_before, keep_with_next and gap_before.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = F.lag(F.struct("heading_level", "table", "keep_with_next")).over(w)
+    df = lines.withColumn("_before", before)
+    b = F.col("_before")
+    wide = F.coalesce(F.col("gap_before") >= ITEM_GAP, F.lit(False))
+    starts = (
+        F.when(F.coalesce(b["keep_with_next"], F.lit(False)), False)
+        .when(F.col("heading_level").isNotNull(), ~F.coalesce(b["heading_level"] < F.col("heading_level"), F.lit(False)))
+        .when(b["heading_level"].isNotNull(), False)
+        .when(F.col("table").isNotNull(), ~F.coalesce(b["table"] == F.col("table"), F.lit(False)))
+        .when(b["table"].isNotNull(), True).when(F.col("is_list"), False).when(F.col("blank_before"), True).otherwise(wide)
+    )
+    return df.withColumn("starts", starts).drop("_before")
+
+
+def top_section(locator: Column) -> Column:
+    """The first part of a locator's section path."""
+    path = F.regexp_extract(locator, r";section_path=(.*)$", 1)
+    return F.nullif(F.get(F.split(path, " > "), F.lit(0)), F.lit(""))
+
+
+def extraction_index(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, held): map of predicate to values in their order. rows: keys, predicate, value_str, ord."""
+    per = rows.groupBy(*keys, "predicate").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "value_str"))), lambda x: x["value_str"]).alias("v"))
+    return per.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("predicate", "v"))).alias("held"))

@@ -89,3 +89,27 @@ def grounded(claims: DataFrame, evidence: DataFrame, content: DataFrame, *docume
     """
     usable = evidence.join(content, [*document] or "source_id").where(F.contains("content", "snippet")).select("source_id", "locator").distinct().withColumn("found", F.lit(True))
     return claims.join(usable, ["source_id", "locator"], "left").groupBy("source_id", "claim").agg(F.bool_and(F.coalesce("found", F.lit(False))).alias("grounded"))
+
+
+def same_members(asked: DataFrame, held: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """(keys, equal): whether both sides have the same members under a key."""
+    a, b = (df.select(*keys, member).distinct().withColumn(name, F.lit(True)) for df, name in ((asked, "_a"), (held, "_b")))
+    return a.join(b, [*keys, member], "full").groupBy(*keys).agg(F.bool_and(F.coalesce("_a", F.lit(False)) & F.coalesce("_b", F.lit(False))).alias("equal"))
+
+
+def apply_precondition(documents: DataFrame, snapshots: DataFrame, version: str) -> DataFrame:
+    """documents (graph_id, source_key, processed_hash, processed_ontology, text) plus issue: why a source can't be applied now; null if it can."""
+    s = snapshots.where("fetch_status = 'success' AND content_hash IS NOT NULL").select("graph_id", "source_key", "content_hash")
+    known = F.col("content_hash").isNotNull()
+    issue = (
+        F.when(~known, "NOT_STORED").when(F.sha2("text", 256) != F.col("content_hash"), "HASH_MISMATCH")
+        .when((F.col("processed_hash") == F.col("content_hash")) & (F.col("processed_ontology") == version), "ALREADY_PROCESSED")
+    )
+    return documents.join(s, ["graph_id", "source_key"], "left").withColumn("issue", issue)
+
+
+def credential_works(facts: DataFrame) -> DataFrame:
+    """(source_id, ref) of Works whose kind, as it was said, is a Credential's."""
+    kinds = ontology.VALUES["Credential", "kind"]
+    said = F.array_join(F.filter(F.split(F.lower("value_str"), r"\s+"), lambda w: w != ""), "_")
+    return facts.where((F.col("class_type") == "Work") & (F.col("predicate") == "kind") & said.isin(*kinds)).select("source_id", "ref").distinct()

@@ -140,8 +140,8 @@ def evidence_latest(k):
 
 # Validation
 _NORMAL = "lower(regexp_replace(trim(value_str), '\\s+', '_', 'g'))"
-_CHECKED = f"""WITH types(class_type, predicate, value_type) AS (VALUES {ontology.sql_rows((c, *p.split(":")) for c, ps in ontology.PROPERTIES.items() for p in ps.split())}),
-allowed(class_type, predicate, allowed) AS (VALUES {ontology.sql_rows((c, p, v) for (c, p), vs in ontology.VALUES.items() for v in vs.split())}),
+_CHECKED = f"""WITH types(class_type, predicate, value_type) AS (VALUES {ontology.sql_rows((c, *p) for c, ps in ontology.PROPERTIES.items() for p in ps)}),
+allowed(class_type, predicate, allowed) AS (VALUES {ontology.sql_rows((c, p, v) for (c, p), vs in ontology.VALUES.items() for v in vs)}),
 typed AS (SELECT class_type, predicate, list(value_type) AS types FROM types GROUP BY ALL), listed AS (SELECT class_type, predicate, list(allowed) AS allowed FROM allowed GROUP BY ALL),
 shaped AS (SELECT c.*, t.types, l.allowed, CASE WHEN l.allowed IS NULL THEN value_str ELSE list_filter(l.allowed, lambda a: lower(a) = {_NORMAL})[1] END AS value FROM candidate_facts c LEFT JOIN typed t USING (class_type, predicate) LEFT JOIN listed l USING (class_type, predicate)),
 checked AS (SELECT *, CASE WHEN ref = 'self' THEN 'SELF_FACT' WHEN class_type IS NULL THEN 'MISSING_ENTITY' WHEN types IS NULL THEN 'INVALID_PROPERTY'
@@ -175,7 +175,7 @@ def unidentified_entities(k):
     return validation.unidentified(c.where("class_type IS NOT NULL").select("source_id", "ref", "class_type").distinct(), validation.check_facts(c).where("issue IS NULL")).select("source_id", "ref", "class_type")
 
 
-_PAIRS = ontology.sql_rows((r, *p.split("-")) for r, ps in ontology.PAIRS.items() for p in ps.split())
+_PAIRS = ontology.sql_rows((r, *p) for r, ps in ontology.PAIRS.items() for p in ps)
 _REL_CHECKED = f"""WITH pairs(predicate, s, o) AS (VALUES {_PAIRS}), c AS (SELECT DISTINCT source_id, ref, class_type FROM candidate_facts WHERE class_type IS NOT NULL),
 checked AS (SELECT r.*, CASE WHEN (CASE WHEN subject_ref = 'self' THEN 'Person' ELSE s.class_type END) IS NULL OR (CASE WHEN object_ref = 'self' THEN 'Person' ELSE o.class_type END) IS NULL THEN 'MISSING_ENTITY'
   WHEN r.predicate NOT IN (SELECT predicate FROM pairs) THEN 'INVALID_RELATION'
