@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,16 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="kgloom-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage and survives executor loss."""
+def stage(df: DataFrame, name: str, **options) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage and survives executor loss. options: for the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kgloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
+    spark._jvm.System.gc()  # the driver drops the shuffle files of plans that it finds unreachable
     out = spark.read.schema(df.schema).parquet(path)
     out._kgloom_path = path
     return out
@@ -50,6 +56,22 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def tidy(f):
+    """A function over Arrow batches that gives its worker's memory back at its end: workers are kept for later tasks, which may need none of it."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return run
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
