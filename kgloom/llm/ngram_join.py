@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_WORD, components, discard, let, stage, table
+from .common import SPACE_WORD, components, discard, let, stage, table, tidy
 from .textcols import chain, mix64, text_chunks, tokens
 
 BAND_RATIO = 1.5
@@ -37,7 +37,7 @@ VERIFY_COST = 20
 SAME = 1e-7
 BLOOM_BITS = 26
 MAX_SIZE = 1 << 40
-#: Longs of a set's parity bitmap: two sets differ in at least as many members as their bitmaps do in bits.
+#: Longs of a set's parity bitmap, at least; it has as many bits as the set has members. Two sets differ in at least as many members as their bitmaps do in bits.
 PARITY = 16
 
 
@@ -150,18 +150,27 @@ def shingle_sets(column: pa.Array, width: int):
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
-    odd = np.bincount((shingles % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    """A power of two of longs; folded in halves it is the shorter bitmap."""
+    bits = max(64 * PARITY, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _may_be_similar(num: int, den: int):
-    """A condition on a_size, b_size, a_bits, b_bits that every similar pair meets."""
-    sa, sb = F.col("a_size"), F.col("b_size")
+    """A condition on a_size, b_size, a_bits, b_bits that every similar pair meets. Bitmaps of sizes that fit are of one length or of twice that."""
+    sa, sb, a, b = F.col("a_size"), F.col("b_size"), F.col("a_bits"), F.col("b_bits")
     least = F.ceil((sa + sb) * num / (num + den) - 1e-9)
-    apart = F.bit_count(F.col("a_bits")[0].bitwiseXOR(F.col("b_bits")[0]))
-    for i in range(1, PARITY):
-        apart = apart + F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i]))
-    return (den * F.least(sa, sb) >= num * F.greatest(sa, sb)) & (apart <= sa + sb - 2 * least)
+    n = F.least(F.size(a), F.size(b))
+
+    def xor(x, y):
+        return F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+
+    def folded(x):
+        return F.when(F.size(x) > n, xor(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n))).otherwise(x)
+
+    apart = F.aggregate(xor(folded(a), folded(b)), F.lit(0), lambda total, x: total + F.bit_count(x))
+    fits = den * F.least(sa, sb) >= num * F.greatest(sa, sb)
+    return F.when(fits, (F.greatest(F.size(a), F.size(b)) > 2 * n) | (apart <= sa + sb - 2 * least)).otherwise(False)
 
 
 def digest(shingles: np.ndarray) -> int:
@@ -204,7 +213,7 @@ def _shared_entries(indexed: DataFrame) -> DataFrame:
             if len(keep):
                 yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(fps[own[keep]].astype(np.int64))], ["sig", "fp"])
 
-    maybe = indexed.where("nd_sigs IS NOT NULL").select("nd_sigs", "nd_fp").mapInArrow(pick, "sig bigint, fp bigint")
+    maybe = indexed.where("nd_sigs IS NOT NULL").select("nd_sigs", "nd_fp").mapInArrow(tidy(pick), "sig bigint, fp bigint")
     # copies in different tasks make equal entries
     out = stage(maybe.join(wanted, "sig").select("sig", "fp").distinct(), "members")
     discard(wanted)
@@ -232,7 +241,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int)
                 lens = np.cumsum([0] + [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.ListArray.from_arrays(pa.array(lens.astype(np.int32)), pa.array(np.concatenate(sets)))], ["fp", "own"])
 
-    sets = docs.select("text").mapInArrow(fetch, "fp bigint, own array<bigint>")
+    sets = docs.select("text").mapInArrow(tidy(fetch), "fp bigint, own array<bigint>")
     sets = stage(sets, "sets")
     left = pairs.join(sets.select(F.col("fp").alias("b"), F.col("own").alias("own_b")), "b")
     both = left.join(sets.select(F.col("fp").alias("a"), F.col("own").alias("own_a")), "a")
@@ -289,7 +298,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
 
     long, longs = T.LongType(), T.ArrayType(T.LongType())
     schema = T.StructType([docs.schema["nd_row"], T.StructField("nd_size", long), T.StructField("nd_fp", long), T.StructField("nd_bits", longs), T.StructField("nd_sigs", longs)])
-    indexed = stage(docs.mapInArrow(index, schema), "indexed")
+    indexed = stage(docs.mapInArrow(tidy(index), schema), "indexed")
     shared = _shared_entries(indexed)
     # every member against the bucket's most widely shared set, which is what copies have in common: linear, whatever the bucket
     width_of = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))

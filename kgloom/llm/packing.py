@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, tidy
 from .textcols import mix64, text_chunks, tokens
 
 LENGTH = 1024
@@ -188,7 +188,7 @@ def statistics(docs: DataFrame) -> Statistics:
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, [-1, -2])), pa.array(np.append(df[seen], [words, n]))], ["slot", "n"])
 
-    got = docs.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select("text").mapInArrow(tidy(count), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     slot, n = got["slot"].to_numpy(), got["n"].to_numpy()
     df = np.zeros(1 << TERM_BITS)
     df[slot[slot >= 0]] = n[slot >= 0]
@@ -243,7 +243,7 @@ def _dealt(docs: DataFrame, stats: Statistics) -> DataFrame:
             yield b.append_column("pack_part", pa.array(part.astype(np.int32))).append_column("pack_key", pa.array(key))
 
     schema = T.StructType([*docs.select("doc_id", "text").schema.fields, T.StructField("pack_part", T.IntegerType()), T.StructField("pack_key", T.LongType())])
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, schema).repartitionById(n_parts, F.col("pack_part"))
+    dealt = docs.select("doc_id", "text").mapInArrow(tidy(deal), schema).repartitionById(n_parts, F.col("pack_part"))
     return dealt.sortWithinPartitions("pack_key", "doc_id").select("doc_id", "text")
 
 
@@ -445,7 +445,7 @@ def pack(docs: DataFrame, stats: Statistics | None = None, length: int = LENGTH,
             yield from out(packer.pack(rows, ids, Shard(terms, stats, names)))
         yield from out(packer.finish())
 
-    return _dealt(docs, stats).mapInArrow(run, f"doc_id {id_type}, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return _dealt(docs, stats).mapInArrow(tidy(run), f"doc_id {id_type}, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, table
+from .common import crc_mod, table, tidy
 from .textcols import chain, text_chunks, tokens
 
 #: Labelled rows used for training at most, those with the smallest hash of doc_id; the bound of the only sample taken.
@@ -88,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
         if examples:
             yield pa.RecordBatch.from_pydict({"weights": pa.array([ftrl(examples, np.concatenate(targets)).tobytes()], pa.binary())})
 
-    got = rows.select("text", "label").mapInArrow(fit, "weights binary").collect()
+    got = rows.select("text", "label").mapInArrow(tidy(fit), "weights binary").collect()
     return Model(np.frombuffer(got[0]["weights"]) if got else np.zeros((1 << BITS) + 1))
 
 
@@ -112,7 +112,7 @@ def classify(docs: DataFrame, model: Model, least: float | None = None, keep: li
             out = b.select(keep).append_column(SCORE, pa.array(s))
             yield out if least is None else out.filter(pa.array(s >= least))
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(tidy(score), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
