@@ -179,8 +179,8 @@ WITH turns AS (
     UNION ALL VALUES (-7, 0, 'user', '{TRAP}'), (-7, 1, 'assistant', '{TRAP}')
   )
 )
-SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = '{ASSISTANT}'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = '{ASSISTANT}'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = '{ASSISTANT}'), '')) AS loss_sha256,
   sum({len(OPEN) + len(MIDDLE) + len(CLOSE)} + length(role) + escaped_chars)::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id"""

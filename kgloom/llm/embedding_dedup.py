@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, discard, stage, table
+from .common import components, discard, stage, table, tidy
 
 LEAST = 0.95
 BLOCKS = 4
@@ -128,19 +129,19 @@ def codes_needed(dim: int, n: int, least: float = LEAST, seed: int = SEED) -> in
 
 def _units(column: pa.Array) -> list[np.ndarray | None]:
     """Unit vectors in double precision; None for null, zero, empty and non-finite ones."""
-    out = []
-    for v in column:
-        v = v.as_py()
-        if not v or any(x is None for x in v):
+    lens = column.value_lengths().fill_null(0).to_numpy()
+    flat = column.flatten().cast(pa.float64())
+    flat = flat.fill_null(np.nan).to_numpy()
+    at = np.concatenate([[0], np.cumsum(lens)])
+    out: list = []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        v = flat[a:b]
+        top = np.abs(v).max() if b > a else 0.0
+        if not np.isfinite(top) or top == 0:
             out.append(None)
             continue
-        a = np.array(v, float)
-        top = np.abs(a).max()
-        if not np.isfinite(a).all() or top == 0:
-            out.append(None)
-            continue
-        a = a / top  # no overflow or underflow in the norm
-        out.append(a / np.linalg.norm(a))
+        v = v / top  # no overflow or underflow in the norm
+        out.append(v / np.linalg.norm(v))
     return out
 
 
@@ -190,20 +191,20 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, seed: int = SEED)
     link with nothing; vectors of different lengths neither. Equal vectors are one
     node with a weight, so copies are never paired. Repeated ids are rows of their own;
     a null vec_id never names a component unless all ids in it are null. An
-    empty table stays empty. Columns named ed_* are not allowed.
+    empty table stays empty. Columns named n_links, component_id or kept are replaced; any other passes through, whatever its name.
     """
-    spark = vectors.sparkSession
-    plain = [c for c in vectors.columns if c != "embedding"]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in vectors.select(*plain).schema.fields)
+    plain = [c for c in vectors.columns if c not in ("embedding", "n_links", "component_id", "kept")]
+    vectors = vectors.select(F.struct(*[F.col(f"`{c}`") for c in plain]).alias("ed_row"), "embedding")
+    schema = T.StructType([vectors.schema["ed_row"], T.StructField("ed_fp", T.LongType()), T.StructField("ed_unit", T.BinaryType())])
 
     def name(batches):
         for b in batches:
             units = _units(b.column("embedding"))
             fps = [None if u is None else int.from_bytes(blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True) for u in units]
-            out = b.select(plain).append_column("ed_fp", pa.array(fps, pa.int64()))
+            out = b.select(["ed_row"]).append_column("ed_fp", pa.array(fps, pa.int64()))
             yield out.append_column("ed_unit", pa.array([None if u is None else u.tobytes() for u in units], pa.binary()))
 
-    rows = stage(vectors.mapInArrow(name, f"{fields}ed_fp bigint, ed_unit binary"), "vectors")
+    rows = stage(vectors.mapInArrow(tidy(name), schema), "vectors")
     nodes = rows.where("ed_fp IS NOT NULL").groupBy("ed_fp").agg(F.count(F.lit(1)).alias("weight"), F.first("ed_unit").alias("unit"))
     nodes = stage(nodes, "nodes")
     lengths = {r["dim"]: r["n"] for r in nodes.groupBy((F.octet_length("unit") / 8).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -227,7 +228,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, seed: int = SEED)
             lens = np.cumsum([0] + [len(f) for f in found]).astype(np.int32)
             yield b.append_column("filters", pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))))
 
-    filtered = stage(nodes.mapInArrow(spread, "ed_fp bigint, weight bigint, unit binary, filters array<bigint>"), "filters")
+    filtered = stage(nodes.mapInArrow(tidy(spread), "ed_fp bigint, weight bigint, unit binary, filters array<bigint>"), "filters")
     big = filtered.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS)
     big = stage(big.select("filter", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("n_blocks")), "big")
     each = filtered.select("ed_fp", "weight", "unit", "filters", F.explode("filters").alias("filter")).join(big, "filter", "left")
@@ -268,18 +269,18 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, seed: int = SEED)
         if out:
             yield batch()
 
-    found = stage(each.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j").mapInArrow(compare, "a bigint, b bigint, n bigint"), "links")
+    found = stage(each.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j").mapInArrow(tidy(compare), "a bigint, b bigint, n bigint"), "links")
     degree = found.groupBy(F.col("a").alias("ed_fp")).agg(F.sum("n").alias("ed_links"))
     label = components(found).select(F.col("node").alias("ed_fp"), F.col("component").alias("ed_label"))
     known = nodes.select("ed_fp", "weight").join(degree, "ed_fp", "left").join(label, "ed_fp", "left")
     of = rows.drop("ed_unit").join(known, "ed_fp", "left").withColumn("ed_label", F.coalesce("ed_label", "ed_fp"))
     of = stage(of, "labelled")
-    smallest = of.where("ed_label IS NOT NULL").groupBy("ed_label").agg(F.min("vec_id").alias("component_id"))
-    out = of.join(smallest, "ed_label", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
+    smallest = of.where("ed_label IS NOT NULL").groupBy("ed_label").agg(F.min("ed_row.vec_id").alias("ed_least"))
+    out = of.join(smallest, "ed_label", "left").withColumn("ed_least", F.coalesce("ed_least", "ed_row.vec_id"))
     links = F.coalesce(F.coalesce("ed_links", F.lit(0)) + F.col("weight") - 1, F.lit(0)).cast("long")
     for df in (filtered, big):
         discard(df)
-    return out.select(*plain, links.alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("ed_row.*", links.alias("n_links"), F.col("ed_least").alias("component_id"), F.coalesce(F.col("ed_row.vec_id") == F.col("ed_least"), F.lit(False)).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Tokens are summed per source, target sizes follow from the weights, and
 each document is emitted floor(rate) times plus one more time with
-probability frac(rate), decided by a seeded hash of its id.
+probability frac(rate), decided by a seeded hash of its id and text.
 """
 
 from __future__ import annotations
@@ -52,39 +52,44 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return s.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
 
 
-def unit(key: Column, seed: str = SEED) -> Column:
+def unit(doc_id: Column, text: Column, seed: str = SEED) -> Column:
     """A number in [0, 1) from a seeded hash; 52 bits, so it is exact as a double."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+    key = F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    digest = F.md5(key.cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
 def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """docs plus mix_size, mix_source_size, mix_target and mix_copies.
+    """docs plus mix_size, mix_source_size, mix_target and mix_copies; columns of docs with these names are replaced, all others pass through.
 
     Null or blank text has size 0. A null source is a source of its own.
-    Rows that share a doc_id share their draw, so reruns and repeated rows
+    Rows that share doc_id and text share their draw, so reruns and repeated rows
     agree; a null doc_id draws as the empty id. An empty table stays
-    empty. Other columns pass through untouched. Sources are few, which is
+    empty. Sources are few, which is
     checked: beyond BROADCAST_ROWS of them the join is salted instead.
     """
-    sized = docs.withColumn("mix_size", n_tokens(docs["text"]))
-    plan = stage(targets(sized.groupBy("source").agg(F.sum("mix_size").alias("source_size"))), "mix")
-    plan = plan.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
+    own = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    plain = [c for c in docs.columns if c not in own]
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in plain]).alias("row"), n_tokens(docs["text"]).alias("mix_size"))
+    source = F.col("row.source")
+    plan = stage(targets(sized.groupBy(source.alias("source")).agg(F.sum("mix_size").alias("source_size"))), "mix")
+    plan = plan.select("source", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "rate")
     if plan.count() <= BROADCAST_ROWS:
-        joined = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["mix_source"]))
+        joined = sized.join(F.broadcast(plan), source.eqNullSafe(F.col("source")))
     else:
-        salted = plan.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        keyed = sized.withColumn("mix_row_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        joined = keyed.join(salted, keyed["source"].eqNullSafe(salted["mix_source"]) & (keyed["mix_row_salt"] == salted["mix_salt"])).drop("mix_salt", "mix_row_salt")
-    whole = F.floor("mix_rate")
-    extra = (unit(F.col("doc_id"), seed) < F.col("mix_rate") - whole).cast("long")
-    return joined.withColumn("mix_copies", whole + extra).drop("mix_source", "mix_rate")
+        salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        keyed = sized.withColumn("row_salt", F.pmod(F.xxhash64("row.doc_id"), F.lit(SALTS)).cast("int"))
+        joined = keyed.join(salted, source.eqNullSafe(F.col("source")) & (F.col("row_salt") == F.col("salt")))
+    whole = F.floor("rate")
+    extra = (unit(F.col("row.doc_id"), F.col("row.text"), seed) < F.col("rate") - whole).cast("long")
+    return joined.withColumn("mix_copies", whole + extra).select("row.*", *own)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: docs' columns, each document as often as drawn."""
-    out = with_copies(docs, **options)
-    return out.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*docs.columns)
+    boxed = docs.select("doc_id", "source", "text", F.struct("*").alias("whole"))
+    out = with_copies(boxed, **options).where("mix_copies > 0").select("whole", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy"))
+    return out.select("whole.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -119,7 +124,7 @@ WITH mix_sized AS (
   SELECT source AS mix_source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM mix_plan
 ), mix_drawn AS (
   SELECT d.*, source_size, target,
-    (floor(rate) + CASE WHEN ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / {float(1 << 52)}::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies
+    (floor(rate) + CASE WHEN ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT / {float(1 << 52)}::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies
   FROM mix_sized d JOIN mix_rated p ON d.source IS NOT DISTINCT FROM p.mix_source
 )
 SELECT {columns} FROM mix_drawn"""

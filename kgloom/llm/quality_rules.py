@@ -124,25 +124,26 @@ def judge(docs: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
 
     Null text is empty: no words, so the base rule fails. Rows are judged
     one by one against the one model, so repeated rows agree; an empty
-    table stays empty; other columns pass through.
+    table stays empty; other columns pass through, whatever their names, and one called quality is replaced.
     """
-    return judge_signals(docs.withColumn("quality_signals", signals(docs["text"])), rules, rounds)
+    plain = [c for c in docs.columns if c != "quality"]
+    return judge_signals(docs.select(F.struct(*[F.col(f"`{c}`") for c in plain]).alias("row"), signals(docs["text"]).alias("quality_signals")), rules, rounds)
 
 
 def judge_signals(seen: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
-    """Like judge(), from a column quality_signals that signals() made."""
+    """Like judge(), from the columns row, a struct, and quality_signals, which signals() made."""
     vote = F.array(*[F.expr(_in_struct(_vote_sql(r), SIGNALS)) for r in rules])
     prior, good, bad = fit(seen.select(vote.alias("v")), rules, rounds)
-    seen = seen.withColumn("quality_votes", vote)
+    seen = seen.withColumn("votes", vote)
     odds = F.lit(math.log(prior / (1 - prior)))
     for j, (g, b) in enumerate(zip(good, bad, strict=True)):
-        v = F.col("quality_votes")[j]
+        v = F.col("votes")[j]
         odds = odds + F.when(v == 1, math.log(g / (1 - b))).when(v == -1, math.log((1 - g) / b)).otherwise(0.0)
     posterior = 1 / (1 + F.exp(-odds))
     s = F.col("quality_signals")
     failed = (s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"])
-    quality = F.struct("quality_signals.*", F.col("quality_votes").alias("votes"), posterior.alias("posterior"), failed.alias("base_failed"), (~failed & (posterior >= 0.5)).alias("kept"))
-    return seen.withColumn("quality", quality).drop("quality_signals", "quality_votes")
+    quality = F.struct("quality_signals.*", "votes", posterior.alias("posterior"), failed.alias("base_failed"), (~failed & (posterior >= 0.5)).alias("kept"))
+    return seen.select("row.*", quality.alias("quality"))
 
 
 def _in_struct(sql: str, names) -> str:
@@ -155,7 +156,7 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # the counts are read twice, by the estimation and by the verdicts; texts only once
-    seen = stage(docs.select("doc_id", signals(docs["text"]).alias("quality_signals")), "signals")
+    seen = stage(docs.select(F.struct("doc_id").alias("row"), signals(docs["text"]).alias("quality_signals")), "signals")
     return judge_signals(seen).select("doc_id", *[f"quality.{c}" for c in BASE])
 
 

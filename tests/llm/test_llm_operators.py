@@ -108,6 +108,35 @@ def test_mixing_comes_near_its_targets(spark, sources):
     assert all(abs(r.taken - r.target) < 0.05 * r.target for r in per)
 
 
+CLASHES = ("row", "mix_size", "source_size", "rate", "salt", "quality", "quality_signals", "votes", "lm", "lm_of", "lm_row", "key", "n", "ed_row", "weight", "unit", "kept", "component_id", "filters", "license", "ls_row", "hits")
+
+
+def test_clashing_names_pass_through_or_are_replaced(spark, corpus):
+    docs = corpus.where("doc_id < 12 OR doc_id IS NULL").select("*", *[F.lit("x").alias(c) for c in CLASHES])
+    for out, own in ((mixing.with_copies(docs), {"mix_size"}), (mixing.mix(docs), set()), (quality_rules.judge(docs), {"quality"}), (context_tree.score(docs, context_tree.train(docs)), {"lm"}), (license_scan.scan(docs), {"license"})):
+        rows = out.collect()
+        assert rows and all(set(map(str, (r[c] for c in CLASHES if c not in own))) == {"x"} for r in rows)
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])], "vec_id bigint, embedding array<double>").select("*", *[F.lit("x").alias(c) for c in CLASHES])
+    got = {r.vec_id: (r.component_id, r.kept, r.weight, r.ed_row) for r in embedding_dedup.near_duplicates(vectors).collect()}
+    assert got == {1: (1, True, "x", "x"), 2: (1, False, "x", "x"), 3: (3, True, "x", "x")}
+
+
+def test_very_long_texts(spark):
+    """One text of some MB between short ones, for every operator on texts."""
+    long = "\n".join(f"word{i} of{i % 97} many{i % 1009} lines here {i}" for i in range(60_000))
+    docs = spark.createDataFrame([(0, long, "s"), (1, long + " more", "s"), (2, "a b c", "s")], "doc_id bigint, text string, source string")
+    near = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs, 3, 90, 100).collect()}
+    assert near == {0: 0, 1: 0, 2: 2}
+    pieces = packing.pack(docs).collect()
+    assert sum(len(p.ids) // 4 for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
+    assert line_dedup.dedup(docs).where("doc_id = 1 AND text = ''").count() == 1
+    model = context_tree.train(docs)
+    assert context_tree.score(docs, model).where("doc_id = 0").first().lm.n_tokens == 6 * 60_000 + 1
+    assert {r.doc_id: r.mix_size for r in mixing.with_copies(docs).collect()}[0] == 6 * 60_000
+    assert license_scan.scan(docs).where("doc_id = 0").first().license.n_words == 6 * 60_000
+    assert quality_rules.judge(docs).where("doc_id = 0").first().quality.n_words == 6 * 60_000
+
+
 def test_chat(spark):
     rows = [
         (1, 0, 0, "message", "user", "hi"), (1, 1, 1, "message", "assistant", "He"), (1, 1, 2, "delta", None, "llo"), (1, 1, 5, "regenerate", None, None), (1, 1, 6, "delta", None, "Good "), (1, 1, 7, "delta", None, "day"),
@@ -232,6 +261,22 @@ def test_ngram_signatures_meet(num, counts):
     assert tried > 300
 
 
+def test_ngram_bitmaps_bound_the_difference(spark):
+    """No pair that is similar enough is lost; different large sets are told apart."""
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for n in (30, 900, 1020, 1100, 5000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for drop, add in ((0, 0), (n // 20, 0), (0, n // 20), (n // 12, n // 12), (n // 9, n // 9), (n, n)):
+            b = np.unique(np.concatenate([a[rng.permutation(len(a))[drop:]], rng.integers(0, 2**63, add).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            want.append((100 * both >= 80 * (len(a) + len(b) - both), drop == n))
+            rows.append((len(rows), len(a), len(b), ngram_join.parity(a).tolist(), ngram_join.parity(b).tolist()))
+    got = spark.createDataFrame(rows, "i int, a_size bigint, b_size bigint, a_bits array<bigint>, b_bits array<bigint>").select("i", ngram_join._may_be_similar(80, 100).alias("ok")).collect()
+    ok = {r.i: r.ok for r in got}
+    assert all(ok[i] for i, (similar, _) in enumerate(want) if similar) and not any(ok[i] for i, (_, other) in enumerate(want) if other)
+
+
 def test_quality_rules(spark, corpus, empty):
     got = quality_rules.judge(corpus).collect()
     assert len(got) == corpus.count() and quality_rules.judge(empty).count() == 0
