@@ -75,7 +75,7 @@ def missing_children(blocks: DataFrame) -> DataFrame:
 
 
 def walk(blocks: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFrame:
-    """Depth-first order of block trees: (page, id, depth, path). Child pages aren't entered; a repeated id keeps its first place."""
+    """Depth-first order of block trees: (page, id, depth, path). Child pages aren't entered; a repeated id keeps its first place. Deeper trees are an error."""
     from kgloom.plans.staging import stage
 
     kids = blocks.select("page", F.col("id").alias("parent"), "kind", F.posexplode("children").alias("n", "id"))
@@ -89,4 +89,6 @@ def walk(blocks: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFrame:
         if level.isEmpty():
             break
         out = out.union(level)
+    else:
+        raise RuntimeError(f"blocks are nested deeper than {max_depth}")
     return out.groupBy("page", "id").agg(F.min("path").alias("path")).withColumn("depth", F.size("path"))

@@ -43,7 +43,15 @@ PAIRS = {
 }
 #: Properties that can identify an entity.
 IDENTITY = {"Work": ("title",), "Credential": ("title",), "Skill": ("name",), "Organization": ("name",), "Activity": ("name",)}
-CATEGORIES = ("language", "frontend", "backend", "database", "other")
+#: Categories of skills, in the order in which they are shown.
+CATEGORIES = (
+    "language", "web_markup_styling", "frontend", "ui_component", "backend", "mobile", "desktop", "state_management", "server_state_data_fetching",
+    "api_communication", "database", "orm_data_access", "cache_search", "messaging_event_streaming", "auth_security", "architecture_design",
+    "build_package_tool", "dev_automation_tool", "ci_cd", "container_infra_automation", "cloud_deployment", "storage_cdn", "os_server", "network",
+    "testing_quality", "monitoring_observability", "data_collection_processing", "data_pipeline", "data_warehouse_lakehouse", "data_analysis_bi",
+    "data_visualization", "statistics_experiment", "machine_learning", "nlp_computer_vision", "generative_ai_llm", "vector_search",
+    "knowledge_graph_ontology", "mlops_model_serving", "design_prototyping", "docs_collaboration", "game_realtime_graphics", "embedded_iot", "other",
+)
 CONTENT = ("Education", "Experience", "Activity", "Work", "Credential", "Skill")
 CONTEXT = ("Organization", "Channel", "Skill")
 

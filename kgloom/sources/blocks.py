@@ -10,7 +10,6 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MOST_MEMBERS, MOST_UNZIPPED, MOST_ATTACHMENT = 1000, 50 * 1024 * 1024, 10 * 1024 * 1024
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -88,38 +87,11 @@ def attachments(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).where(F.col("length") <= MOST_ATTACHMENT)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
+def payloads(spark: SparkSession, path: str) -> DataFrame:
+    """Saved API answers, one JSON file or array each, as (file, ord, payload); stands in for a collector that calls the API.
 
-
-class _PayloadReader(DataSourceReader):
-    def __init__(self, options):
-        self.folder = options["path"]
-
-    def partitions(self):
-        from pathlib import Path
-
-        return [_File(str(p)) for p in sorted(Path(self.folder).glob("*.json"))]
-
-    def read(self, partition):
-        import json
-        from pathlib import Path
-
-        doc = json.loads(Path(partition.value).read_text())
-        for n, item in enumerate(doc if isinstance(doc, list) else [doc]):
-            yield (partition.value, n, json.dumps(item))
-
-
-class PayloadSource(DataSource):
-    """Saved API answers, one JSON file or array each, as (file, ord, payload); stands in for a collector that calls the API."""
-
-    @classmethod
-    def name(cls):
-        return "kgloom_payloads"
-
-    def schema(self):
-        return "file string, ord int, payload string"
-
-    def reader(self, schema):
-        return _PayloadReader(self.options)
+    Read through Spark's own readers, so that the path can be in any store that they know.
+    """
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
+    parts = F.when(F.startswith("value", F.lit("[")), F.from_json("value", "array<string>")).otherwise(F.array("value"))
+    return files.select("file", F.posexplode(parts).alias("ord", "payload"))

@@ -107,6 +107,22 @@ def test_timeline_and_work_folds(spark):
     assert [(r.entity_id, r.urls) for r in assembly.work_dedupe(works).orderBy("ordinal").collect()] == [("a", ["u", "v"]), ("c", ["u"])]
 
 
+def test_platforms_roll_up_under_their_own_category(spark):
+    names = {"a": "AWS Lambda", "b": "AWS S3", "c": "Azure Functions", "d": "PostgreSQL"}
+    entities = spark.createDataFrame([(1, i, "Skill") for i in names], "graph_id bigint, entity_id string, class_type string")
+    facts = [(1, i, "name", n) for i, n in names.items()] + [(1, i, "kind", "tool") for i in names] + [(1, "a", "category", "backend"), (1, "b", "category", "storage_cdn"), (1, "c", "category", "backend"), (1, "d", "category", "database")]
+    got = content.skills_block(entities, spark.createDataFrame(facts, "graph_id bigint, entity_id string, predicate string, value_str string")).collect()
+    assert {(r.category, r.name, r.position) for r in got} == {("cloud_deployment", "AWS", 1), ("backend", "Azure Functions", 1), ("database", "PostgreSQL", 1)}
+
+
+def test_deep_trees_are_an_error(spark):
+    chain = spark.createDataFrame([("p", str(i), "text", [str(i + 1)]) for i in range(6)] + [("p", "6", "text", [])], "page string, id string, kind string, children array<string>")
+    roots = spark.createDataFrame([("p", "0")], "page string, id string")
+    assert graph.walk(chain, roots, max_depth=8).count() == 7
+    with pytest.raises(RuntimeError):
+        graph.walk(chain, roots, max_depth=4)
+
+
 def test_content_helpers(spark):
     df = spark.createDataFrame([("aws lambda",), ("Amazon S3",), ("AWS",), ("Python",)], "n string").select(content.platform(F.col("n")).alias("p")).collect()
     assert [r.p and (r.p.platform, r.p.service) for r in df] == [("AWS", "lambda"), ("AWS", "s3"), ("AWS", ""), None]
@@ -136,8 +152,7 @@ def test_stream_equals_batch_in_any_order(spark):
 
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"id": 1, "name": "n", "topics": ["t"]}, {"id": -1, "name": "n"}, {"id": 2, "name": " "}, {"id": 3, "name": "n", "private": True}, {"id": 4, "name": "n", "topics": [" "]}]))
-    spark.dataSource.register(blocks.PayloadSource)
-    p = spark.read.format("kgloom_payloads").load(str(tmp_path))
+    p = blocks.payloads(spark, str(tmp_path))
     got = p.orderBy("ord").select(blocks.typed_fields(F.col("payload")).alias("f")).collect()
     assert [r.f.issue for r in got] == [None, "bad_id", "bad_name", "private", "bad_topics"]
     blobs = spark.createDataFrame([("aGk=",), ("!!",), ("/w==",), ("AAE=",)], "b string").select(repositories.decode_blob(F.col("b")).alias("d")).collect()
