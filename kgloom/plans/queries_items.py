@@ -235,3 +235,122 @@ def stream_dedupe(k):
     from kgloom.streaming.snapshots import replay_distinct
 
     return replay_distinct(k.events.select("user_id", (F.col("event_id") % 20).alias("n"), F.col("ts").cast("timestamp").alias("fetched")), ["user_id", "n"])
+
+
+# Seeds and whole sources
+_SEED = """SELECT c_custkey AS graph_id, CASE WHEN c_custkey % 10 = 9 THEN '1.0' ELSE '2.1' END AS ontology_version FROM customer"""
+_SEED_FACTS = """SELECT c_custkey AS graph_id, concat('F', c_custkey % 3, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'b' END) AS fact_id, CASE WHEN c_custkey % 5 = 1 THEN 'gone' ELSE concat('P:', c_custkey) END AS entity_id,
+  CASE c_custkey % 6 WHEN 0 THEN 'salary' WHEN 1 THEN 'role' ELSE 'name' END AS predicate, CASE WHEN c_custkey % 7 = 0 THEN 'date' ELSE 'string' END AS value_type, CASE WHEN c_custkey % 8 = 3 THEN ' ' ELSE c_name END AS value_str FROM customer"""
+
+
+@query(f"""WITH g AS ({_SEED}), k AS (SELECT graph_id FROM g WHERE ontology_version = '2.1'), f AS (SELECT * FROM ({_SEED_FACTS}) WHERE graph_id IN (SELECT graph_id FROM k))
+ SELECT graph_id, code, count(*) AS n FROM (SELECT graph_id, 'UNSUPPORTED_ONTOLOGY_VERSION' AS code FROM g WHERE ontology_version <> '2.1' UNION ALL SELECT graph_id, 'INVALID_PERSON_COUNT' FROM k WHERE graph_id % 9 = 2 UNION ALL SELECT graph_id, 'DUPLICATE_ID' FROM k WHERE graph_id % 11 = 1 AND graph_id % 9 <> 2
+  UNION ALL SELECT graph_id, 'INVALID_PERSON_COUNT' FROM k WHERE graph_id % 11 = 1 AND graph_id % 9 <> 2
+  UNION ALL SELECT graph_id, 'GRAPH_MISMATCH' FROM k WHERE graph_id % 13 = 4 AND graph_id % 9 <> 2 AND graph_id % 11 <> 1 UNION ALL SELECT graph_id, 'GRAPH_MISMATCH' FROM k, range(2) WHERE graph_id % 13 = 4 AND graph_id % 9 <> 2 AND graph_id % 11 = 1
+  UNION ALL SELECT graph_id, CASE WHEN entity_id = 'gone' OR graph_id % 9 = 2 THEN 'MISSING_ENTITY' WHEN predicate = 'salary' THEN 'INVALID_PROPERTY' END FROM f UNION ALL SELECT graph_id, CASE WHEN value_type = 'date' THEN 'INVALID_VALUE_TYPE' END FROM f WHERE entity_id <> 'gone' AND graph_id % 9 <> 2 AND predicate <> 'salary'
+  UNION ALL SELECT graph_id, CASE WHEN value_str = ' ' THEN 'EMPTY_FACT_VALUE' END FROM f WHERE entity_id <> 'gone' AND graph_id % 9 <> 2 AND predicate <> 'salary' UNION ALL SELECT graph_id, CASE WHEN predicate = 'role' THEN 'INVALID_PROPERTY_VALUE' END FROM f WHERE entity_id <> 'gone' AND graph_id % 9 <> 2
+  UNION ALL SELECT graph_id, 'MISSING_ENTITY' FROM k UNION ALL SELECT graph_id, CASE WHEN graph_id % 9 = 2 THEN 'MISSING_ENTITY' END FROM k) WHERE code IS NOT NULL GROUP BY ALL""")
+def seed_validation(k):
+    from kgloom.operators import seeds
+
+    g = k.sql(_SEED)
+    i = F.col("graph_id")
+    own = g.where(i % 9 != 2).select("graph_id", F.when(i % 13 == 4, -1).otherwise(i).alias("of_graph"), F.concat(F.lit("P:"), i).alias("entity_id"), F.lit("Person").alias("class_type"))
+    entities = own.union(own.where(i % 11 == 1))
+    relations = g.select("graph_id", i.alias("of_graph"), F.lit("r").alias("relation_id"), F.concat(F.lit("P:"), i).alias("subject_id"), F.lit("hasSkill").alias("predicate"), F.lit("none").alias("object_id"))
+    return seeds.seed_issues(g, entities, k.sql(_SEED_FACTS), relations).groupBy("graph_id", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey AS graph_id, CASE WHEN c_custkey % 4 = 0 THEN 'insert' WHEN c_custkey % 3 = 0 THEN 'update' ELSE 'reuse' END AS action FROM customer")
+def seed_actions(k):
+    from kgloom.operators import seeds
+
+    seed = k.customer.select(F.col("c_custkey").alias("graph_id"), F.lit("name").alias("predicate"), F.col("c_name").alias("value_str"))
+    stored = seed.where("graph_id % 4 <> 0").withColumn("value_str", F.when(F.col("graph_id") % 3 == 0, "old").otherwise(F.col("value_str")))
+    return seeds.ensure_seed(stored, seed, ["predicate"], "value_str")
+
+
+@query("SELECT c_custkey AS graph_id, c_name AS value_str, 'profile' AS provenance, 'active' AS status, 1.0::DOUBLE AS confidence FROM customer")
+def seed_rows(k):
+    from kgloom.operators import seeds
+
+    return seeds.profile_rows(k.customer.select(F.col("c_custkey").alias("graph_id"), F.col("c_name").alias("value_str")))
+
+
+@query("SELECT o_custkey AS graph_id, 'u' || (o_orderkey % 3) AS url, CASE WHEN count(DISTINCT o_orderkey) = 1 THEN 'added' ELSE 'ambiguous' END AS outcome, CASE WHEN count(DISTINCT o_orderkey) = 1 THEN min('W:' || o_orderkey) END AS work_id FROM orders GROUP BY ALL")
+def repository_url_facts(k):
+    from kgloom.operators import seeds
+
+    return seeds.canonical_url_facts(k.orders.select(F.col("o_custkey").alias("graph_id"), F.concat(F.lit("u"), F.col("o_orderkey") % 3).alias("url"), F.concat(F.lit("W:"), "o_orderkey").alias("work_id")))
+
+
+@query("""SELECT o_custkey AS graph_id, o_orderkey AS position, CASE WHEN o_orderkey % 9 = 0 AND o_orderkey > first THEN 'DUPLICATE_ABOUT_BLOCK' WHEN o_orderkey % 9 <> 0 AND o_orderkey % 4 = 0 THEN 'EMPTY_BLOCK' END AS code FROM orders LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first FROM orders WHERE o_orderkey % 9 = 0 GROUP BY 1) USING (o_custkey)
+ WHERE (o_orderkey % 9 = 0 AND o_orderkey > first) OR (o_orderkey % 9 <> 0 AND o_orderkey % 4 = 0) UNION ALL SELECT o_custkey, NULL, 'MISSING_ABOUT_BLOCK' FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderkey % 9 = 0) = 0""")
+def block_shapes(k):
+    from kgloom.operators import seeds
+
+    o = F.col("o_orderkey")
+    return seeds.block_shape_issues(k.orders.select(F.col("o_custkey").alias("graph_id"), o.alias("position"), F.when(o % 9 == 0, "About").otherwise("Works").alias("type"), (o % 4).alias("n_items")))
+
+
+@query("SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN 'g' || c_custkey WHEN c_custkey % 3 = 0 THEN 'n' || c_custkey END AS image FROM customer")
+def image_fill(k):
+    from kgloom.operators import seeds
+
+    c = k.customer.select(F.col("c_custkey").alias("key"))
+    return seeds.first_available(c, *[c.where(F.col("key") % m == 0).select("key", F.concat(F.lit(p), "key").alias("image")) for m, p in ((2, "g"), (3, "n"))])
+
+
+@query("SELECT graph_id, class_type, count(*) FILTER (entity_id LIKE '%3') AS n_new, count(*) AS n FROM entities GROUP BY ALL HAVING n_new > 0 AND n >= 2")
+def link_jobs(k):
+    from kgloom.operators import seeds
+
+    return seeds.link_jobs(k.entities.select("graph_id", "class_type", F.col("entity_id").alias("id"), F.endswith("entity_id", F.lit("3")).alias("is_new")))
+
+
+@query("""WITH e AS (SELECT o_orderkey AS source_id, o_orderkey % 3 AS c, o_orderkey % 2 = 0 AS named, o_orderkey % 5 <> 0 AS affiliated, o_orderkey % 7 <> 0 AS org_named FROM orders)
+ SELECT source_id, 'o' AS ref FROM e WHERE NOT org_named UNION ALL SELECT source_id, 'x' FROM e WHERE c <> 2 AND NOT named AND NOT (affiliated AND org_named) UNION ALL SELECT source_id, 'x' FROM e WHERE c = 2 AND NOT named""")
+def identity_cascade(k):
+    from kgloom.operators import seeds
+
+    o = F.col("o_orderkey")
+    kind = F.when(o % 3 == 0, "Education").when(o % 3 == 1, "Experience").otherwise("Work")
+    prop = F.when(o % 3 == 0, "major").when(o % 3 == 1, "role").otherwise("title")
+    base = k.orders.select(o.alias("source_id"), o, kind.alias("class_type"), prop.alias("predicate"))
+    entities = base.select("source_id", F.lit("x").alias("ref"), "class_type").union(base.select("source_id", F.lit("o"), F.lit("Organization")))
+    facts = base.where(o % 2 == 0).select("source_id", F.lit("x").alias("ref"), "class_type", "predicate").union(base.where(o % 7 != 0).select("source_id", F.lit("o"), F.lit("Organization"), F.lit("name")))
+    relations = base.where(o % 5 != 0).select("source_id", F.lit("x").alias("subject_ref"), F.lit("atOrganization").alias("predicate"), F.lit("o").alias("object_ref"))
+    return seeds.affiliated_identity(entities, facts, relations, {"Education": "major", "Experience": "role"})
+
+
+@query()
+def applied_sources(k):
+    from kgloom.operators import seeds
+
+    f = k.candidate_facts.withColumn("claim", F.concat_ws(":", "ref", "predicate"))
+    r = k.candidate_relations.withColumn("claim", F.concat_ws(":", "subject_ref", "object_ref"))
+    claims = f.select("source_id", "claim", F.concat(F.lit("l"), F.col("ord") % 5).alias("locator"))
+    evidence = f.select("source_id").distinct().select("source_id", F.explode(F.array(*[F.lit(f"l{i}") for i in range(4)])).alias("locator"), F.lit("x").alias("snippet"))
+    out = seeds.apply_sources(f, r, claims, evidence, evidence.select("source_id", F.lit("axb").alias("content")).distinct())
+    return out["issues"].groupBy("code").agg(F.count(F.lit(1)).alias("n")).union(out["facts"].agg(F.lit("facts"), F.count(F.lit(1)))).union(out["relations"].agg(F.lit("relations"), F.count(F.lit(1))))
+
+
+@query("SELECT o_custkey, o_orderkey AS repo, CASE WHEN o_orderkey % 2 = 0 THEN 'short' || chr(10) || chr(10) ELSE '' END || 'a.md' || chr(10) || 'text' AS content FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderkey % 3 <> 0) WHERE rn <= 5".replace("o_custkey, o_orderkey AS repo", "o_orderkey AS repo"))
+def readme_supplements(k):
+    from kgloom.operators import seeds
+
+    o = F.col("o_orderkey")
+    repos = k.orders.select(F.col("o_custkey").alias("owner"), o.alias("repo"), o.alias("ord"), F.when(o % 3 == 0, F.repeat(F.lit("word "), 100)).when(o % 2 == 0, "short").otherwise("").alias("readme"))
+    files = k.orders.select(o.alias("repo"), F.lit(1).alias("position"), F.lit("a.md").alias("path"), F.lit("text").alias("text"))
+    return seeds.readme_supplements(repos, files)
+
+
+@query("SELECT page_id AS page, CASE WHEN page_id % 2 = 0 THEN 'b.png' ELSE 'c.png' END AS image FROM pages WHERE page_id % 5 <> 0")
+def page_pictures(k):
+    from kgloom.operators import seeds
+
+    p = F.col("page_id")
+    none, section = F.lit(None), F.when(p % 5 == 0, "My profile").otherwise("Work")
+    shown = [(F.lit(1), F.lit("Awards"), none), (none, F.lit("x"), F.lit("a.png")), (F.lit(1), section, none), (none, F.lit("x"), F.when(p % 2 == 0, "b.png").otherwise("badge.png")), (none, F.lit("x"), F.lit("c.png"))]
+    rows = F.array(*[F.struct(F.lit(i).alias("ord"), level.cast("int").alias("level"), text.alias("text"), image.cast("string").alias("image")) for i, (level, text, image) in enumerate(shown)])
+    return seeds.page_image(k.pages.select(p.alias("page"), F.explode(rows).alias("b")).select("page", "b.*"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgloom.functions import text
-from kgloom.operators import documents, identity, items
+from kgloom.operators import documents, identity, items, seeds
 from kgloom.sources import databases
 
 ENTITY = "graph_id bigint, id string, class_type string, ord int, stored boolean, forced_id string, facts array<struct<predicate:string,value:string>>, keys array<struct<key_type:string,key_value:string>>, orgs array<string>"
@@ -98,3 +98,19 @@ def test_representative_and_first_distinct(spark):
     assert {r.g: r.ordinal for r in items.representative(works, ["g"]).collect()} == {1: 1, 2: 0}
     rows = spark.createDataFrame([(1, "b", 0), (1, "a", 1), (1, "b", 2), (1, "c", 3)], "g int, v string, o int")
     assert [(r.v, r.position) for r in items.first_distinct(rows, ["g"], "v", "o", 2).orderBy("position").collect()] == [("b", 1), ("a", 2)]
+
+
+def test_one_source_is_applied_as_a_whole(spark):
+    fact = "source_id int, ref string, ord int, class_type string, predicate string, value_str string, confidence double, claim string"
+    rows = [(1, "w", 0, "Work", "title", "Shop", 0.9, "c0"), (1, "w", 1, "Work", "kind", "Project", 0.8, "c1"), (1, "w", 2, "Work", "title", "Unseen", 0.9, "c2"), (1, "s", 3, "Skill", "kind", "tool", 0.9, "c3"),
+            (1, "o", 4, "Organization", "name", "A", 0.5, "c4"), (1, "o", 5, "Organization", "name", "B", 0.5, "c5"), (1, "w", 6, "Work", "salary", "9", 0.5, "c6")]
+    relation = "source_id int, ord int, subject_ref string, predicate string, object_ref string, confidence double, claim string"
+    edges = [(1, 0, "w", "usesSkill", "s", 0.9, "r0"), (1, 1, "w", "atOrganization", "o", 0.9, "r1"), (1, 2, "w", "atOrganization", "o", 0.95, "r1"), (1, 3, "o", "atOrganization", "w", 0.9, "r2")]
+    claims = [(1, f"c{i}", "bad" if i == 2 else "ok") for i in range(7)] + [(1, f"r{i}", "ok") for i in range(3)]
+    out = seeds.apply_sources(
+        spark.createDataFrame(rows, fact), spark.createDataFrame(edges, relation), spark.createDataFrame(claims, "source_id int, claim string, locator string"),
+        spark.createDataFrame([(1, "ok", "text"), (1, "bad", "absent")], "source_id int, locator string, snippet string"), spark.createDataFrame([(1, "some text")], "source_id int, content string"))
+    assert {(r.ref, r.predicate, r.value) for r in out["facts"].collect()} == {("w", "title", "Shop"), ("w", "kind", "project")}
+    # the skill has no name, so the edge to it goes as well
+    assert {(r.subject_ref, r.predicate, r.object_ref, r.confidence) for r in out["relations"].collect()} == {("w", "atOrganization", "o", 0.95)}
+    assert sorted(r.code for r in out["issues"].collect()) == ["CONFLICTING_VALUES", "INVALID_PROPERTY", "INVALID_RELATION_DIRECTION", "MISSING_IDENTITY", "UNSUPPORTED_EVIDENCE"]
