@@ -354,3 +354,85 @@ def page_pictures(k):
     shown = [(F.lit(1), F.lit("Awards"), none), (none, F.lit("x"), F.lit("a.png")), (F.lit(1), section, none), (none, F.lit("x"), F.when(p % 2 == 0, "b.png").otherwise("badge.png")), (none, F.lit("x"), F.lit("c.png"))]
     rows = F.array(*[F.struct(F.lit(i).alias("ord"), level.cast("int").alias("level"), text.alias("text"), image.cast("string").alias("image")) for i, (level, text, image) in enumerate(shown)])
     return seeds.page_image(k.pages.select(p.alias("page"), F.explode(rows).alias("b")).select("page", "b.*"))
+
+
+# Operators on their own
+_DAYS = """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN substr(d, 1, 4) WHEN 1 THEN substr(d, 1, 7) ELSE d END AS a, CASE WHEN o_orderkey % 2 = 0 THEN d ELSE concat(substr(d, 1, 7), '-28') END AS b, concat(substr(d, 1, 4), '.', substr(d, 6, 2)) AS s,
+  CASE o_orderkey % 5 WHEN 0 THEN 'Present' WHEN 1 THEN NULL ELSE concat(CAST(1990 + o_orderkey % 12 AS STRING), '.06') END AS e FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS d FROM orders) x"""
+_SE = "(try_cast(substr(s, 1, 4) AS INT) * 100 + try_cast(substr(s, 6, 2) AS INT) > try_cast(substr(e, 1, 4) AS INT) * 100 + try_cast(substr(e, 6, 2) AS INT))"
+
+
+@query(f"SELECT o_orderkey, starts_with(a, b) OR starts_with(b, a) AS prefixed, a = b OR starts_with(a, b || '-') OR starts_with(b, a || '-') AS equal, NOT coalesce(e <> 'Present' AND {_SE}, false) AS overlap, coalesce(e <> 'Present' AND {_SE}, false) AS inverted FROM ({_DAYS})")
+def date_rules(k):
+    from kgloom.functions import dates
+
+    d = k.sql(_DAYS)
+    s, e, none = F.col("s"), F.col("e"), F.lit(None).cast("string")
+    return d.select("o_orderkey", dates.prefix_compatible(F.array("a", "b")).alias("prefixed"), dates.dates_may_equal(F.array("a"), F.array("b")).alias("equal"), dates.bounds_overlap(s, none, none, e).alias("overlap"), dates.inverted(s, e).alias("inverted"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN e = 'Present' THEN CASE WHEN o_orderkey % 2 = 0 THEN e END WHEN e = s THEN e WHEN o_orderkey % 3 = 0 THEN s END AS kept FROM ({_DAYS})")
+def evidenced_ends(k):
+    from kgloom.operators import assembly
+
+    o = F.col("o_orderkey")
+    ends = F.when(o % 3 == 0, F.array("s")).otherwise(F.array("s", F.lit("x")))
+    return k.sql(_DAYS).select("o_orderkey", assembly.evidenced_end(F.col("e"), ends, o % 2 == 0).alias("kept"))
+
+
+@query("SELECT graph_id, entity_id, 'W' || row_number() OVER (PARTITION BY graph_id ORDER BY title, entity_id) AS dense_id FROM (SELECT graph_id, entity_id, value_str AS title FROM facts WHERE predicate = 'title' AND updated % 6 <> 0)")
+def dense_ids(k):
+    from kgloom.operators import resolution
+
+    f = k.facts.where("predicate = 'title'").select("graph_id", "entity_id", F.when(F.col("updated") % 6 != 0, F.col("value_str")).alias("title"))
+    return resolution.dense_ids(f, "W", ["title", "entity_id"]).select("graph_id", "entity_id", "dense_id")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 6 THEN ['GitHub', 'PPT', 'Paper', 'Video', 'Notion', 'Link'][o_orderkey % 7 + 1] END AS label, o_orderkey % 3 = 0 AS is_attachment FROM orders""")
+def link_labels(k):
+    from kgloom.functions import urls
+
+    o = F.col("o_orderkey")
+    hosts = ("https://gist.github.com/a", "http://x.example/talk.PPTX", "https://arxiv.org/abs/1", "https://youtu.be/x", "https://a.notion.site/p", "https://example.org/", "mailto:a@b")
+    url = F.element_at(F.array(*[F.lit(h) for h in hosts]), (o % 7 + 1).cast("int"))
+    store = F.when(o % 3 == 0, "https://b.s3.ap-northeast-2.amazonaws.com/d/a.pdf").when(o % 3 == 1, "https://b.s3.amazonaws.com/a.docx").otherwise("http://b.s3.amazonaws.com/a.pdf")
+    return k.orders.select("o_orderkey", urls.label(url).alias("label"), urls.attachment_ok(store, F.lit("application/pdf")).alias("is_attachment"))
+
+
+@query("SELECT graph_id, ref AS entity_id, key_type, key_value FROM (SELECT o_custkey AS graph_id, 'X:' || o_orderkey AS ref, CASE o_orderkey % 3 WHEN 0 THEN 'work_url' WHEN 1 THEN 'organization_homepage' END AS key_type, 'https://e.example/' || o_orderkey AS key_value, o_orderkey FROM orders) WHERE key_type IS NOT NULL AND o_orderkey % 4 <> 0")
+def derived_keys(k):
+    from kgloom.operators import resolution
+
+    o = F.col("o_orderkey")
+    facts = k.orders.select(F.col("o_custkey").alias("graph_id"), F.concat(F.lit("X:"), o).alias("entity_id"), F.when(o % 3 == 0, "url").when(o % 3 == 1, "homepage").otherwise("title").alias("predicate"), F.concat(F.when(o % 4 == 0, "ftp").otherwise("https"), F.lit("://e.example/"), o).alias("value_str"))
+    return resolution.strong_keys(facts)
+
+
+@query("SELECT o_custkey AS graph_id, 'e' || (o_orderkey % 3) AS entity_id, coalesce(min(s), '') AS start, coalesce(arg_min(e, o_orderkey) FILTER (e IS NOT NULL), '') AS end FROM (SELECT *, CASE WHEN o_orderkey % 4 <> 0 THEN substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 1, 4) END AS s, CASE WHEN o_orderkey % 5 < 3 THEN '20' || (10 + o_orderkey % 9) END AS e FROM orders) WHERE s IS NOT NULL OR e IS NOT NULL GROUP BY 1, 2, coalesce(s, '~' || e)")
+def merged_periods(k):
+    from kgloom.operators import content
+
+    o = F.col("o_orderkey")
+    rows = k.orders.select(F.col("o_custkey").alias("graph_id"), F.concat(F.lit("e"), o % 3).alias("entity_id"), o.alias("ordinal"), F.when(o % 4 != 0, F.date_format("o_orderdate", "yyyy")).alias("start"), F.when(o % 5 < 3, F.concat(F.lit("20"), 10 + o % 9)).alias("end"))
+    return content.merge_periods(rows).select("graph_id", "entity_id", F.coalesce("start", F.lit("")).alias("start"), F.coalesce("end", F.lit("")).alias("end"))
+
+
+@query("SELECT doc_id, line, CASE line % 4 WHEN 0 THEN '# ' || text WHEN 1 THEN '- ' || text WHEN 2 THEN text || ' (http://a.b)' ELSE '> ' || text END AS shown FROM doc_lines WHERE text <> ''")
+def markdown_lines(k):
+    from kgloom.sources import blocks
+
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("header", "bulleted_list", "text", "quote")]), (F.col("line") % 4 + 1).cast("int"))
+    body = blocks.rich_text(F.array(F.struct(F.col("text").alias("text"), F.when(F.col("line") % 4 == 2, "http://a.b").alias("url"))))
+    return k.doc_lines.where("text <> ''").select("doc_id", "line", blocks.line_of(kind, body).alias("shown"))
+
+
+@query("SELECT d.doc_id, c.chunk, d.line FROM doc_lines d JOIN (SELECT doc_id, line // 10 AS chunk, min(line) AS lo, max(line) AS hi FROM doc_lines GROUP BY ALL) c ON d.doc_id = c.doc_id AND d.line BETWEEN c.lo - 5 AND c.hi")
+def chunk_overlap(k):
+    chunked = k.doc_lines.select("doc_id", "line", F.floor(F.col("line") / 10).alias("chunk"))
+    return documents.overlap(chunked, "doc_id", "line")
+
+
+@query("SELECT p_partkey, CASE WHEN len(m) < 2 THEN false ELSE true END AS alike FROM (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS m FROM part)")
+def same_descriptions(k):
+    n = F.lower("p_name")
+    return k.part.select("p_partkey", text.similar_description(n, n).alias("alike"))
