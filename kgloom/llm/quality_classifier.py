@@ -71,14 +71,14 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     Labels other than 0 and 1 and null ids are ignored; of several labels
     of a document the lowest counts. Without labelled rows every weight
     is 0 and every score one half. At most max_train documents are
-    used: their ids are picked first, so only their texts move, to one task.
+    used, of rows that share an id the one with the smallest text: their ids are picked first, so only their texts move, to one task.
     """
     ids = (
         labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(crc_mod(F.col("doc_id"), 3) != 1)
         .groupBy("doc_id").agg(F.min("quality").cast("double").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
 
     def fit(batches):
         examples, targets = [], []

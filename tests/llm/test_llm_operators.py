@@ -71,6 +71,8 @@ def test_quality_classifier(spark, corpus, empty):
     assert np.mean([(r.quality_score >= 0.5) == bool(r.doc_id % 2) for r in held]) > 0.97
     assert len(got) == 403 and all(0 <= r.quality_score <= 1 for r in got)
     assert quality_classifier.classify(empty, model).count() == 0
+    again = docs.select("doc_id", "text").union(docs.where("doc_id < 50").select("doc_id", F.concat("text", F.lit(" z")))).union(docs.where("doc_id < 50").select("doc_id", "text"))
+    assert np.array_equal(quality_classifier.train(again, labels).weights, model.weights)
     none = quality_classifier.train(empty, labels.where("false"))
     assert {r.quality_score for r in quality_classifier.classify(docs, none).collect()} == {0.5}
 
