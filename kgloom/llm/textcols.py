@@ -59,15 +59,10 @@ def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int
         at = end
 
 
-def tokens(buf: np.ndarray, offsets: np.ndarray, lower: bool = True, split_punct: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, index of each text's first word and the end).
-
-    Words are runs of non-space bytes; with split_punct each ASCII
-    punctuation mark is a word of its own. A word never spans two texts.
-    """
+def word_spans(buf: np.ndarray, offsets: np.ndarray, split_punct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words. They are runs of non-space bytes; with split_punct each ASCII punctuation mark is a word of its own. A word never spans two texts."""
     n = len(buf)
-    value = _VALUE[lower][buf]
-    ok = value != 0
+    ok = ~SPACE[buf]
     cut = np.zeros(n + 1, bool)  # a word can't go on over these
     cut[offsets] = True
     if split_punct and n:
@@ -75,16 +70,23 @@ def tokens(buf: np.ndarray, offsets: np.ndarray, lower: bool = True, split_punct
         cut[1:n] |= punct[1:] | punct[:-1]
     cut[:-1] |= ~ok
     cut[1:] |= ~ok
-    starts = np.flatnonzero(ok & cut[:-1])
-    bounds = np.searchsorted(starts, offsets)
+    return np.flatnonzero(ok & cut[:-1]), np.flatnonzero(ok & cut[1:]) + 1
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds
-    ends = np.flatnonzero(ok & cut[1:]) + 1
-    powers, inverses = _pow(n)
-    value *= powers[:n]
+        return np.zeros(0, np.uint64)
+    value = _VALUE[lower][buf]
+    powers, inverses = _pow(len(buf))
+    value *= powers[: len(buf)]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, out=value)])
-    h = (sums[ends] - sums[starts]) * inverses[starts]
-    return mix64(h + (ends - starts).astype(np.uint64)), bounds
+    return mix64((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+
+
+def tokens(buf: np.ndarray, offsets: np.ndarray, lower: bool = True, split_punct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, index of each text's first word and the end)."""
+    starts, ends = word_spans(buf, offsets, split_punct)
+    return word_hashes(buf, starts, ends, lower), np.searchsorted(starts, offsets)
 
 
 def chain(hashes: np.ndarray, n: int) -> np.ndarray:

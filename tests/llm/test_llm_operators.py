@@ -372,6 +372,13 @@ def test_lm_scoring(spark, corpus, empty):
         own = [*words(r.text), None]
         base = sum(math.log10((counted[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in own)
         assert (g.lm.n_tokens, g.lm.n_known) == (len(own), sum(counted[w] > 0 for w in own)) and math.isclose(g.lm.base_score, base, rel_tol=1e-9)
+        data = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r.text or "").encode())
+        of_byte = model.tree[context_tree.gram_keys(np.frombuffer(data, np.uint8), np.array([0, len(data)]))].astype(float) if data else np.zeros(0)
+        want = of_byte.sum()
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", data):
+            tree, seen = of_byte[m.start() : m.end()].sum(), counted[m[0]] / (total + 0.5 * (distinct + 1))
+            want += (math.log10(0.5 * 10**tree + 0.5 * seen) if seen or tree > -300 else tree + math.log10(0.5)) - tree
+        assert math.isclose(g.lm.score, want, rel_tol=1e-6, abs_tol=1e-6)
     assert context_tree.score(empty, model).count() == 0
     blank = context_tree.train(empty)
     assert all(r.lm.n_known == 0 and r.lm.train_tokens == 0 for r in context_tree.score(corpus, blank).collect())
