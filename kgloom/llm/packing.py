@@ -35,15 +35,15 @@ END = 0
 TERM_BITS = 18
 K1, B = 1.2, 0.75
 #: A shard's index ends with the document that reaches either bound.
-SHARD_TOKENS, SHARD_DOCS = 1 << 21, 4096
+SHARD_TOKENS, SHARD_DOCS = 1 << 21, 2048
 #: Words of a partition that documents are dealt to, about.
 PARTITION_WORDS = 1 << 22
 #: A term that more than one in so many of a shard's documents have is held as a row over all of them.
 DENSE = 16
 SEEDS = 256
-CACHE_WORDS = 3 << 18
+CACHE_WORDS = 1 << 18
 #: Texts encoded together, in bytes.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 #: Two white-space characters of Unicode in a row, for RE2.
 _RUN = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 
