@@ -1,7 +1,5 @@
 """Generated items, entity identity, layout and page databases on micro fixtures."""
 
-from itertools import product
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,16 +56,19 @@ def test_several_matches_are_ambiguous_unless_they_are_one(spark):
     (["C++"], True, {"cplusplus"}), (["C#"], True, {"csharp"}), (["Vue 3.2"], True, {"vue32", "vue"}), (["ROS 2"], True, {"ros2"}), (["S3"], True, {"s3"}), (["Python3"], True, {"python3", "python"}),
     (["Vue 3"], False, {"vue3"}), (["Retrieval-Augmented Generation (RAG)"], False, {"retrievalaugmentedgenerationrag", "retrievalaugmentedgeneration", "rag"}), (["RAG (Retrieval Augmented Generation)"], False, {"ragretrievalaugmentedgeneration", "rag", "retrievalaugmentedgeneration"}), (["Go (lang)"], False, {"golang"}),
 ])
-def test_skill_aliases(names, tool, keys):
-    assert identity.skill_aliases(names, tool, frozenset({"ros2", "s3", "python"})) == keys
+def test_skill_aliases(spark, names, tool, keys):
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = df.select(identity.skill_aliases(F.col("name"), F.lit(tool), frozenset({"ros2", "s3", "python"})).alias("keys")).collect()
+    assert {k for r in got for k in r["keys"]} == keys
 
 
-def test_plain_and_column_titles_agree(spark):
-    words = ["red", "blue", "shop", "2", "3", "쇼핑", "redshop", ""]
-    pairs = [(f"{a} {b}", f"{c} {d}") for a, b, c, d in product(words[:6], words, words[:4], words)]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    got = df.select("a", "b", text.similar_title(text.nfkc_fold(F.col("a")), text.nfkc_fold(F.col("b"))).alias("c")).collect()
-    assert sum(r.c for r in got) > 50 and all(r.c == text.titles_alike(r.a, r.b) for r in got)
+def test_skills_meet_by_alias(spark):
+    rows = [
+        ("S1", "Skill", True, None, [("name", "Retrieval-Augmented Generation (RAG)")], [], []), ("s2", "Skill", False, None, [("name", "rag"), ("kind", "method")], [], []), ("s3", "Skill", False, None, [("name", "Vue 3"), ("kind", "tool")], [], []),
+        ("s4", "Skill", False, None, [("name", "VUE"), ("kind", "Tool")], [], []), ("s5", "Skill", False, None, [("name", "vue"), ("kind", "method")], [], []), ("s6", "Skill", False, None, [("name", "+"), ("kind", None)], [], []), ("s7", "Skill", False, None, [], [], []),
+    ]
+    got = resolve(spark, rows)
+    assert got == {"s2": ("matched", "S1"), "s3": ("new", "s3"), "s4": ("new", "s3"), "s5": ("new", "s5"), "s6": ("new", "s6"), "s7": ("new", "s7")}
 
 
 def test_organisation_names(spark):
