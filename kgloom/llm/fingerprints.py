@@ -14,11 +14,12 @@ percentiles, each range is sorted by itself, and the first document of a range i
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, tidy
@@ -33,7 +34,7 @@ ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0
 #: Bytes hashed at once, so that memory stays bounded whatever the text.
 BLOCK = 1 << 16
 #: Ranges of ids, at most: their ends are a small broadcast whatever the table.
-MOST_RANGES = 4096
+MOST_RANGES = 1 << 16
 
 _MASK = (1 << 64) - 1
 _ROLL, _BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -150,10 +151,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return made.select(*[F.col(f"fp_row.`{c}`") for c in plain], "fingerprint")
 
 
+def _range_of(doc_id: Column, cuts: list, kind: str) -> Column:
+    """How many cuts are less than doc_id (null: none), looked up in two steps."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    constant = lambda values, of: F.from_json(F.lit(json.dumps(values)), of)
+    ends, members = constant([g[-1] for g in groups], f"array<{kind}>"), constant(groups, f"array<array<{kind}>>")
+    whole = F.size(F.filter(ends, lambda c: c < doc_id))
+    inside = F.size(F.filter(F.coalesce(F.get(members, whole), F.array().cast(f"array<{kind}>")), lambda c: c < doc_id))
+    return F.when(doc_id.isNull(), 0).otherwise(whole * step + inside)
+
+
 def in_ranges(docs: DataFrame, range_rows: int = 8192) -> DataFrame:
     """doc_id and text in sorted ranges of ids: columns fp_range, and fp_helper, true for a copy of what comes next.
 
-    Order is by doc_id (numbers), null first, ties by text, null texts counting as empty. At most MOST_RANGES ranges of about range_rows rows each, or more where there are more rows.
+    Order is by doc_id (numbers), null first, ties by text, null texts counting as empty. At most MOST_RANGES ranges of about range_rows rows each, or wider ones where there are more rows.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -163,8 +177,7 @@ def in_ranges(docs: DataFrame, range_rows: int = 8192) -> DataFrame:
     if k > 1:
         got = docs.select(F.percentile_approx("doc_id", [i / k for i in range(1, k)], F.lit(10 * k)).alias("cuts")).first()["cuts"]
         cuts = sorted(set(got or []))
-    of = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    of = F.when(F.col("doc_id").isNull(), 0).otherwise(of)
+    of = _range_of(F.col("doc_id"), cuts, docs.schema["doc_id"].dataType.simpleString())
     # the first row of each range, by number: at most MOST_RANGES rows
     heads = docs.select("doc_id", of.alias("r")).groupBy("r").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("head")).orderBy("r").collect()
     to = spark.createDataFrame([(h["head"], heads[i - 1]["r"], i == 0) for i, h in enumerate(heads)], f"head {docs.schema['doc_id'].dataType.simpleString()}, fp_before int, fp_wraps boolean")
@@ -173,9 +186,8 @@ def in_ranges(docs: DataFrame, range_rows: int = 8192) -> DataFrame:
     twice = F.array(F.struct(F.col("fp_range").alias("r"), F.lit(False).alias("h")), F.struct(F.col("fp_before").alias("r"), F.lit(True).alias("h")))
     once = F.array(F.struct(F.col("fp_range").alias("r"), F.lit(False).alias("h")))
     out = met.withColumn("fp_to", F.explode(F.when(F.col("fp_before").isNotNull(), twice).otherwise(once)))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), k)
     out = out.select("doc_id", "text", F.col("fp_to.r").alias("fp_range"), F.col("fp_to.h").alias("fp_helper"))
-    return out.repartition(parts, "fp_range").sortWithinPartitions("fp_range", "fp_helper", "doc_id", "text")
+    return out.repartitionById(max(k, 1), F.col("fp_range")).sortWithinPartitions("fp_range", "fp_helper", "doc_id", "text")
 
 
 def edited(text: bytes, following: bytes) -> tuple[int, bytes]:
