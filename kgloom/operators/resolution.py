@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgloom.functions import text, urls
+from kgloom.plans.staging import stage
 
 
 def strong_key_matches(candidates: DataFrame, keys: DataFrame) -> DataFrame:
@@ -29,16 +30,20 @@ def similar_title_pairs(items: DataFrame, keys: list[str], ident: str, title: st
     Two items are alike if their titles' smallest items are, so groups of equal titles make no pairs among themselves. Two alike
     titles share a word, so titles meet on words only.
     """
-    folded = items.withColumn("_f", text.nfkc_fold(F.col(title))).withColumn("_w", text.token_set(F.col("_f"))).where(F.size("_w") > 0)
+    folded = items.select(*keys, ident, text.nfkc_fold(F.col(title)).alias("_f")).withColumn("_p", text.title_parts(F.col("_f"))).where(F.size("_p.words") > 0)
     first = Window.partitionBy(*keys, "_f")
-    named = folded.withColumn("_rep", F.min(ident).over(first))
+    named = stage(folded.withColumn("_rep", F.min(ident).over(first)), "titles")
     same = named.where(F.col(ident) != F.col("_rep")).select(*keys, F.col("_rep").alias("a"), F.col(ident).alias("b"), F.lit(True).alias("equal"))
-    words = named.where(F.col(ident) == F.col("_rep")).select(*keys, ident, "_f", F.explode("_w").alias("_w"))
-    a = words.select(*keys, "_w", F.col(ident).alias("a"), F.col("_f").alias("_fa"))
-    b = words.select(*keys, "_w", F.col(ident).alias("b"), F.col("_f").alias("_fb"))
-    met = a.join(b, [*keys, "_w"]).where("a < b").select(*keys, "a", "b", "_fa", "_fb").distinct()
-    alike = met.where(text.similar_title(F.col("_fa"), F.col("_fb"))).select(*keys, "a", "b", F.lit(False).alias("equal"))
-    return same.union(alike)
+    heads = named.where(F.col(ident) == F.col("_rep"))
+    words = heads.select(*keys, ident, F.explode("_p.words").alias("_w"))
+    met = words.withColumnRenamed(ident, "a").join(words.withColumnRenamed(ident, "b"), [*keys, "_w"]).where("a < b").select(*keys, "a", "b").distinct()
+    for end in "ab":
+        met = met.join(heads.select(*keys, F.col(ident).alias(end), F.col("_p").alias(f"_p{end}")), [*keys, end])
+    judged = stage(met.withColumn("_sure", text.title_verdict(F.col("_pa"), F.col("_pb"))).where("_sure IS NULL OR _sure"), "titles")
+    # only what words and lengths leave open goes to Python
+    near = judged.where("_sure IS NULL").where(text.near_spelling(F.col("_pa.normal"), F.col("_pb.normal")))
+    alike = judged.where("_sure").select(*keys, "a", "b").union(near.select(*keys, "a", "b"))
+    return same.union(alike.withColumn("equal", F.lit(False)))
 
 
 def _alike(pairs: pd.DataFrame):
