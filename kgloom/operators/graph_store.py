@@ -73,6 +73,27 @@ def nested_graph(graphs: DataFrame, entities: DataFrame, facts: DataFrame, relat
     return out
 
 
+def nested_evidence(graphs: DataFrame, entities: DataFrame, facts: DataFrame, relations: DataFrame, links: dict[str, DataFrame]) -> DataFrame:
+    """One row per graph: entities, facts and relations in the order of their ids, each with its evidence in the order of evidence ids.
+
+    links: current_links() for "entities", "facts" and "relations". Facts and relations from sources stand only with current evidence, those of the profile also without; only works and
+    activities show evidence of their own. Both levels are aggregated on the key of what they belong to before they are joined; nothing is null, arrays may be empty.
+    """
+    alive = entities.where("status = 'active'")
+    kept = {"entities": alive, "facts": active_facts(entities, facts, links["facts"]), "relations": active_relations(entities, relations, links["relations"])}
+    shown = {"entities": ("entity_id", ["class_type", "status"]), "facts": ("fact_id", ["entity_id", "predicate", "value_str"]), "relations": ("relation_id", ["subject_id", "predicate", "object_id"])}
+    out = graphs.select("graph_id")
+    for name, (key, cols) in shown.items():
+        items = links[name].groupBy("graph_id", key).agg(F.sort_array(F.collect_list(F.struct("evidence_id", "document_id", "locator", "snippet"))).alias("evidence"))
+        df = kept[name].join(items, ["graph_id", key], "left")
+        cites = F.col("class_type").isin("Work", "Activity") if name == "entities" else F.lit(True)
+        none = F.array().cast(items.schema["evidence"].dataType)
+        df = df.withColumn("evidence", F.when(cites, F.coalesce("evidence", none)).otherwise(none))
+        nested = df.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(key, *cols, "evidence"))).alias(name))
+        out = out.join(nested, "graph_id", "left").withColumn(name, F.coalesce(name, F.array().cast(nested.schema[name].dataType)))
+    return out
+
+
 def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in the given order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

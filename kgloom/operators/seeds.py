@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.plans import ontology
+from kgloom.plans.staging import stage
 
 from . import graph_store, incremental, validation
 
@@ -113,6 +114,87 @@ def apply_sources(facts: DataFrame, relations: DataFrame, claims: DataFrame, evi
     return {"facts": kept.where("NOT uncertain"), "relations": edges, "issues": issues}
 
 
+def seed_keys(entities: DataFrame, facts: DataFrame, relations: DataFrame) -> DataFrame:
+    """(graph_id, entity_id, key): what tells seed entities of a graph apart across versions, whatever their ids.
+
+    A channel is told by its kind and scope, an organisation by type and name, education and experience by the person's role and their organisation, others by class.
+    """
+    of = ["graph_id", "entity_id"]
+    named = ("kind", "scope", "type", "name", "role")
+    v = facts.where(F.col("predicate").isin(*named)).groupBy(*of).agg(*[F.max(F.when(F.col("predicate") == p, F.col("value_str"))).alias(p) for p in named])
+    e = entities.select(*of, "class_type").join(v, of, "left")
+    role = e.where("class_type = 'Person'").groupBy("graph_id").agg(F.max("role").alias("own_role"))
+    orgs = e.where("class_type = 'Organization'").select("graph_id", F.col("entity_id").alias("object_id"), F.to_json(F.struct("type", "name")).alias("org"))
+    at = relations.where("predicate = 'atOrganization'").join(orgs, ["graph_id", "object_id"]).groupBy("graph_id", F.col("subject_id").alias("entity_id")).agg(F.max("org").alias("org"))
+    e = e.join(role, "graph_id", "left").join(at, of, "left")
+    c = F.col("class_type")
+    more = (
+        F.when(c == "Channel", F.to_json(F.struct("kind", "scope"))).when(c == "Organization", F.to_json(F.struct("type", "name")))
+        .when(c.isin("Education", "Experience"), F.to_json(F.struct("own_role", "org"))).otherwise("")
+    )
+    return e.select(*of, F.concat_ws("|", "class_type", more).alias("key"))
+
+
+def update_seeds(graphs: DataFrame, old: dict[str, DataFrame], new: dict[str, DataFrame], others: DataFrame, now) -> dict[str, DataFrame]:
+    """Seeds after new profiles: graphs, entities, facts and relations as they are stored then, and the graphs that were refused.
+
+    graphs: graph_id, version, updated. old: entities (graph_id, entity_id, class_type, updated), facts (graph_id, fact_id, entity_id, predicate, value_str, locked, updated) and relations
+    (graph_id, relation_id, subject_id, predicate, object_id, locked, updated); new: the same without locked and updated. others: graph_id, entity_id of
+    entities that other sources refer to. What is matched keeps its id, its lock and, unchanged, its time; an entity is new where its facts or its
+    edges are. A graph with equal content keeps its version, any other goes up by one. Entities that left the profile go too, but for those in others.
+    Where two entities have one key, the graph is refused and stays as it was.
+    """
+    of = ["graph_id", "entity_id"]
+    now = F.lit(now)
+    # each of these is read several times
+    old, new = ({n: stage(df, f"seed-{n}") for n, df in s.items()} for s in (old, new))
+    keys = {n: stage(seed_keys(s["entities"], s["facts"], s["relations"]), "seed-keys") for n, s in (("old", old), ("new", new))}
+    twice = [k.groupBy("graph_id", "key").count().where("count > 1").select("graph_id") for k in keys.values()]
+    refused = stage(twice[0].union(twice[1]).distinct(), "seed-refused")
+    touched = stage(new["entities"].select("graph_id").distinct().join(refused, "graph_id", "left_anti"), "seed-touched")
+
+    def taken(df: DataFrame) -> DataFrame:
+        return df.join(touched, "graph_id", "left_semi")
+
+    ids = stage(taken(keys["new"]).join(keys["old"].select("graph_id", "key", F.col("entity_id").alias("_old")), ["graph_id", "key"], "left").select(*of, F.coalesce("_old", "entity_id").alias("_id")), "seed-ids")
+
+    def moved(df: DataFrame, column: str) -> DataFrame:
+        return df.join(ids.withColumnRenamed("entity_id", column), ["graph_id", column]).drop(column).withColumnRenamed("_id", column)
+
+    facts = moved(taken(new["facts"]), "entity_id").select("graph_id", "fact_id", "entity_id", "predicate", "value_str")
+    before = old["facts"].select("graph_id", "entity_id", "predicate", F.col("fact_id").alias("_fact"), F.col("value_str").alias("_value"), F.col("locked").alias("_locked"), F.col("updated").alias("_updated"))
+    facts = facts.join(before, [*of, "predicate"], "left")
+    facts = facts.select("graph_id", F.coalesce("_fact", "fact_id").alias("fact_id"), "entity_id", "predicate", "value_str", F.coalesce("_locked", F.lit(False)).alias("locked"), F.when(F.col("value_str") == F.col("_value"), F.col("_updated")).otherwise(now).alias("updated"))
+    facts = stage(facts, "seed-facts")
+    edge = ["graph_id", "subject_id", "predicate", "object_id"]
+    edges = moved(moved(taken(new["relations"]), "subject_id"), "object_id").select(*edge, "relation_id")
+    edges = edges.join(old["relations"].select(*edge, F.col("relation_id").alias("_relation"), F.col("locked").alias("_locked"), F.col("updated").alias("_updated")), edge, "left")
+    edges = edges.select("graph_id", F.coalesce("_relation", "relation_id").alias("relation_id"), *edge[1:], F.coalesce("_locked", F.lit(False)).alias("locked"), F.coalesce("_updated", now).alias("updated"))
+    edges = stage(edges, "seed-edges")
+
+    def content(f: DataFrame, r: DataFrame) -> DataFrame:
+        """An entity's facts and edges, one row each."""
+        return f.select(*of, F.concat_ws("=", "predicate", "value_str").alias("what")).union(r.select("graph_id", "subject_id", F.concat_ws(">", "predicate", "object_id")))
+
+    was, is_ = taken(content(old["facts"], old["relations"])), content(facts, edges)
+    differs = was.exceptAll(is_).select(*of).union(is_.exceptAll(was).select(*of)).distinct().withColumn("_differs", F.lit(True))
+    differs = stage(differs, "seed-differs")
+    entities = moved(taken(new["entities"]).select(*of, "class_type"), "entity_id").join(old["entities"].select(*of, F.col("updated").alias("_updated")), of, "left").join(differs, of, "left")
+    entities = entities.select(*of, "class_type", F.when(F.col("_differs").isNull() & F.col("_updated").isNotNull(), F.col("_updated")).otherwise(now).alias("updated"))
+    gone = taken(old["entities"]).join(entities.select(*of), of, "left_anti")
+    kept = gone.join(others, of, "left_semi").select(*of, "class_type", "updated")
+    changed = differs.select("graph_id").union(gone.select("graph_id")).union(entities.join(old["entities"], of, "left_anti").select("graph_id")).distinct().withColumn("_changed", F.lit(True))
+    after = graphs.join(changed, "graph_id", "left").select("graph_id", (F.col("version") + F.coalesce(F.col("_changed").cast("int"), F.lit(0))).alias("version"), F.when(F.col("_changed"), now).otherwise(F.col("updated")).alias("updated"))
+
+    def rest(df: DataFrame) -> DataFrame:
+        return df.join(touched, "graph_id", "left_anti")
+
+    return {
+        "graphs": after, "entities": entities.unionByName(kept).unionByName(rest(old["entities"]).select(*of, "class_type", "updated")), "facts": facts.unionByName(rest(old["facts"]).select(*facts.columns)),
+        "relations": edges.unionByName(rest(old["relations"]).select(*edges.columns)), "refused": refused,
+    }
+
+
 def block_shape_issues(blocks: DataFrame) -> DataFrame:
     """(graph_id, position, code): exactly one About block, and no other without items. blocks: graph_id, position, type, n_items; graphs without blocks aren't in it."""
     n = blocks.where("type = 'About'").groupBy("graph_id").agg(F.min("position").alias("first"))

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from kgloom.plans.staging import written
 
-TABLES = ("customer", "orders", "lineitem", "part", "supplier", "documents", "events", "pages")
+TABLES = ("customer", "orders", "lineitem", "part", "supplier", "nation", "documents", "events", "pages")
 
 _FRAMES = {
     "graphs": "SELECT c_custkey AS graph_id, c_custkey AS user_id, 0 AS version FROM customer",

@@ -79,12 +79,6 @@ def active_graph_counts(k):
     return nested.select("graph_id", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("entities", "facts", "relations")])
 
 
-@query()
-def nested_sink(k):
-    nested = graph_store.nested_graph(k.graphs.select("graph_id"), k.entities.where("status = 'active'"), _facts(k), _relations(k))
-    return nested.select("graph_id", F.to_json(F.struct("graph_id", "entities", "facts", "relations"), {"ignoreNullFields": "true"}).alias("graph_json"))
-
-
 _STALE = """SELECT DISTINCT i.graph_id, {group} FROM {items} i JOIN (
   SELECT l.graph_id, l.{key}, bool_or(e.content_hash IS NOT DISTINCT FROM d.processed_hash) AS held, bool_or(e.content_hash IS DISTINCT FROM d.processed_hash) AS old
   FROM {bridge} l JOIN evidence e ON l.graph_id = e.graph_id AND l.evidence_id = e.evidence_id JOIN source_documents d ON e.graph_id = d.graph_id AND e.document_id = d.document_id GROUP BY ALL

@@ -254,15 +254,6 @@ def file_supplement(k):
     return k.owned.groupBy(F.col("graph_id").alias("repo")).agg(F.countDistinct("l_orderkey").alias("n")).orderBy(F.desc("n"), "repo").limit(5)
 
 
-@query("SELECT g.graph_id, coalesce(a.t, '') = coalesce(b.t, '') AS same FROM graphs g LEFT JOIN (SELECT graph_id, string_agg(entity_id || '=' || value_str, ';' ORDER BY fact_id) AS t FROM facts WHERE provenance = 'profile' GROUP BY ALL) a USING (graph_id) LEFT JOIN (SELECT graph_id, string_agg(entity_id || '=' || value_str, ';' ORDER BY fact_id) AS t FROM facts WHERE provenance = 'profile' AND updated % 50 <> 0 GROUP BY ALL) b USING (graph_id)")
-def canonical_tree_equality(k):
-    def tree(f):
-        return f.where("provenance = 'profile'").groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("fact_id", F.concat_ws("=", "entity_id", "value_str").alias("t")))).alias("t"))
-
-    a, b = tree(k.facts), tree(k.facts.where("updated % 50 <> 0")).withColumnRenamed("t", "u")
-    return k.graphs.join(a, "graph_id", "left").join(b, "graph_id", "left").select("graph_id", F.col("t").eqNullSafe(F.col("u")).alias("same"))
-
-
 @query("SELECT graph_id, entity_id, 'url' AS predicate, 'https://github.com/o/' || graph_id AS value_str FROM (SELECT graph_id, min(entity_id) AS entity_id, count(*) AS n FROM entities WHERE class_type = 'Work' GROUP BY ALL) WHERE n = 1")
 def url_fact_candidates(k):
     one = k.entities.where("class_type = 'Work'").groupBy("graph_id").agg(F.min("entity_id").alias("entity_id"), F.count(F.lit(1)).alias("n")).where("n = 1")

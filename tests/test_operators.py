@@ -33,8 +33,13 @@ def test_margins_modes_and_lines(spark):
     assert [r.key for r in documents.repeated_margins(lines).collect()] == ["head"]
     sizes = spark.createDataFrame([(1, 10.0, 5), (1, 12.0, 9), (1, 10.0, 6)], "g int, size double, n int")
     assert documents.weighted_mode(sizes, ["g"], "size", F.col("n")).first().size == 10.0
-    wrap = spark.createDataFrame([(1, 0, "one", 0.0, 0.0, 10.0, False), (1, 1, "two.", 1.0, 12.0, 22.0, False), (1, 2, "new", 0.0, 24.0, 34.0, False), (1, 3, "H", 0.0, 36.0, 46.0, True)], "page int, ord int, text string, x0 double, top double, bottom double, is_heading boolean")
-    assert [r.text for r in documents.merge_wrapped(wrap, ["page"], "ord").orderBy("ord").collect()] == ["one two.", "new", "H"]
+    row = lambda n, t, x, top, head=False, links=(): (1, n, t, 10.0, x, top, top + 10.0, head, list(links))
+    wrap = spark.createDataFrame(
+        [row(0, "one", 0.0, 0.0, links=["u"]), row(1, "two", 4.0, 12.0, links=["v", "u"]), row(2, "still one", 4.0, 24.0), row(3, "left", 3.0, 36.0), row(4, "- far in", 9.0, 48.0), row(5, "low", 20.0, 67.0), row(6, "H", 30.0, 79.0, True), row(7, "under", 40.0, 91.0)],
+        "page int, ord int, text string, size double, x0 double, top double, bottom double, is_heading boolean, links array<string>",
+    )
+    got = documents.merge_wrapped(wrap, ["page"], "ord").orderBy("ord").collect()
+    assert [r.text for r in got] == ["one two still one", "left", "- far in", "low", "H", "under"] and got[0].links == ["u", "v"] and got[0].bottom == 34.0
     words = spark.createDataFrame([(1, 1, "u", 2.0, 4.0, 11.0, 13.0)], "doc_id int, page int, link string, x0 double, x1 double, top double, bottom double")
     spans = spark.createDataFrame([(1, 1, 0, 0.0, 9.0, 0.0, 5.0), (1, 1, 1, 0.0, 9.0, 10.0, 14.0), (1, 1, 2, 5.0, 9.0, 11.0, 13.0)], "doc_id int, page int, ord int, x0 double, x1 double, top double, bottom double")
     assert documents.nearest_line(words, spans).first().ord == 1
