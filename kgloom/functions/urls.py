@@ -37,13 +37,22 @@ def _under(h: Column, *domains: str) -> Column:
     return hit
 
 
+#: Hosts of slides, papers, videos, notes and demonstrations.
+SLIDES = ("slideshare.net", "speakerdeck.com", "canva.com", "miricanvas.com", "figma.com")
+PAPERS = ("arxiv.org", "doi.org", "dl.acm.org", "ieeexplore.ieee.org", "openreview.net", "aclanthology.org", "semanticscholar.org", "dbpia.co.kr", "riss.kr", "kci.go.kr")
+VIDEOS = ("youtube.com", "youtu.be", "vimeo.com")
+NOTES = ("notion.so", "notion.site")
+DEMOS = ("vercel.app", "netlify.app", "github.io", "pages.dev", "streamlit.app", "herokuapp.com")
+
+
 def label(url: Column) -> Column:
-    """First matching rule wins."""
-    h, p = F.coalesce(host(url), F.lit("")), F.lower(path(url))
+    """What a link shows; the first rule that fits. Only http and https links have a label; papers, videos, notes and demonstrations also under subdomains."""
+    h, p = F.regexp_replace(F.coalesce(host(url), F.lit("")), r"^www\.", ""), F.lower(path(url))
+    slides = p.rlike(r"\.pptx?$") | h.isin(*SLIDES) | ((h == "docs.google.com") & F.startswith(p, F.lit("/presentation/")))
+    demo = _under(h, *DEMOS) | ((h == "huggingface.co") & F.startswith(p, F.lit("/spaces/")))
     return (
-        F.when(~is_http_url(url), None).when(_under(h, "github.com"), "GitHub").when(p.rlike(r"\.pptx?$") | _under(h, "slideshare.net"), "PPT")
-        .when(_under(h, "arxiv.org", "doi.org") | F.endswith(p, F.lit(".pdf")), "Paper").when(_under(h, "youtube.com", "youtu.be", "vimeo.com"), "Video")
-        .when(_under(h, "notion.so", "notion.site"), "Notion").when(_under(h, "vercel.app", "netlify.app"), "Demo").otherwise("Link")
+        F.when(~is_http_url(url), None).when(h == "github.com", "GitHub").when(slides, "PPT").when(_under(h, *PAPERS), "Paper").when(_under(h, *VIDEOS), "Video")
+        .when(_under(h, *NOTES), "Notion").when(demo, "Demo").otherwise("Link")
     )
 
 

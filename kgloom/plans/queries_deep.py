@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgloom.operators import documents, fetching, graph_store, overlap, seeds, trees
-from kgloom.plans.queries import query
+from kgloom.functions import urls
+from kgloom.operators import documents, fetching, graph_store, overlap, seeds, trees, validation
+from kgloom.plans.queries import _CHECKED, _MERGED, _REL_CHECKED, query
+from kgloom.streaming import sources
 
 # Overlapping chunks: line items of an order are entities of one source, named by their part's type, cited by where they stand
 _OVERLAP = """SELECT source_id, concat('e', n) AS ref, n, CASE flag WHEN 'N' THEN 'Organization' WHEN 'A' THEN 'Work' ELSE 'Activity' END AS class_type, CASE WHEN n < 3 THEN 0 WHEN n < 5 THEN 1 ELSE 2 END AS chunk,
@@ -198,3 +200,67 @@ def nested_sink(k):
     links = {n: graph_store.current_links(b, k.evidence, k.source_documents) for n, b in (("entities", k.entity_evidence), ("facts", k.fact_evidence), ("relations", k.relation_evidence))}
     nested = graph_store.nested_evidence(k.graphs, k.entities, k.facts, k.relations, links)
     return nested.select("graph_id", F.to_json(F.struct("graph_id", "entities", "facts", "relations")).alias("graph_json"))
+
+
+# Streams
+@query("SELECT graph_id, source_key, arg_max(content_hash, event_id) AS content_hash FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, source_key ORDER BY fetched DESC, event_id DESC) AS rn FROM snapshots WHERE content_hash IS NOT NULL) WHERE rn = 1 GROUP BY graph_id, source_key")
+def stream_applied_sources(k):
+    """The second attempt at a batch succeeds: what is applied is what one batch over all rows applies."""
+    calls = []
+
+    def apply(fresh):
+        calls.append(1)
+        if len(calls) == 2:  # the second batch fails once, before its marks
+            raise RuntimeError("injected")
+        return fresh.select("graph_id", "source_key", "event_id")
+
+    return sources.replay(k.snapshots, apply)[0].select("graph_id", "source_key", "content_hash")
+
+
+@query("SELECT graph_id, source_key, last(content_hash ORDER BY fetched, event_id) AS content_hash, count(*) FILTER (changed) AS changes FROM (SELECT *, content_hash IS DISTINCT FROM lag(content_hash) OVER (PARTITION BY graph_id, source_key ORDER BY fetched, event_id) AS changed FROM snapshots WHERE content_hash IS NOT NULL) GROUP BY graph_id, source_key")
+def stream_version_counts(k):
+    return sources.replay_changes(k.snapshots).where("content_hash IS NOT NULL")
+
+
+# All rules over the candidate tables
+@query(f"""SELECT code, n FROM ({_CHECKED} SELECT issue AS code, count(*) AS n FROM checked WHERE issue IS NOT NULL GROUP BY issue) UNION ALL SELECT code, n FROM ({_REL_CHECKED} SELECT 'RELATION_' || issue AS code, count(*) AS n FROM checked WHERE issue IS NOT NULL GROUP BY issue)
+ UNION ALL SELECT 'CONFLICTING_VALUES', count(*) FROM (SELECT DISTINCT source_id, ref, predicate FROM ({_MERGED}) WHERE uncertain)
+ UNION ALL SELECT 'MISSING_IDENTITY', count(*) FROM ({_CHECKED}, named AS (SELECT DISTINCT source_id, ref FROM checked WHERE issue IS NULL AND ((class_type = 'Work' AND predicate = 'title') OR (class_type IN ('Skill', 'Organization') AND predicate = 'name')))
+  SELECT DISTINCT c.source_id, c.ref, c.class_type FROM candidate_facts c WHERE class_type IN ('Work', 'Skill', 'Organization') AND NOT EXISTS (SELECT 1 FROM named n WHERE n.source_id = c.source_id AND n.ref = c.ref))
+ UNION ALL SELECT 'DUPLICATE_REF', count(*) FROM (SELECT source_id, ref FROM (SELECT DISTINCT source_id, ref, class_type FROM candidate_facts WHERE class_type IS NOT NULL) GROUP BY source_id, ref HAVING count(*) > 1)
+ UNION ALL SELECT 'UNSUPPORTED_EVIDENCE', count(*) FROM (SELECT f.graph_id, f.fact_id FROM fact_evidence f JOIN evidence e ON e.graph_id = f.graph_id AND e.evidence_id = f.evidence_id JOIN docs d ON e.document_id = concat('D:', d.doc_id) GROUP BY f.graph_id, f.fact_id HAVING NOT bool_and(sha256(d.text) = e.content_hash AND contains(d.text, e.snippet)))""")
+def rule_violations(k):
+    """(code, n): what check_facts(), check_relations(), merge_facts(), unidentified(), duplicate_refs() and grounded() find in all candidates and claims."""
+    c = k.candidate_facts
+    classes = c.where("class_type IS NOT NULL").select("source_id", "ref", "class_type").distinct()
+    checked, linked = validation.check_facts(c), validation.check_relations(k.candidate_relations, classes)
+
+    def named(df, code):
+        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(code).alias("code"), "n")
+
+    by_code = lambda df, code: df.where("issue IS NOT NULL").groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    # a claim is a fact; its locators are its evidence, whose text has to be the version that the evidence is of
+    e = k.evidence.select(F.col("graph_id").alias("source_id"), "document_id", F.col("evidence_id").alias("locator"), "snippet", "content_hash")
+    body = k.docs.select(F.concat(F.lit("D:"), "doc_id").alias("document_id"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"))
+    claims = k.fact_evidence.select(F.col("graph_id").alias("source_id"), F.col("fact_id").alias("claim"), F.col("evidence_id").alias("locator"))
+    parts = [
+        by_code(linked, F.concat(F.lit("RELATION_"), "issue")), named(validation.merge_facts(checked).where("uncertain").select("source_id", "ref", "predicate").distinct(), "CONFLICTING_VALUES"),
+        named(validation.unidentified(classes, checked.where("issue IS NULL")), "MISSING_IDENTITY"), named(validation.duplicate_refs(classes).select("source_id", "ref").distinct(), "DUPLICATE_REF"),
+        named(validation.grounded(claims, e, body, "document_id", "content_hash").where("NOT grounded"), "UNSUPPORTED_EVIDENCE"),
+    ]
+    out = by_code(checked, F.col("issue"))
+    for p in parts:
+        out = out.union(p)
+    return out
+
+
+# Labels of the links that stand in pages
+_HREFS = "SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '(?:href|src)=\"([^\"\\s]+)\"', 1))) AS url FROM pages"
+
+
+@query(f"""WITH u AS ({_HREFS} UNION SELECT page_id, url FROM pages), h AS (SELECT *, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/@]*@)?([^/?#:]+)', 1)), '^www[.]', '') AS host, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1)) AS path FROM u)
+ SELECT page_id, url, CASE WHEN NOT regexp_matches(url, '^(?i)https?://[^\\s/?#]+[^\\s]*$') THEN NULL WHEN host = 'github.com' THEN 'GitHub' WHEN regexp_matches(path, '[.]pptx?$') OR host IN ({", ".join(repr(x) for x in urls.SLIDES)}) OR (host = 'docs.google.com' AND path LIKE '/presentation/%') THEN 'PPT'
+ """ + " ".join(f"WHEN {' OR '.join(f"host = '{d}' OR host LIKE '%.{d}'" for d in hosts)} THEN '{shown}'" for hosts, shown in ((urls.PAPERS, "Paper"), (urls.VIDEOS, "Video"), (urls.NOTES, "Notion"), (urls.DEMOS, "Demo"))) + """ WHEN host = 'huggingface.co' AND path LIKE '/spaces/%' THEN 'Demo' ELSE 'Link' END AS label FROM h""")
+def page_link_labels(k):
+    found = k.pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'(?:href|src)="([^"\s]+)"'), F.lit(1)))).alias("url"))
+    return found.union(k.pages.select("page_id", "url")).distinct().select("page_id", "url", urls.label(F.col("url")).alias("label"))

@@ -393,7 +393,7 @@ def link_labels(k):
     from kgloom.functions import urls
 
     o = F.col("o_orderkey")
-    hosts = ("https://gist.github.com/a", "http://x.example/talk.PPTX", "https://arxiv.org/abs/1", "https://youtu.be/x", "https://a.notion.site/p", "https://example.org/", "mailto:a@b")
+    hosts = ("https://www.github.com/a", "http://x.example/talk.PPTX", "https://arxiv.org/abs/1", "https://youtu.be/x", "https://a.notion.site/p", "https://example.org/", "mailto:a@b")
     url = F.element_at(F.array(*[F.lit(h) for h in hosts]), (o % 7 + 1).cast("int"))
     store = F.when(o % 3 == 0, "https://b.s3.ap-northeast-2.amazonaws.com/d/a.pdf").when(o % 3 == 1, "https://b.s3.amazonaws.com/a.docx").otherwise("http://b.s3.amazonaws.com/a.pdf")
     return k.orders.select("o_orderkey", urls.label(url).alias("label"), urls.attachment_ok(store, F.lit("application/pdf")).alias("is_attachment"))

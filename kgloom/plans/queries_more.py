@@ -259,8 +259,3 @@ def url_fact_candidates(k):
     one = k.entities.where("class_type = 'Work'").groupBy("graph_id").agg(F.min("entity_id").alias("entity_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
     url = F.concat(F.lit("https://github.com/o/"), "graph_id")
     return one.where(urls.is_repository(url)).select("graph_id", "entity_id", F.lit("url").alias("predicate"), url.alias("value_str"))
-
-
-@query("SELECT source_id, ref, n FROM (SELECT source_id, ref, count(DISTINCT class_type) AS n FROM candidate_facts GROUP BY ALL) WHERE n = 0")
-def rule_violations(k):
-    return k.candidate_facts.groupBy("source_id", "ref").agg(F.countDistinct("class_type").alias("n")).where("n = 0")
