@@ -11,7 +11,6 @@ turns in order.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,18 +22,20 @@ EVENTS = "conv_id {id}, message bigint, seq bigint, kind string, role string, te
 #: Fixed values of the template.
 OPEN, MIDDLE, CLOSE = '<turn role="', '">\n', "\n</turn>\n"
 ASSISTANT = "assistant"
-TURN = re.compile(r'<turn role="((?:[^\\<"]|\\.)*)">\n((?:[^\\<]|\\.)*)\n</turn>\n', re.S)
-_OUT = {"\\": "\\\\", "<": "\\l", '"': "\\q"}
-_BACK = {"\\": "\\", "l": "<", "q": '"'}
 
 
 def escape(text: str) -> str:
     """No `<` or `"` is left, so no text can open or close a turn; unescape() undoes it."""
-    return re.sub(r'[\\<"]', lambda m: _OUT[m[0]], text)
+    return text.replace("\\", "\\\\").replace("<", "\\l").replace('"', "\\q")
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", lambda m: _BACK[m[1]], text, flags=re.S)
+    """The text that escape() was given; what it never gives is an error."""
+    # two backslashes in a row are always one escaped one, read from the left
+    parts = [p.replace("\\l", "<").replace("\\q", '"') for p in text.split("\\\\")]
+    if any("\\" in p for p in parts):
+        raise ValueError("a backslash that escapes nothing")
+    return "\\".join(parts)
 
 
 def render(role: str, text: str) -> tuple[str, int, int]:
@@ -45,14 +46,17 @@ def render(role: str, text: str) -> tuple[str, int, int]:
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """The turns of a formatted text; anything that isn't a row of turns is an error."""
+    """The turns of a formatted text; anything that isn't a row of turns is an error. Looks for the marks, which no text holds, so it takes the memory of the texts alone."""
     out, at = [], 0
     while at < len(formatted):
-        m = TURN.match(formatted, at)
-        if not m:
+        role = at + len(OPEN)
+        middle = formatted.find(MIDDLE, role)
+        body = middle + len(MIDDLE)
+        close = formatted.find("<", body) - 1  # the first `<` is in the mark
+        if not formatted.startswith(OPEN, at) or middle < 0 or close < body or not formatted.startswith(CLOSE, close) or '"' in formatted[role:middle] or "<" in formatted[role:middle]:
             raise ValueError(f"no turn at {at}")
-        out.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
+        out.append((unescape(formatted[role:middle]), unescape(formatted[body:close])))
+        at = close + len(CLOSE)
     return out
 
 

@@ -123,6 +123,27 @@ def test_clashing_names_pass_through_or_are_replaced(spark, corpus):
     assert got == {1: (1, True, "x", "x"), 2: (1, False, "x", "x"), 3: (3, True, "x", "x")}
 
 
+def test_long_turns_take_little_memory():
+    import tracemalloc
+
+    text = 'plain words of a turn \\ with <marks> and "quotes"\n' * 1_000_000  # 50 MB
+    assert len(text) > 48_000_000
+    whole = chat.render("assistant", text)[0]
+    tracemalloc.start()
+    (got,) = chat.parse(whole)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == ("assistant", text) and peak < 500_000_000
+
+
+def test_parse_refuses_what_was_not_rendered():
+    good = chat.render("user", "a")[0]
+    for bad in (good[:-1], good + "x", "x" + good, good.replace("a\n", "\\x\n"), good.replace('">', '"'), good.replace("user", "us<er"), good.replace("</turn>", "</turns>")):
+        with pytest.raises(ValueError):
+            chat.parse(bad)
+    assert chat.parse("") == [] and chat.parse(good + good) == [("user", "a")] * 2
+
+
 def test_very_long_texts(spark):
     """One text of some MB between short ones, for every operator on texts."""
     long = "\n".join(f"word{i} of{i % 97} many{i % 1009} lines here {i}" for i in range(60_000))
