@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kgloom.functions import urls
-from kgloom.operators import documents, fetching, graph_store, overlap, seeds, trees, validation
+from kgloom.operators import content, documents, fetching, graph_store, overlap, seeds, trees, validation
 from kgloom.plans.queries import _CHECKED, _MERGED, _REL_CHECKED, query
 from kgloom.streaming import sources
 
@@ -264,3 +264,66 @@ _HREFS = "SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '(?:href
 def page_link_labels(k):
     found = k.pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'(?:href|src)="([^"\s]+)"'), F.lit(1)))).alias("url"))
     return found.union(k.pages.select("page_id", "url")).distinct().select("page_id", "url", urls.label(F.col("url")).alias("label"))
+
+
+# CV: an order is an entry of the kind that its priority says, at its suppliers, with its parts as skills
+_CAREER = """SELECT o_custkey AS graph_id, concat(substr('XDWAC', CAST(substr(o_orderpriority, 1, 1) AS INT), 1), ':', o_orderkey) AS entity_id, o_orderkey AS k, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Experience' WHEN '2' THEN 'Education' WHEN '3' THEN 'Work' WHEN '4' THEN 'Activity' ELSE 'Credential' END AS class_type,
+  o_orderstatus AS st, o_totalprice AS price, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day, CAST(CAST(o_orderdate AS DATE) + 400 AS STRING) AS later FROM orders"""
+_CAREER_LINES = f"SELECT DISTINCT c.graph_id, c.entity_id, c.class_type, l_linenumber AS n, l_partkey AS part, l_suppkey AS supp, p_name, p_type, s_name FROM lineitem JOIN ({_CAREER}) c ON l_orderkey = c.k JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"
+
+
+def _career(k):
+    e, lines = k.sql(_CAREER), k.sql(_CAREER_LINES)
+    c, st, price = F.col("class_type"), F.col("st"), F.col("price")
+    said = {
+        "role": F.when(c.isin("Experience", "Activity", "Work") & (price > 150000), F.concat(F.lit("Role "), st)), "department": F.when((c == "Experience") & (price < 250000), F.concat(F.lit("Dept "), st)),
+        "title": F.when(c.isin("Work", "Credential") & (price > 20000), F.concat(F.lit("Title "), "k")), "name": F.when((c == "Activity") & (price > 200000), F.concat(F.lit("Club "), "k")),
+        "kind": F.when(c == "Work", F.when(st == "F", "publication").otherwise("project")).when((c == "Activity") & (st == "O"), "volunteer").when(c == "Credential", F.when(st == "F", "award").otherwise("certification")),
+        "start": F.col("day"), "end": F.when(st == "F", F.col("later")), "isCurrent": F.when(st == "O", "True"), "date": F.when(c == "Credential", F.col("day")), "grade": F.when((c == "Credential") & (price > 250000), "A"), "issuerName": F.when((c == "Credential") & (st != "P"), F.concat(F.lit("Board "), st)),
+        "url": F.when(c == "Work", F.concat(F.when(price > 100000, "https").otherwise("ftp"), F.lit("://w.example/"), "k")),
+    }
+    pairs = F.array(*[F.struct(F.lit(p).alias("predicate"), v.alias("value_str")) for p, v in said.items()])
+    own = e.select("graph_id", "entity_id", "k", F.explode(pairs).alias("x")).select("graph_id", F.concat_ws("/", "entity_id", "x.predicate").alias("fact_id"), "entity_id", "x.*", F.col("k").alias("updated")).where("value_str IS NOT NULL")
+    majors = lines.where("class_type = 'Education'").select("graph_id", F.concat_ws("/", "entity_id", "part").alias("fact_id"), "entity_id", F.lit("major").alias("predicate"), F.col("p_type").alias("value_str"), F.col("part").alias("updated")).distinct()
+    named = lambda letter, key, name: lines.select("graph_id", F.concat(F.lit(letter), key).alias("fact_id"), F.concat(F.lit(letter), key).alias("entity_id"), F.lit("name").alias("predicate"), F.col(name).alias("value_str"), F.col(key).alias("updated")).distinct()
+    facts = own.union(majors).union(named("O:", "supp", "s_name")).union(named("S:", "part", "p_name"))
+    others = facts.where("predicate = 'name' AND (entity_id LIKE 'O:%' OR entity_id LIKE 'S:%')").select("graph_id", "entity_id", F.when(F.startswith("entity_id", F.lit("O:")), "Organization").otherwise("Skill").alias("class_type"))
+    edge = lambda df, predicate, number, target: df.select("graph_id", F.concat_ws(":", F.lit(predicate), F.lpad(F.col(number).cast("string"), 9, "0"), target).alias("relation_id"), F.col("entity_id").alias("subject_id"), F.lit(predicate).alias("predicate"), target.alias("object_id"))
+    at, uses = edge(lines, "atOrganization", "n", F.concat(F.lit("O:"), "supp")), edge(lines.where("class_type IN ('Work', 'Experience')"), "usesSkill", "n", F.concat(F.lit("S:"), "part"))
+    posts = e.where("class_type = 'Experience'").select("graph_id", "st", F.col("entity_id").alias("post"), F.col("k").alias("pk"))
+    part_of = edge(e.where("class_type = 'Work'").join(posts, ["graph_id", "st"]), "partOf", "pk", F.col("post"))
+    evidence = lines.select("graph_id", "entity_id", F.lit(0).alias("rank"), F.col("n").alias("ord"), F.concat_ws(" ", "p_name", "p_type").alias("snippet"))
+    return e.select("graph_id", "entity_id", "class_type").union(others), facts, at.union(uses).union(part_of).distinct(), evidence
+
+
+_CV_ALL = f"""WITH e AS ({_CAREER}), l AS ({_CAREER_LINES}), org AS (SELECT graph_id, entity_id, arg_min(s_name, concat('atOrganization:', lpad(n::VARCHAR, 9, '0'), ':O:', supp)) AS org FROM l GROUP BY ALL),
+ sk AS (SELECT graph_id, entity_id, list(p_name ORDER BY first) AS skills FROM (SELECT graph_id, entity_id, p_name, min(concat('usesSkill:', lpad(n::VARCHAR, 9, '0'), ':S:', part)) AS first FROM l GROUP BY ALL) GROUP BY graph_id, entity_id),
+ mj AS (SELECT graph_id, entity_id, string_agg(p_type, ', ' ORDER BY first) AS major FROM (SELECT graph_id, entity_id, p_type, min((-part, concat(entity_id, '/', part))) AS first FROM l GROUP BY ALL) GROUP BY graph_id, entity_id),
+ sn AS (SELECT graph_id, entity_id, list(snippet ORDER BY n, snippet) AS snippets FROM (SELECT graph_id, entity_id, concat(p_name, ' ', p_type) AS snippet, min(n) AS n FROM l GROUP BY ALL) GROUP BY graph_id, entity_id),
+ part AS (SELECT w.graph_id, w.entity_id, w.k, w.price, arg_min(x.entity_id, concat(lpad(x.k::VARCHAR, 9, '0'), ':', x.entity_id)) AS post FROM e w JOIN e x ON w.graph_id = x.graph_id AND w.st = x.st AND w.class_type = 'Work' AND x.class_type = 'Experience' GROUP BY w.graph_id, w.entity_id, w.k, w.price),
+ lent AS (SELECT p.graph_id, p.post AS entity_id, flatten(list(list_transform(snippets, lambda s: (CASE WHEN price > 20000 THEN 'Title ' || p.k ELSE 'None' END) || ': ' || s) ORDER BY p.entity_id DESC)) AS lent FROM part p JOIN sn ON sn.graph_id = p.graph_id AND sn.entity_id = p.entity_id GROUP BY ALL),
+ j AS (SELECT e.*, org, skills, major, snippets, lent, CASE WHEN price > 150000 THEN 'Role ' || st END AS role, CASE WHEN price < 250000 THEN 'Dept ' || st END AS dept FROM e LEFT JOIN org USING (graph_id, entity_id) LEFT JOIN sk USING (graph_id, entity_id) LEFT JOIN mj USING (graph_id, entity_id) LEFT JOIN sn USING (graph_id, entity_id) LEFT JOIN lent USING (graph_id, entity_id)
+  WHERE (e.graph_id, e.entity_id) NOT IN (SELECT graph_id, entity_id FROM part))
+ SELECT * FROM (SELECT graph_id, entity_id, CASE class_type WHEN 'Education' THEN 'education' WHEN 'Experience' THEN 'experience' WHEN 'Work' THEN CASE WHEN st = 'F' THEN 'publications' ELSE 'projects' END WHEN 'Activity' THEN CASE WHEN st = 'O' THEN 'volunteering' ELSE 'activities' END ELSE CASE WHEN st = 'F' THEN 'awards' ELSE 'certifications' END END AS section,
+  CASE class_type WHEN 'Education' THEN org WHEN 'Experience' THEN coalesce(org, role) WHEN 'Activity' THEN coalesce(CASE WHEN price > 200000 THEN 'Club ' || k END, org) ELSE CASE WHEN price > 20000 THEN 'Title ' || k END END AS title,
+  CASE class_type WHEN 'Education' THEN major WHEN 'Experience' THEN nullif(concat_ws(' · ', CASE WHEN role <> coalesce(org, role) THEN role END, CASE WHEN dept <> coalesce(org, role) THEN dept END), '') WHEN 'Activity' THEN role WHEN 'Work' THEN role END AS subtitle,
+  CASE WHEN class_type <> 'Credential' THEN substr(day, 1, 4) || '.' || substr(day, 6, 2) END AS start, CASE WHEN class_type <> 'Credential' THEN CASE st WHEN 'F' THEN substr(later, 1, 4) || '.' || substr(later, 6, 2) WHEN 'O' THEN 'Present' END END AS "end",
+  CASE WHEN class_type = 'Credential' THEN substr(day, 1, 4) || '.' || substr(day, 6, 2) END AS date, CASE WHEN class_type = 'Credential' AND price > 250000 THEN 'A' END AS grade, CASE WHEN class_type = 'Credential' AND st <> 'P' THEN 'Board ' || st END AS issuer,
+  CASE WHEN class_type = 'Work' AND price > 100000 THEN 'https://w.example/' || k END AS link, CASE WHEN class_type IN ('Work', 'Experience') THEN coalesce(array_to_string(skills, '|'), '') ELSE '' END AS skills,
+  coalesce(array_to_string((coalesce(CASE WHEN class_type = 'Experience' THEN lent END, []) || coalesce(snippets, []))[:8], '|'), '') AS snippets FROM j) WHERE title IS NOT NULL"""
+
+
+def _cv(k):
+    return content.cv_candidates(*_career(k))
+
+
+@query(_CV_ALL.replace("CAST(CAST(o_orderdate AS DATE) + 400 AS STRING)", "CAST(CAST(o_orderdate AS DATE) + 400 AS VARCHAR)"))
+def cv_all_candidates(k):
+    df = _cv(k)
+    return df.withColumns({"skills": F.array_join("skills", "|"), "snippets": F.array_join("snippets", "|")})
+
+
+@query(f"""SELECT graph_id, entity_id, section, position FROM (SELECT graph_id, entity_id, section, row_number() OVER (PARTITION BY graph_id, section ORDER BY CASE WHEN section = 'projects' THEN '' WHEN "end" = 'Present' THEN '9999' ELSE coalesce("end", start, date, '') END DESC, entity_id)::INT AS position FROM ({_CV_ALL}))
+ WHERE position <= CASE section WHEN 'education' THEN 3 WHEN 'volunteering' THEN 4 WHEN 'awards' THEN 8 WHEN 'certifications' THEN 8 ELSE 6 END""")
+def cv_all_top(k):
+    return content.top_sections(_cv(k).withColumn("ordinal", F.col("entity_id"))).select("graph_id", "entity_id", "section", "position")
