@@ -56,6 +56,20 @@ def label(url: Column) -> Column:
     )
 
 
+#: Fixed value: what a page's id looks like at the end of a path.
+PAGE_ID = r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
+
+
+def public_page(url: Column) -> Column:
+    """struct<page_id, source_url> of a public page's address over https: its id in lower case without hyphens, and the address without query, fragment and last slash; null elsewhere."""
+    h = host(url)
+    p = F.regexp_replace(path(url), "/+$", "")
+    found = F.regexp_extract(p, PAGE_ID, 0)
+    known = h.isin("notion.so", "www.notion.so", "notion.site", "www.notion.site") | F.endswith(h, F.lit(".notion.site"))
+    ok = F.coalesce(F.lower(url).startswith("https://") & known & (found != ""), F.lit(False))
+    return F.when(ok, F.struct(page_id(found).alias("page_id"), F.concat(F.lit("https://"), h, p).alias("source_url")))
+
+
 def page_id(text: Column) -> Column:
     return F.lower(F.replace(text, F.lit("-")))
 

@@ -94,7 +94,7 @@ def affiliated_identity(entities: DataFrame, facts: DataFrame, relations: DataFr
 def apply_sources(facts: DataFrame, relations: DataFrame, claims: DataFrame, evidence: DataFrame, content: DataFrame) -> dict[str, DataFrame]:
     """What sources bring in, checked in order: grounding, rules, identity, merging. One failed part never lets another through.
 
-    facts: candidates as check_facts() takes them, with claim; relations likewise, with claim; claims: source_id, claim, locator. Returns facts, relations and issues.
+    facts: candidates as check_facts() takes them, with claim; relations likewise, with claim; claims: source_id, claim, locator. Returns facts, uncertain (facts in conflict), relations and issues.
     """
     sound = validation.grounded(claims, evidence, content)
     bad = sound.where("NOT grounded").select("source_id", "claim")
@@ -111,7 +111,7 @@ def apply_sources(facts: DataFrame, relations: DataFrame, claims: DataFrame, evi
         .union(linked.where("issue IS NOT NULL").select("source_id", "issue")).union(lost.select("source_id", F.lit("MISSING_IDENTITY")))
         .union(kept.where("uncertain").select("source_id", "ref", "predicate").distinct().select("source_id", F.lit("CONFLICTING_VALUES")))
     )
-    return {"facts": kept.where("NOT uncertain"), "relations": edges, "issues": issues}
+    return {"facts": kept.where("NOT uncertain"), "uncertain": kept.where("uncertain"), "relations": edges, "issues": issues}
 
 
 def seed_keys(entities: DataFrame, facts: DataFrame, relations: DataFrame) -> DataFrame:

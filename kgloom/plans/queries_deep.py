@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kgloom.functions import urls
-from kgloom.operators import content, documents, fetching, graph_store, overlap, seeds, trees, validation
+from kgloom.operators import applying, content, documents, fetching, graph_store, identity, overlap, seeds, trees, validation
 from kgloom.plans.queries import _CHECKED, _MERGED, _REL_CHECKED, query
+from kgloom.plans.staging import shared_dir
+from kgloom.sources import paged, repositories
 from kgloom.streaming import sources
 
 # Overlapping chunks: line items of an order are entities of one source, named by their part's type, cited by where they stand
@@ -327,3 +331,100 @@ def cv_all_candidates(k):
  WHERE position <= CASE section WHEN 'education' THEN 3 WHEN 'volunteering' THEN 4 WHEN 'awards' THEN 8 WHEN 'certifications' THEN 8 ELSE 6 END""")
 def cv_all_top(k):
     return content.top_sections(_cv(k).withColumn("ordinal", F.col("entity_id"))).select("graph_id", "entity_id", "section", "position")
+
+
+# Paged answers: customers of a nation, saved by hundreds and read back through the data source
+@query("SELECT c_nationkey::VARCHAR AS owner, ((rn - 1) // 100)::INT AS page, ((rn - 1) % 100)::INT AS position, c_custkey, c_name FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM customer)")
+def paged_answers(k):
+    folder = f"{shared_dir(k.spark)}/kgloom-pages-{uuid.uuid4().hex}"
+    items = k.customer.select(F.col("c_nationkey").cast("string").alias("owner"), F.col("c_custkey").alias("ord"), F.to_json(F.struct("c_custkey", "c_name")).alias("item"))
+    paged.save(items, folder)
+    item = F.from_json("item", "c_custkey bigint, c_name string")
+    return paged.read(k.spark, folder).select("owner", "page", "position", item.alias("x")).select("owner", "page", "position", "x.*")
+
+
+# Repositories of an owner: orders of a nation, the latest first; lines that were sent back are commits, orders without lines could not be looked at
+_REPOS = """SELECT c_nationkey AS owner, o_orderkey AS repo, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate DESC, o_orderkey) AS ord, o_orderstatus = 'P' AS private, o_orderpriority >= '3' AS fork, o_totalprice AS price FROM orders JOIN customer ON o_custkey = c_custkey"""
+_ANSWERS = """SELECT l_orderkey AS repo, CASE WHEN max(l_quantity) > 49 AND max(l_returnflag) = 'A' THEN 'rate_limited' WHEN max(l_returnflag) = 'R' THEN 'found' ELSE 'none' END AS answer FROM lineitem GROUP BY l_orderkey"""
+_PICK = f"""WITH r AS (SELECT r.*, CASE WHEN NOT private AND fork THEN coalesce(answer, 'failed') END AS a FROM ({_REPOS}) r LEFT JOIN ({_ANSWERS}) USING (repo)), b AS (SELECT *, coalesce(max((a = 'rate_limited')::INT) OVER w = 1, false) AS blocked FROM r WINDOW w AS (PARTITION BY owner ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ t AS (SELECT *, NOT private AND NOT (NOT blocked AND coalesce(a = 'none', false)) AS taken FROM b), n AS (SELECT *, coalesce(sum(taken::INT) OVER (PARTITION BY owner ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS n FROM t),
+ o AS (SELECT *, (SELECT min(ord) FROM n m WHERE m.owner = n.owner AND NOT m.private AND m.n >= 20) AS stop FROM n)"""
+
+
+@query(_PICK + " SELECT owner, repo, n + 1 AS position FROM o WHERE taken AND n < 20")
+def picked_repositories(k):
+    return repositories.pick_repositories(k.sql(_REPOS), k.sql(_ANSWERS))[0]
+
+
+@query(_PICK + """ SELECT owner, repo, code FROM (SELECT owner, repo, CASE WHEN ord = stop THEN 'repository_limit' WHEN private THEN 'unsupported_content' WHEN a IN ('failed', 'rate_limited') AND NOT blocked THEN 'fork_unverified' END AS code FROM o WHERE ord <= coalesce(stop, ord)) WHERE code IS NOT NULL""")
+def repository_warnings(k):
+    return repositories.pick_repositories(k.sql(_REPOS), k.sql(_ANSWERS))[1]
+
+
+# Addresses of public pages: a document's hash is a page's id, in one of the ways that addresses are written
+_PAGE_URLS = """SELECT doc_id, concat(CASE WHEN doc_id % 5 = 4 THEN 'http' ELSE 'HTTPS' END, '://', CASE doc_id % 4 WHEN 0 THEN 'www.Notion.so/' WHEN 1 THEN 'me.notion.site/Some-Title-' WHEN 2 THEN 'notion.site.example.org/' ELSE 'notion.so/team/' END,
+  CASE WHEN doc_id % 3 = 0 THEN upper(substr(now_hash, 1, 32)) WHEN doc_id % 3 = 1 THEN concat(substr(now_hash, 1, 8), '-', substr(now_hash, 9, 4), '-', substr(now_hash, 13, 4), '-', substr(now_hash, 17, 4), '-', substr(now_hash, 21, 12)) ELSE substr(now_hash, 1, 31) END, CASE doc_id % 2 WHEN 0 THEN '/?pvs=4#x' ELSE '' END) AS url, lower(substr(now_hash, 1, 32)) AS want FROM docs"""
+
+
+@query(f"""SELECT doc_id, CASE WHEN ok THEN want END AS page_id, CASE WHEN ok THEN 'https://' || lower(regexp_extract(url, '://([^/]+)', 1)) || regexp_replace(regexp_extract(url, '://[^/]+([^?#]*)', 1), '/+$', '') END AS source_url FROM (SELECT *, doc_id % 5 <> 4 AND doc_id % 4 <> 2 AND doc_id % 3 <> 2 AS ok FROM ({_PAGE_URLS}))""")
+def public_page_targets(k):
+    return k.sql(_PAGE_URLS).select("doc_id", urls.public_page(F.col("url")).alias("t")).select("doc_id", "t.*")
+
+
+# Whole sources: a document says that its order is a project, and that its own source is a tool which that project uses
+_APPLY = """WITH ok AS (SELECT doc_id, graph_id, source, now_hash FROM docs WHERE doc_id % 13 <> 0 AND NOT (doc_id % 11 <> 0 AND doc_id % 3 <> 0 AND doc_id % 7 <> 0)), n AS (SELECT doc_id, count(*) AS n FROM doc_lines GROUP BY doc_id),
+ work AS (SELECT ok.*, n.n, e.entity_id IS NOT NULL AS known, coalesce(e.entity_id, ok.doc_id || ':e1') AS work FROM ok JOIN n USING (doc_id) LEFT JOIN (SELECT e.graph_id, e.entity_id, t.value_str AS title, x.value_str AS kind FROM entities e JOIN facts t ON t.graph_id = e.graph_id AND t.entity_id = e.entity_id AND t.predicate = 'title' AND t.status = 'active'
+   JOIN facts x ON x.graph_id = e.graph_id AND x.entity_id = e.entity_id AND x.predicate = 'kind' AND x.status = 'active' WHERE e.status = 'active') e ON e.graph_id = ok.graph_id AND e.title = 'Order ' || ok.doc_id AND (n.n < 2 OR e.kind = 'project')),
+ tool AS (SELECT doc_id, graph_id, first_value(doc_id) OVER (PARTITION BY graph_id, source ORDER BY doc_id) || ':e2' AS skill, source FROM ok WHERE source IS NOT NULL)"""
+
+
+def _applied_whole(k):
+    d = k.docs.select("doc_id", "graph_id", "source", "text")
+    row = lambda *v: F.struct(*[x.alias(f"c{i}") for i, x in enumerate(v)])
+    one, sure = F.lit("e1"), F.lit(0.9)
+
+    def rows(array, *names):
+        return d.select(F.col("doc_id").alias("source_id"), F.explode(array).alias("x")).where("x.c2 IS NOT NULL").select("source_id", *[F.col(f"x.c{i}").alias(n) for i, n in enumerate(names)])
+
+    order, at = F.concat(F.lit("Order "), F.col("doc_id").cast("string")), F.col("doc_id") * 10
+    # where a document has a source, it is a tool
+    tool = lambda *v: F.when(F.col("source").isNotNull(), row(*v))
+    entities = rows(F.array(row(one, F.lit("Work"), at), tool(F.lit("e2"), F.lit("Skill"), at + 1)), "ref", "class_type", "ord")
+    facts = rows(
+        F.array(
+            row(one, at, F.lit("Work"), F.lit("title"), order, sure, F.lit("a")), row(one, at + 1, F.lit("Work"), F.lit("kind"), F.lit("project"), sure, F.lit("b")), row(one, at + 2, F.lit("Work"), F.lit("salary"), order, sure, F.lit("a")),
+            tool(F.lit("e2"), at + 3, F.lit("Skill"), F.lit("name"), F.col("source"), sure, F.lit("a")), tool(F.lit("e2"), at + 4, F.lit("Skill"), F.lit("kind"), F.lit("tool"), sure, F.lit("c")),
+        ), "ref", "ord", "class_type", "predicate", "value_str", "confidence", "claim",
+    )
+    relations = rows(F.array(tool(at, one, F.lit("usesSkill"), F.lit("e2"), sure, F.lit("b"))), "ord", "subject_ref", "predicate", "object_ref", "confidence", "claim")
+    claims = rows(F.array(row(F.lit("a"), F.lit("line:0"), one), row(F.lit("b"), F.lit("line:1"), one), row(F.lit("c"), F.lit("line:2"), one)), "claim", "locator", "of")
+    lines = k.doc_lines.select(F.col("doc_id").alias("source_id"), F.concat(F.lit("line:"), "line").alias("locator"), F.col("text").alias("snippet"))
+    docs = k.source_documents.select("graph_id", "source_key", F.col("doc_id").alias("source_id"), "processed_hash", "processed_ontology").join(d.select(F.col("doc_id").alias("source_id"), "text"), "source_id")
+    stored = {
+        "pool": identity.resolution_pool(k.entities, k.facts, k.relations, k.entity_keys), "stale_facts": k.facts.where("false").select("graph_id", "entity_id", "predicate"), "stale_relations": k.relations.where("false").select("graph_id", "subject_id", "predicate"),
+        "facts": k.facts.select("graph_id", "entity_id", "predicate", "value_str", "status", (F.col("status") == "active").alias("blocks")), "relations": k.relations.select("graph_id", "subject_id", "predicate", "object_id", "status", (F.col("status") == "active").alias("blocks")),
+    }
+    return applying.apply_whole(k.graphs.select("graph_id", "version"), docs, k.source_snapshots, {"entities": entities, "facts": facts, "relations": relations, "claims": claims.drop("of")}, lines, stored)
+
+
+@query(_APPLY + """ SELECT graph_id, work AS entity_id, 'title' AS predicate, 'Order ' || doc_id AS value_str, CASE WHEN known THEN 'reuse' ELSE 'active' END AS decision FROM work UNION ALL SELECT graph_id, work, 'kind', 'project', CASE WHEN known THEN 'reuse' ELSE 'active' END FROM work WHERE n > 1
+ UNION ALL SELECT DISTINCT graph_id, skill, 'name', source, 'active' FROM tool UNION ALL SELECT DISTINCT graph_id, skill, 'kind', 'tool', 'active' FROM tool JOIN n USING (doc_id) WHERE n > 2""")
+def applied_facts(k):
+    return _applied_whole(k)["facts"]
+
+
+@query(_APPLY + """ SELECT graph_id, 'P:' || graph_id AS subject_id, 'participatedIn' AS predicate, work AS object_id, CASE WHEN known THEN 'reuse' ELSE 'active' END AS decision FROM work UNION ALL SELECT work.graph_id, work, 'usesSkill', skill, 'active' FROM tool JOIN work USING (doc_id) WHERE n > 1""")
+def applied_relations(k):
+    return _applied_whole(k)["relations"]
+
+
+@query(_APPLY + """ SELECT d.graph_id, d.source_key, CASE WHEN ok.doc_id IS NOT NULL THEN ok.now_hash ELSE d.processed_hash END AS processed_hash, CASE WHEN ok.doc_id IS NOT NULL THEN '2.1' ELSE d.processed_ontology END AS processed_ontology, (SELECT count(*) FROM ok o WHERE o.graph_id = d.graph_id) AS version FROM source_documents d LEFT JOIN ok ON ok.doc_id = d.doc_id""")
+def applied_marks(k):
+    out = _applied_whole(k)
+    return out["documents"].select("graph_id", "source_key", "processed_hash", "processed_ontology").join(out["graphs"], "graph_id")
+
+
+@query(_APPLY + """ SELECT code, count(*) AS n FROM (SELECT CASE WHEN d.doc_id % 13 = 0 THEN 'NOT_STORED' ELSE 'ALREADY_PROCESSED' END AS code FROM docs d LEFT JOIN ok USING (doc_id) WHERE ok.doc_id IS NULL UNION ALL SELECT 'INVALID_PROPERTY' FROM ok
+ UNION ALL SELECT 'UNSUPPORTED_EVIDENCE' FROM ok JOIN n USING (doc_id) WHERE n < 2 UNION ALL SELECT 'UNSUPPORTED_EVIDENCE' FROM ok JOIN n USING (doc_id) WHERE n < 3) GROUP BY code""")
+def applied_issues(k):
+    return _applied_whole(k)["issues"].groupBy("code").agg(F.count(F.lit(1)).alias("n"))
