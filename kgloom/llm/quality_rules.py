@@ -3,7 +3,7 @@
 Each rule votes for (1) or against (-1) a document or abstains (0).
 Expectation-maximisation over the counts of vote patterns estimates how
 often each rule is right on good and on bad documents and how common good
-ones are. Most kinds of bad documents are seen by two rules (symbols by word and by letter, capitals
+ones are. Most kinds of bad documents are seen by two rules that look at different things (symbols and the share of short words, capitals
 and shouting), whose agreement tells a rule that is right from one that isn't. A document is
 kept when its posterior probability of being good reaches one half,
 instead of having to pass every rule.
@@ -21,6 +21,8 @@ from .common import SPACE_WORD, let, stage, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Code points of a short word: most are words that hold a sentence together.
+SHORT = 3
 ROUNDS = 30
 #: Where estimation starts: share of good documents, and how often a vote is right on good and on bad ones.
 PRIOR, GOOD, BAD = 0.8, 0.99, 0.4
@@ -31,7 +33,7 @@ RULES = (
     ("length", "n_words", (50, None), (20, None)),
     ("word_length", "word_chars / n_words", (2.5, 9), (2, 14)),
     ("symbols", "n_symbols / n_words", (None, 0.02), (None, 0.1)),
-    ("symbol_mass", "n_symbols / word_chars", (None, 0.005), (None, 0.03)),
+    ("short_words", "n_short / n_words", (0.2, 0.43), (0.12, 0.47)),
     ("line_repeats", "n_dup_lines / n_lines", (None, 0.05), (None, 0.3)),
     ("word_repeats", "n_repeat_words / n_words", (None, 0.05), (None, 0.2)),
     ("capitals", "n_capitals / n_words", (None, 0.5), (None, 1.5)),
@@ -74,11 +76,12 @@ def signals(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0)
     words = F.regexp_extract_all(text, F.lit(SPACE_WORD), F.lit(0))
     line_part = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    word_part = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _n_repeat_words(w).alias("n_repeat_words")))
+    word_part = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _n_repeat_words(w).alias("n_repeat_words"), F.size(F.filter(w, lambda x: F.length(x) <= SHORT)).cast("long").alias("n_short")))
     return let(F.struct(line_part.alias("l"), word_part.alias("w")), lambda x: F.struct(
         x["w"]["n_words"].alias("n_words"), (n_chars - without(" \t\n\x0b\f\r")).cast("long").alias("word_chars"),
         without(SYMBOLS).cast("long").alias("n_symbols"), x["l"]["n_dup_lines"].alias("n_dup_lines"), x["w"]["n_repeat_words"].alias("n_repeat_words"),
         x["l"]["n_lines"].alias("n_lines"), without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_capitals"), without("!?").cast("long").alias("n_shouts"),
+        x["w"]["n_short"].alias("n_short"),
     ))
 
 
@@ -116,7 +119,7 @@ def fit(votes: DataFrame, rules=RULES, rounds: int = ROUNDS) -> tuple[float, lis
     return m["prior"], list(m["good"]), list(m["bad"])
 
 
-SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts")
+SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts", "n_short")
 
 
 def judge(docs: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
@@ -187,7 +190,8 @@ WITH RECURSIVE base AS (
   SELECT d.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(text) - length(translate(text, '{SYMBOLS}', '')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
     coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
-    (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')))::BIGINT AS n_capitals, (length(text) - length(translate(text, '!?', '')))::BIGINT AS n_shouts
+    (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')))::BIGINT AS n_capitals, (length(text) - length(translate(text, '!?', '')))::BIGINT AS n_shouts,
+    len(list_filter(words, lambda x: length(x) <= {SHORT}))::BIGINT AS n_short
   FROM worded d LEFT JOIN covered c USING (doc_id)
 ), voted AS (SELECT *, {votes} FROM s
 ), patterns AS (SELECT {vs}, count(*)::DOUBLE AS n FROM voted GROUP BY ALL

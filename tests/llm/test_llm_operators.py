@@ -310,10 +310,20 @@ def test_quality_rules(spark, corpus, empty):
         inside = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
         lines = [x for x in t.split("\n") if x.strip(" \t\r\x0b\x0c")]
         assert (q.n_words, q.n_repeat_words, q.n_dup_lines) == (len(w), len(inside), len(lines) - len(set(lines)))
-        assert q.n_symbols == sum(c in "#*$%&|<>" for c in t) and q.word_chars == sum(map(len, w)) if r.text is None or not r.text.isascii() else True
+        own = re.findall("[^\x20\x09-\x0d]+", t)
+        assert q.n_symbols == sum(c in "#*$%&|<>" for c in t) and q.word_chars == sum(map(len, own)) and q.n_short == sum(len(x) <= 3 for x in own)
         assert q.base_failed == (len(w) < 20 or 100 * len(inside) > 30 * len(w)) and (not q.kept or not q.base_failed)
 
 
+def test_quality_rules_have_no_vote_twice(spark, corpus):
+    """No two rules vote alike by their arithmetic: each pair of rules disagrees on some text."""
+    texts = ["a b c " * 20, "### " * 30, "word " * 9 + "#$% " * 9, "Hello! " * 40, "HELLO WORLD " * 30, "abcdefghijklmnopqrst " * 30, "of an in at by longer " * 20, "\n".join(["same line of text here"] * 9), " ".join(f"word{i} of | it" for i in range(30)), "one two", ""]
+    docs = corpus.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    votes = [tuple(r.quality.votes) for r in quality_rules.judge(docs).collect()]
+    columns = list(zip(*votes, strict=True))
+    assert len(set(columns)) == len(quality_rules.RULES)
+
+
 def test_quality_rules_learn_which_rule_is_poor(spark):
     """Planted kinds of bad documents that two rules see each, and a rule that votes against one document in ten at random."""
     rng = np.random.default_rng(4)
