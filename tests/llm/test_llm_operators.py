@@ -77,6 +77,43 @@ def test_quality_classifier(spark, corpus, empty):
     assert {r.quality_score for r in quality_classifier.classify(docs, none).collect()} == {0.5}
 
 
+def plain_grams(text):
+    """Log counts of word 1- and 2-grams as a unit vector; each ASCII mark is a word."""
+    own = re.findall(r"[!-/:-@\[-`{-~]|[^\x20\x09-\x0d!-/:-@\[-`{-~]+", text or "")
+    count = Counter([(w,) for w in own] + list(zip(own, own[1:])))
+    norm = math.sqrt(sum(math.log1p(n) ** 2 for n in count.values()))
+    return {g: math.log1p(n) / norm for g, n in count.items()}
+
+
+def test_quality_classifier_against_plain_updates(spark):
+    rng = np.random.default_rng(8)
+    vocab = ["good", "plain", "words", "junk", "***", "buy!!", "now", "été", "x,y", "read"]
+    rows = [(i, " ".join(rng.choice(vocab[i % 2 * 3 :], size=rng.integers(0, 12)))) for i in range(150)] + [(150, None), (151, ""), (None, "good")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 152)], "doc_id bigint, quality int")
+    order = [r.doc_id for r in docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    texts = dict(rows)
+    alpha, beta, l1, l2 = (getattr(quality_classifier, n) for n in ("ALPHA", "BETA", "L1", "L2"))
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    def chance(x):
+        return 1 / (1 + math.exp(-sum(weight(k) * v for k, v in x.items())))
+
+    for _ in range(quality_classifier.EPOCHS):
+        for doc_id in order:
+            x = plain_grams(texts[doc_id]) | {"bias": 1.0}
+            p, held = chance(x), {k: weight(k) for k in x}
+            for k, v in x.items():
+                g = (p - doc_id % 2) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * held[k]
+                n[k] += g * g
+    got = quality_classifier.classify(docs, quality_classifier.train(docs, labels)).collect()
+    assert len(got) == len(rows) and max(abs(r.quality_score - chance(plain_grams(r.text) | {"bias": 1.0})) for r in got) < 1e-4
+
+
 def test_mixing(spark, corpus, empty):
     got = mixing.with_copies(corpus).collect()
     assert len(got) == corpus.count() and mixing.with_copies(empty).count() == 0
