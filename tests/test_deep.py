@@ -1,5 +1,6 @@
 """Whole mechanisms against plain versions: overlapping chunks, page text, chunks with context, fetch rounds, trees, seeds, streams, identity."""
 
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -7,9 +8,10 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from kgloom.functions import urls
-from kgloom.operators import documents, fetching, overlap, seeds, trees
+from kgloom.functions import text, urls
+from kgloom.operators import applying, documents, fetching, identity, overlap, resolution, seeds, trees
 from kgloom.plans import ontology
+from kgloom.sources import paged
 from kgloom.streaming import sources
 
 ENTITY, FACT = "source_id bigint, ref string, n int, class_type string, chunk int", "source_id bigint, fact_ord int, ref string, predicate string, value string, locators array<string>"
@@ -321,3 +323,63 @@ def test_changes_are_counted_across_batches(spark):
 ])
 def test_link_labels(spark, url, label):
     assert spark.createDataFrame([(url,)], "u string").select(urls.label(F.col("u")).alias("l")).first().l == label
+
+
+def test_title_pairs_against_every_pair(spark):
+    words = ["red", "blue", "shop", "2", "3", "쇼핑", "redshop", "shops", "app"]
+    r = random.Random(6)
+    titles = [" ".join(r.choices(words, k=r.randint(1, 4))) for _ in range(70)] + ["Red Shop", "RED  shop", "", "!!"]
+    items = spark.createDataFrame([(1, f"i{n:02}", t) for n, t in enumerate(titles)], "g int, id string, title string")
+    got = resolution.similar_title_pairs(items, ["g"], "id", "title").collect()
+    head = {x.b: x.a for x in got if x.equal}
+    near = {frozenset((x.a, x.b)) for x in got if not x.equal}
+    fold = lambda c: text.nfkc_fold(F.col(c))
+    pairs = items.select(F.col("id").alias("a"), F.col("title").alias("ta")).join(items.select(F.col("id").alias("b"), F.col("title").alias("tb")), F.col("a") < F.col("b"))
+    for x in pairs.select("a", "b", text.similar_title(fold("ta"), fold("tb")).alias("alike")).collect():
+        a, b = head.get(x.a, x.a), head.get(x.b, x.b)
+        assert x.alike == ((a == b) or frozenset((a, b)) in near), x
+    assert len(near) > 20 and len(head) > 3
+
+
+def test_whole_sources_are_applied_or_left(spark):
+    frame = spark.createDataFrame
+    h = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    texts = {1: "Shop\nGo", 2: "Shop two", 3: "gone", 4: "old"}
+    docs = frame([(7, f"s{i}", i, h(t) if i == 4 else None, ontology.VERSION if i == 4 else None, t) for i, t in texts.items()], "graph_id bigint, source_key string, source_id bigint, processed_hash string, processed_ontology string, text string")
+    snaps = frame([(7, f"s{i}", h(t) if i != 3 else None, "success" if i != 3 else "error") for i, t in texts.items()], "graph_id bigint, source_key string, content_hash string, fetch_status string")
+    lines = frame([(i, "l0", t.split("\n")[0]) for i, t in texts.items()] + [(1, "l1", "Go"), (2, "l1", "not in the text")], "source_id bigint, locator string, snippet string")
+    entities = frame([(1, "e1", "Work", 10), (1, "e2", "Skill", 11), (2, "e1", "Work", 20), (3, "e1", "Work", 30)], "source_id bigint, ref string, class_type string, ord bigint")
+    fact = lambda s, ref, n, c, p, v, claim: (s, ref, n, c, p, v, 0.9, claim)
+    facts = frame(
+        [fact(1, "e1", 1, "Work", "title", "Shop", "a"), fact(1, "e1", 2, "Work", "kind", "project", "a"), fact(1, "e1", 3, "Work", "kind", "publication", "b"), fact(1, "e2", 4, "Skill", "name", "Go", "b"), fact(2, "e1", 5, "Work", "title", "shop", "a"), fact(2, "e1", 6, "Work", "role", "lead", "b"), fact(3, "e1", 7, "Work", "title", "x", "a")],
+        "source_id bigint, ref string, ord bigint, class_type string, predicate string, value_str string, confidence double, claim string",
+    )
+    relations = frame([(1, 1, "e1", "usesSkill", "e2", 0.9, "b")], "source_id bigint, ord bigint, subject_ref string, predicate string, object_ref string, confidence double, claim string")
+    claims = frame([(i, c, "l0" if c == "a" else "l1") for i in texts for c in "ab"], "source_id bigint, claim string, locator string")
+    graph = frame([(7, "P", "Person", "active")], "graph_id bigint, entity_id string, class_type string, status string")
+    held = frame([], "graph_id bigint, fact_id string, entity_id string, predicate string, value_str string, status string, provenance string, blocks boolean")
+    edges = frame([], "graph_id bigint, subject_id string, predicate string, object_id string, status string, blocks boolean")
+    keys = frame([], "graph_id bigint, entity_id string, key_type string, key_value string, is_strong boolean")
+    stored = {"pool": identity.resolution_pool(graph, held, edges, keys), "facts": held, "relations": edges, "stale_facts": held.select("graph_id", "entity_id", "predicate"), "stale_relations": edges.select("graph_id", "subject_id", "predicate")}
+    out = applying.apply_whole(frame([(7, 3)], "graph_id bigint, version bigint"), docs, snaps, {"entities": entities, "facts": facts, "relations": relations, "claims": claims}, lines, stored)
+    # both sources name one work; a conflict stays undecided, and what no line says is left out
+    assert {(r.entity_id, r.predicate, r.value_str, r.decision) for r in out["facts"].collect()} == {
+        ("1:e1", "title", "Shop", "active"), ("1:e1", "title", "shop", "active"), ("1:e1", "kind", "project", "candidate"), ("1:e1", "kind", "publication", "candidate"), ("1:e2", "name", "Go", "active"),
+    }
+    assert {tuple(r) for r in out["relations"].collect()} == {(7, "P", "participatedIn", "1:e1", "active"), (7, "1:e1", "usesSkill", "1:e2", "active")}
+    assert {(r.source_key, r.processed_hash) for r in out["documents"].collect()} == {("s1", h(texts[1])), ("s2", h(texts[2])), ("s3", None), ("s4", h(texts[4]))}
+    assert [tuple(r) for r in out["graphs"].collect()] == [(7, 5)]
+    assert sorted(tuple(r) for r in out["issues"].collect()) == [(1, "CONFLICTING_VALUES"), (2, "UNSUPPORTED_EVIDENCE"), (3, "NOT_STORED"), (4, "ALREADY_PROCESSED")]
+
+
+def test_paged_source(spark, tmp_path):
+    items = spark.createDataFrame([(o, n, f'{{"n":{n}}}') for o in ("a", "b") for n in range(5)], "owner string, ord int, item string")
+    folder = f"file://{tmp_path}/pages"
+    paged.save(items, folder, 2)
+    df = paged.read(spark, folder)
+    assert sorted((r.owner, r.page, r.position, r.item) for r in df.collect()) == [(o, n // 2, n % 2, f'{{"n": {n}}}') for o in ("a", "b") for n in range(5)]
+    one = df.where("owner = 'b'")
+    assert one.count() == 5 and one.rdd.getNumPartitions() == 1
+    (tmp_path / "pages" / "owner=a" / "page=1").rename(tmp_path / "pages" / "owner=a" / "page=9")
+    with pytest.raises(Exception, match="page=1"):
+        df.collect()
