@@ -10,7 +10,7 @@ from kgloom.functions import urls
 from kgloom.operators import applying, content, documents, fetching, graph_store, identity, overlap, seeds, trees, validation
 from kgloom.plans.queries import _CHECKED, _MERGED, _REL_CHECKED, query
 from kgloom.plans.staging import shared_dir
-from kgloom.sources import paged, repositories
+from kgloom.sources import paged, pieces, repositories
 from kgloom.streaming import sources
 
 # Overlapping chunks: line items of an order are entities of one source, named by their part's type, cited by where they stand
@@ -428,3 +428,23 @@ def applied_marks(k):
  UNION ALL SELECT 'UNSUPPORTED_EVIDENCE' FROM ok JOIN n USING (doc_id) WHERE n < 2 UNION ALL SELECT 'UNSUPPORTED_EVIDENCE' FROM ok JOIN n USING (doc_id) WHERE n < 3) GROUP BY code""")
 def applied_issues(k):
     return _applied_whole(k)["issues"].groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Pieces of files: suppliers as styles based on each other, line items as paragraphs and cells
+_STYLES = """SELECT s_nationkey % 5 AS file, s_suppkey AS style, CASE WHEN s_acctbal > 0 THEN lag(s_suppkey) OVER (PARTITION BY s_nationkey % 5 ORDER BY s_suppkey) ELSE lead(s_suppkey) OVER (PARTITION BY s_nationkey % 5 ORDER BY s_suppkey) END AS based_on, CASE WHEN s_acctbal > 8000 THEN s_acctbal END AS left_indent, CASE WHEN s_acctbal < 500 THEN s_acctbal END AS space_before,
+  CASE WHEN s_acctbal BETWEEN 3000 AND 4500 THEN s_acctbal END AS space_after, CASE WHEN s_acctbal > 9000 THEN true WHEN s_acctbal < 1000 THEN false END AS keep_with_next FROM supplier"""
+_PARAGRAPHS = """SELECT s_nationkey % 5 AS file, l_orderkey, l_linenumber, l_partkey, l_suppkey AS style, CASE WHEN l_discount > 0.07 THEN l_quantity END AS left_indent, CASE WHEN l_tax > 0.06 THEN l_quantity END AS space_before, CAST(NULL AS DOUBLE) AS space_after, CASE WHEN l_linestatus = 'F' AND l_tax > 0.04 THEN true END AS keep_with_next FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"""
+
+
+@query(f"""WITH RECURSIVE s AS ({_STYLES}), c(file, style, above, path, left_indent, space_before, space_after, keep_with_next) AS (SELECT file, style, based_on, [style], left_indent, space_before, space_after, keep_with_next FROM s
+  UNION ALL SELECT c.file, c.style, s.based_on, list_append(c.path, s.style), coalesce(c.left_indent, s.left_indent), coalesce(c.space_before, s.space_before), coalesce(c.space_after, s.space_after), coalesce(c.keep_with_next, s.keep_with_next) FROM c JOIN s ON s.file = c.file AND s.style = c.above AND NOT list_contains(c.path, s.style)),
+ f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY file, style ORDER BY len(path) DESC) = 1)
+ SELECT l_orderkey, l_linenumber, l_partkey, p.style, coalesce(p.left_indent, f.left_indent) AS left_indent, coalesce(p.space_before, f.space_before) AS space_before, coalesce(p.space_after, f.space_after) AS space_after, coalesce(p.keep_with_next, f.keep_with_next) AS keep_with_next FROM ({_PARAGRAPHS}) p JOIN f USING (file, style)""")
+def paragraph_settings(k):
+    return pieces.inherited_settings(k.sql(_PARAGRAPHS), k.sql(_STYLES), ["file"]).drop("file")
+
+
+@query("""SELECT l_orderkey, l_linenumber AS "row", string_agg(p_name, ' | ' ORDER BY position, l_suppkey) AS text FROM (SELECT l_orderkey, l_linenumber, l_suppkey, min(l_extendedprice) AS position, arg_min(CASE WHEN p_size > 45 THEN '' ELSE p_name END, (l_extendedprice, CASE WHEN p_size > 45 THEN '' ELSE p_name END)) AS p_name FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL) WHERE p_name <> '' GROUP BY ALL""")
+def table_lines(k):
+    cells = k.lineitem.join(k.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.col("l_linenumber").alias("row"), F.col("l_extendedprice").alias("position"), F.col("l_suppkey").alias("cell"), F.when(F.col("p_size") > 45, "").otherwise(F.col("p_name")).alias("text"))
+    return pieces.table_lines(cells, ["l_orderkey"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kgloom.functions import text, urls
 from kgloom.operators import applying, documents, fetching, identity, overlap, resolution, seeds, trees
 from kgloom.plans import ontology
-from kgloom.sources import paged
+from kgloom.sources import paged, pieces
 from kgloom.streaming import sources
 
 ENTITY, FACT = "source_id bigint, ref string, n int, class_type string, chunk int", "source_id bigint, fact_ord int, ref string, predicate string, value string, locators array<string>"
@@ -383,3 +383,19 @@ def test_paged_source(spark, tmp_path):
     (tmp_path / "pages" / "owner=a" / "page=1").rename(tmp_path / "pages" / "owner=a" / "page=9")
     with pytest.raises(Exception, match="page=1"):
         df.collect()
+
+
+def test_pieces_of_files(spark):
+    runs = "array<struct<text:string,url:string>>"
+    rows = [([("See ", None), ("the  site", "https://a.example"), ("\tend", None)],), ([("https://a.example/x", "https://a.example")],), ([(" ", "http://b")],), ([("mail", "mailto:a@b")],), ([],)]
+    got = [r.t for r in spark.createDataFrame(rows, f"r {runs}").select(pieces.run_text(F.col("r")).alias("t")).collect()]
+    assert got == ["See the site (https://a.example) end", "https://a.example/x", "http://b", "mail", ""]
+    cells = spark.createDataFrame([(1, 0, 0, "c1", "same"), (1, 0, 1, "c1", "same"), (1, 0, 2, "c2", "same"), (1, 0, 3, "c3", ""), (1, 1, 0, "c4", "")], "t int, row int, position int, cell string, text string")
+    assert [tuple(r) for r in pieces.table_lines(cells, ["t"]).collect()] == [(1, 0, "same | same")]
+    none = (None, None, None, None)
+    styles = spark.createDataFrame([(1, "a", "b", 1.0, None, None, None), (1, "b", "c", 9.0, 2.0, None, None), (1, "c", "a", None, None, 3.0, None), (1, "d", None, *none), (1, "e", "gone", None, 5.0, None, True)], "f int, style string, based_on string, left_indent double, space_before double, space_after double, keep_with_next boolean")
+    paragraphs = spark.createDataFrame([(1, 0, "a", *none), (1, 1, "a", 7.0, None, None, False), (1, 2, "d", *none), (1, 3, None, *none), (1, 4, "e", *none)], "f int, o int, style string, left_indent double, space_before double, space_after double, keep_with_next boolean")
+    got = {r.o: (r.left_indent, r.space_before, r.space_after, r.keep_with_next) for r in pieces.inherited_settings(paragraphs, styles, ["f"]).collect()}
+    assert got == {0: (1.0, 2.0, 3.0, None), 1: (7.0, 2.0, 3.0, False), 2: none, 3: none, 4: (None, 5.0, None, True)}
+    with pytest.raises(RuntimeError):
+        pieces.inherited_settings(paragraphs, styles, ["f"], most=1)
