@@ -281,7 +281,7 @@ def item_starts(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
     no boundary, large letters need a larger gap, and a line further left a smaller one.
     """
     w = Window.partitionBy(*keys).orderBy(order)
-    paged = "page" in lines.columns
+    paged = {"page", "indent", "size"} <= set(lines.columns)
     before = F.lag(F.struct("heading_level", "table", "keep_with_next", *(["page", "indent"] if paged else []))).over(w)
     df = lines.withColumn("_before", before)
     b = F.col("_before")
