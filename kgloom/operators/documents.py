@@ -204,19 +204,23 @@ def file_chunks(lines: DataFrame, source: str, order: str, most: int = CHUNK, be
     body = body.withColumn("_part", F.floor((F.col("_pos") - F.col("_start.p")) / most))
     parts = body.groupBy(source, "_item", "_part").agg(F.count(F.lit(1)).alias("_n"))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_item", "_part"])
-        chunk, used, out = 0, 0, []
-        for n in pdf["_n"]:
-            if used and used + n > most:
-                chunk, used = chunk + 1, 0
-            used += n
-            out.append(chunk)
-        return pdf.assign(chunk=out)
-
-    kind = T.StructType([*parts.schema.fields, T.StructField("chunk", T.IntegerType())])
-    # a row for each part of an item, not for each line
-    packed = parts.groupBy(source).applyInPandas(pack, kind).drop("_n")
+    # a row for each file, with the parts of its items, not its lines
+    listed = parts.groupBy(source).agg(F.sort_array(F.collect_list(F.struct("_item", "_part", "_n"))).alias("parts"))
+
+    def pack(batches):
+        for pdf in batches:
+            out = []
+            for of, own in zip(pdf[source], pdf["parts"], strict=True):
+                chunk, used = 0, 0
+                for p in own:
+                    if used and used + p["_n"] > most:
+                        chunk, used = chunk + 1, 0
+                    used += p["_n"]
+                    out.append((of, p["_item"], p["_part"], chunk))
+            yield pd.DataFrame(out, columns=[source, "_item", "_part", "chunk"])
+
+    kind = T.StructType([*parts.drop("_n").schema.fields, T.StructField("chunk", T.IntegerType())])
+    packed = listed.mapInPandas(pack, kind)
     body = body.join(packed, [source, "_item", "_part"])
     open_ = [F.last(F.when(F.col("heading_level") == k, F.col(order)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for k in range(1, LEVELS + 1)]
     body = body.withColumn("_open", F.array(*open_))
