@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.functions import dates
+from kgloom.operators.folds import fold_by
 
 
 def works_compatible(kinds: Column, periods: Column) -> Column:
@@ -45,9 +45,9 @@ def timeline_dedupe(items: DataFrame) -> DataFrame:
     def overlap(a, b) -> bool:
         return not ((a["start"] and b["end"] and a["start"] > b["end"]) or (b["start"] and a["end"] and b["start"] > a["end"]))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[dict]) -> list[tuple]:
         out: list[dict] = []
-        for row in pdf.astype(object).where(pdf.notna(), None).sort_values("ordinal").to_dict("records"):
+        for row in rows:
             for have in out:
                 if have["entity_id"] == row["entity_id"] or (have["org"] and have["org"] == row["org"] and have["role"] == row["role"] and overlap(have, row)):
                     best = have if span(have) >= span(row) else row
@@ -55,26 +55,25 @@ def timeline_dedupe(items: DataFrame) -> DataFrame:
                     break
             else:
                 out.append(row)
-        return pd.DataFrame(out, columns=pdf.columns)
+        return [tuple(r.values()) for r in out]
 
-    return items.groupBy("graph_id").applyInPandas(fold, items.schema)
+    return fold_by(items, "graph_id", [F.col("ordinal").asc_nulls_last()], fold, items.schema)
 
 
 def work_dedupe(items: DataFrame) -> DataFrame:
     """Works that are one entity, or of one kind with a common URL, become the first of them, with all URLs. items: graph_id, ordinal, entity_id, kind, urls."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[dict]) -> list[tuple]:
         out: list[dict] = []
-        for row in pdf.sort_values("ordinal").to_dict("records"):
-            row["urls"] = list(row["urls"])
+        for row in rows:
             for have in out:
                 if have["entity_id"] == row["entity_id"] or (have["kind"] == row["kind"] and set(have["urls"]) & set(row["urls"])):
                     have["urls"] = list(dict.fromkeys(have["urls"] + row["urls"]))
                     break
             else:
                 out.append(row)
-        return pd.DataFrame(out, columns=pdf.columns)
+        return [tuple(r.values()) for r in out]
 
-    return items.groupBy("graph_id").applyInPandas(fold, items.schema)
+    return fold_by(items, "graph_id", [F.col("ordinal").asc_nulls_last()], fold, items.schema)
 
 
 def absorb_activities(activities: DataFrame, works: DataFrame, pairs: DataFrame) -> DataFrame:

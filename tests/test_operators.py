@@ -187,3 +187,15 @@ def test_block_text(spark, name):
     df = spark.createDataFrame([([("a", None), ("b", "u")], "header")], "f array<struct<text:string,url:string>>, k string")
     text = blocks.rich_text(F.col("f"))
     assert df.select((text if name == "rich" else blocks.line_of(F.col("k"), text)).alias("o")).first().o == ("ab (u)" if name == "rich" else "# ab (u)")
+
+
+def test_folds_take_many_keys_in_a_batch(spark):
+    """One Python call a batch: no group of pandas a key."""
+    from kgloom.operators import assembly
+    from kgloom.operators.folds import fold_by
+
+    df = spark.range(3000).selectExpr("id % 1000 AS g", "id AS n")
+    out = fold_by(df, "g", ["n"], lambda rows: [(rows[0]["g"], [r["n"] for r in rows])], "g bigint, ns array<bigint>")
+    assert {r.g: r.ns for r in out.collect()} == {g: [g, g + 1000, g + 2000] for g in range(1000)}
+    items = spark.createDataFrame([(1, 1, "a", None, None, None, None)], "graph_id bigint, ordinal int, entity_id string, org string, role string, start string, end string")
+    assert "FlatMapGroupsInPandas" not in assembly.timeline_dedupe(items)._jdf.queryExecution().toString()
