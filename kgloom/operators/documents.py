@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from kgloom.operators.folds import fold_by
+
 LEVELS = 9
 CHUNK, OVERLAP = 30, 5
 
@@ -53,22 +58,20 @@ def chunks(df: DataFrame, source: str, order: str, section: str, most: int = CHU
     """Adds chunk: whole runs of one section are packed greedily into chunks of at most `most` rows; a longer run is split."""
     numbered = runs(df, [source], order, section)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
+    def fold(rows: list[dict]) -> list[tuple]:
         out, chunk, used = [], 0, 0
-        for _, n in pdf.groupby("run", sort=True).size().items():
-            left = n
-            if used and used + left > most:
+        for _, run in groupby(rows, key=lambda r: r["run"]):
+            own = list(run)
+            if used and used + len(own) > most:
                 chunk, used = chunk + 1, 0
-            while left:
-                take = min(left, most - used)
-                out += [chunk] * take
-                used, left = used + take, left - take
-                if left:
+            for row in own:
+                if used == most:
                     chunk, used = chunk + 1, 0
-        return pdf.assign(chunk=out)
+                out.append((*row.values(), chunk))
+                used += 1
+        return out
 
-    return numbered.groupBy(source).applyInPandas(fold, T.StructType([*numbered.schema.fields, T.StructField("chunk", T.IntegerType())]))
+    return fold_by(numbered, source, [order], fold, T.StructType([*numbered.schema.fields, T.StructField("chunk", T.IntegerType())]))
 
 
 def overlap(chunked: DataFrame, source: str, order: str, n: int = OVERLAP) -> DataFrame:
@@ -95,22 +98,23 @@ def merge_wrapped(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
 
     lines: keys, order, text, size, x0, top, bottom, is_heading, links (array). A merged line has the first one's place, the last one's bottom and all links once.
     """
-    schema = lines.schema
+    bullet = re.compile(BULLET)
+
+    def known(value) -> float:
+        return float("nan") if value is None else value
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        bullets = pdf.text.str.match(BULLET)
+    def fold(rows: list[dict]) -> list[tuple]:
         out: list[dict] = []
-        for row, bullet in sorted(zip(pdf.to_dict("records"), bullets, strict=True), key=lambda r: r[0][order]):
-            row["links"] = list(row["links"])
+        for row in rows:
             last = out[-1] if out else None
-            apart = last is None or last["is_heading"] or row["is_heading"] or bullet or row["x0"] <= last["x0"] + INDENT
-            if apart or not 0 <= row["top"] - last["bottom"] < WRAP_GAP * row["size"]:
+            apart = last is None or last["is_heading"] or row["is_heading"] or row["text"] is None or bullet.match(row["text"]) or known(row["x0"]) <= known(last["x0"]) + INDENT
+            if apart or not 0 <= known(row["top"]) - known(last["bottom"]) < WRAP_GAP * known(row["size"]):
                 out.append(row)
             else:
                 last.update(text=f"{last['text']} {row['text']}", bottom=row["bottom"], links=list(dict.fromkeys(last["links"] + row["links"])))
-        return pd.DataFrame(out, columns=pdf.columns)
+        return [tuple(r.values()) for r in out]
 
-    return lines.groupBy(*keys).applyInPandas(fold, schema)
+    return fold_by(lines, keys, [order], fold, lines.schema)
 
 
 #: Height of the stripes of a page in which links meet lines.

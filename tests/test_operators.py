@@ -199,3 +199,12 @@ def test_folds_take_many_keys_in_a_batch(spark):
     assert {r.g: r.ns for r in out.collect()} == {g: [g, g + 1000, g + 2000] for g in range(1000)}
     items = spark.createDataFrame([(1, 1, "a", None, None, None, None)], "graph_id bigint, ordinal int, entity_id string, org string, role string, start string, end string")
     assert "FlatMapGroupsInPandas" not in assembly.timeline_dedupe(items)._jdf.queryExecution().toString()
+
+
+def test_documents_are_folded_a_batch_a_call(spark):
+    from kgloom.operators import documents
+
+    lines = spark.createDataFrame([(1, n, 0 if n < 20 else 1) for n in range(70)], "doc bigint, line bigint, section int")
+    out = documents.chunks(lines, "doc", "line", "section", 30)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    assert [r.chunk for r in out.orderBy("line").collect()] == [0] * 20 + [1] * 30 + [2] * 20
