@@ -28,22 +28,23 @@ def traversable(requested: tuple[str, ...] = ()) -> list[str]:
     return sorted(content | set(ontology.CONTEXT) | ({"Work", "Experience"} if "Skill" in content else set()))
 
 
-def reachable(entities: DataFrame, relations: DataFrame, requested: tuple[str, ...] = (), max_rounds: int = 32) -> DataFrame:
+def reachable(entities: DataFrame, relations: DataFrame, requested: tuple[str, ...] = (), max_rounds: int = 32, store=None) -> DataFrame:
     """(graph_id, entity_id) reachable from Persons along edge direction through allowed classes.
 
     A breadth-first loop: each round joins only the frontier and drops what was
     seen, so cycles end it. Rounds are as many as the longest shortest path,
-    at most three under the ontology's relation pairs.
+    at most three under the ontology's relation pairs. store(df, name) writes a round and reads it back; plain files unless given.
     """
-    from kgloom.plans.staging import stage
+    if store is None:
+        from kgloom.plans.staging import stage as store
 
     allowed = entities.where(F.col("class_type").isin(*traversable(requested))).select("graph_id", F.col("entity_id").alias("object_id"))
-    edges = stage(relations.select("graph_id", "subject_id", "object_id").join(allowed, ["graph_id", "object_id"], "left_semi").distinct(), "edges")
-    frontier = stage(entities.where("class_type = 'Person'").select("graph_id", "entity_id").distinct(), "frontier")
+    edges = store(relations.select("graph_id", "subject_id", "object_id").join(allowed, ["graph_id", "object_id"], "left_semi").distinct(), "edges")
+    frontier = store(entities.where("class_type = 'Person'").select("graph_id", "entity_id").distinct(), "frontier")
     seen = frontier
     for _ in range(max_rounds):
         step = edges.join(frontier.withColumnRenamed("entity_id", "subject_id"), ["graph_id", "subject_id"], "left_semi").select("graph_id", F.col("object_id").alias("entity_id")).distinct()
-        frontier = stage(step.join(seen, ["graph_id", "entity_id"], "left_anti"), "frontier")
+        frontier = store(step.join(seen, ["graph_id", "entity_id"], "left_anti"), "frontier")
         if frontier.isEmpty():
             return seen
         seen = seen.union(frontier)
