@@ -86,3 +86,25 @@ def test_frames_meet_without_a_shuffle(spark):
             assert "Exchange hashpartitioning" not in plan, name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_loops_stay_in_buckets(spark):
+    """What reachable() and canonical_trees() write is read back in buckets of graph_id, so its groups and joins need no shuffle."""
+    from kgloom.operators import graph
+    from kgloom.plans.adapter import Frames
+
+    k = Frames(spark, SF)
+    seen = graph.reachable(k.entities, k.relations, store=k.by_graph)
+    met = seen.distinct().join(k.facts, ["graph_id", "entity_id"])
+    assert "hashpartitioning" not in met._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in seen.collect()} == {tuple(r) for r in graph.reachable(k.entities, k.relations).collect()}
+
+
+def test_careers_stay_in_buckets(spark):
+    """Facts and relations of all careers are grouped and joined by graph without a shuffle, though they are unions."""
+    from kgloom.plans.adapter import Frames
+    from kgloom.plans.queries_deep import _career
+
+    entities, facts, relations, _ = _career(Frames(spark, SF))
+    named = facts.groupBy("graph_id", "entity_id").count().join(relations.withColumnRenamed("object_id", "entity_id"), ["graph_id", "entity_id"]).join(entities, ["graph_id", "entity_id"])
+    assert "hashpartitioning" not in named._jdf.queryExecution().executedPlan().toString()
