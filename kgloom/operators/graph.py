@@ -47,7 +47,7 @@ def reachable(entities: DataFrame, relations: DataFrame, requested: tuple[str, .
         frontier = store(step.join(seen, ["graph_id", "entity_id"], "left_anti"), "frontier")
         if frontier.isEmpty():
             return seen
-        seen = seen.union(frontier)
+        seen = store(seen.union(frontier), "seen")
     raise RuntimeError(f"paths are longer than {max_rounds}")
 
 
