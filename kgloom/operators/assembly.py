@@ -85,11 +85,12 @@ def absorb_activities(activities: DataFrame, works: DataFrame, pairs: DataFrame)
 
     best = named(works).groupBy("graph_id", F.col("rep").alias("like")).agg(F.min(F.struct("ordinal", "entity_id")).alias("best"))
     near = pairs.where("NOT equal")
-    near = near.select("graph_id", F.col("a").alias("rep"), F.col("b").alias("like")).union(near.select("graph_id", "b", "a"))
-    own = named(activities)
-    reps = own.select("graph_id", "rep").distinct()
-    first = reps.withColumn("like", F.col("rep")).union(near.join(reps, ["graph_id", "rep"], "left_semi").select("graph_id", "rep", "like")).join(best, ["graph_id", "like"]).groupBy("graph_id", "rep").agg(F.min("best").alias("best"))
-    return own.join(first, ["graph_id", "rep"], "left").withColumn("absorbed_by", F.col("best.entity_id")).drop("rep", "best")
+    # one join for each way to be alike: a union would lose the buckets
+    out = named(activities).join(best.select("graph_id", F.col("like").alias("rep"), F.col("best").alias("_own")), ["graph_id", "rep"], "left")
+    for end, other in ("ab", "ba"):
+        first = near.select("graph_id", F.col(end).alias("rep"), F.col(other).alias("like")).join(best, ["graph_id", "like"]).groupBy("graph_id", "rep").agg(F.min("best").alias(f"_{end}"))
+        out = out.join(first, ["graph_id", "rep"], "left")
+    return out.withColumn("absorbed_by", F.least("_own", "_a", "_b")["entity_id"]).drop("rep", "_own", "_a", "_b")
 
 
 def merge_chunk_results(results: DataFrame) -> DataFrame:

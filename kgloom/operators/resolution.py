@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,26 +26,27 @@ def strong_keys(facts: DataFrame) -> DataFrame:
     return facts.where(kind.isNotNull() & urls.is_http_url(F.col("value_str"))).select("graph_id", "entity_id", kind.alias("key_type"), F.col("value_str").alias("key_value"))
 
 
-def similar_title_pairs(items: DataFrame, keys: list[str], ident: str, title: str) -> DataFrame:
+def similar_title_pairs(items: DataFrame, keys: list[str], ident: str, title: str, store: Callable[[DataFrame, str], DataFrame] = stage) -> DataFrame:
     """(keys, a, b, equal): under the same keys, each item with the smallest one of its title (equal), and these with each other where
     their titles are alike. Titles without letters or digits are like nothing.
 
     Two items are alike if their titles' smallest items are, so groups of equal titles make no pairs among themselves. Two alike
-    titles share a word, so titles meet on words only.
+    titles share a word, so titles meet on words only. store keeps what is read several times; with buckets of one of the keys all steps stay within a bucket.
     """
-    folded = items.select(*keys, ident, text.nfkc_fold(F.col(title)).alias("_f")).withColumn("_p", text.title_parts(F.col("_f"))).where(F.size("_p.words") > 0)
-    first = Window.partitionBy(*keys, "_f")
-    named = stage(folded.withColumn("_rep", F.min(ident).over(first)), "titles")
-    same = named.where(F.col(ident) != F.col("_rep")).select(*keys, F.col("_rep").alias("a"), F.col(ident).alias("b"), F.lit(True).alias("equal"))
-    heads = named.where(F.col(ident) == F.col("_rep"))
-    words = heads.select(*keys, ident, F.explode("_p.words").alias("_w"))
-    met = words.withColumnRenamed(ident, "a").join(words.withColumnRenamed(ident, "b"), [*keys, "_w"]).where("a < b").select(*keys, "a", "b").distinct()
+    # what Python makes is stored before anything meets: Spark doesn't know that it stays where it was
+    folded = store(items.select(*keys, ident, text.nfkc_fold(F.col(title)).alias("_f")), "titles")
+    firsts = folded.groupBy(*keys, "_f").agg(F.min(ident).alias("_rep")).withColumn("_p", text.title_parts(F.col("_f"))).where(F.size("_p.words") > 0)
+    firsts = store(firsts, "titles")
+    same = folded.join(firsts.select(*keys, "_f", "_rep"), [*keys, "_f"]).where(F.col(ident) != F.col("_rep")).select(*keys, F.col("_rep").alias("a"), F.col(ident).alias("b"), F.lit(True).alias("equal"))
+    words = firsts.select(*keys, "_rep", F.explode("_p.words").alias("_w"))
+    met = words.withColumnRenamed("_rep", "a").join(words.withColumnRenamed("_rep", "b"), [*keys, "_w"]).where("a < b").select(*keys, "a", "b").distinct()
     for end in "ab":
-        met = met.join(heads.select(*keys, F.col(ident).alias(end), F.col("_p").alias(f"_p{end}")), [*keys, end])
-    judged = stage(met.withColumn("_sure", text.title_verdict(F.col("_pa"), F.col("_pb"))).where("_sure IS NULL OR _sure"), "titles")
+        met = met.join(firsts.select(*keys, F.col("_rep").alias(end), F.col("_p").alias(f"_p{end}")), [*keys, end])
+    judged = met.select(*keys, "a", "b", F.col("_pa.normal").alias("_na"), F.col("_pb.normal").alias("_nb"), text.title_verdict(F.col("_pa"), F.col("_pb")).alias("_sure")).where("coalesce(_sure, true)")
+    judged = store(judged.withColumns({n: F.when(F.col("_sure").isNull(), F.col(n)) for n in ("_na", "_nb")}), "titles")
     # only what words and lengths leave open goes to Python
-    near = judged.where("_sure IS NULL").where(text.near_spelling(F.col("_pa.normal"), F.col("_pb.normal")))
-    alike = judged.where("_sure").select(*keys, "a", "b").union(near.select(*keys, "a", "b"))
+    near = judged.where("_sure IS NULL").where(text.near_spelling(F.col("_na"), F.col("_nb")))
+    alike = store(judged.where("_sure").union(near).select(*keys, "a", "b"), "titles")
     return same.union(alike.withColumn("equal", F.lit(False)))
 
 

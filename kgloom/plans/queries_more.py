@@ -226,7 +226,7 @@ def work_dedupe(k):
 @query()
 def activity_absorption(k):
     titles = k.facts.where("predicate = 'name' AND entity_id LIKE 'S:%'").select("graph_id", "entity_id", "value_str", F.col("updated").alias("ordinal"))
-    pairs = resolution.similar_title_pairs(titles, ["graph_id"], "entity_id", "value_str")
+    pairs = resolution.similar_title_pairs(titles, ["graph_id"], "entity_id", "value_str", k.by_graph)
     return assembly.absorb_activities(titles.where("ordinal % 2 = 0"), titles.where("ordinal % 2 = 1"), pairs).select("graph_id", "entity_id", "absorbed_by")
 
 
