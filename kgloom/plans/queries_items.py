@@ -165,7 +165,7 @@ def entity_resolution(k):
     pool = identity.resolution_pool(k.entities, k.facts, k.relations, k.entity_keys)
     stored = F.crc32(F.col("id").cast("binary")) % 2 == 0
     rows = pool.select("graph_id", "id", "class_type", F.crc32(F.col("id").cast("binary")).alias("ord"), stored.alias("stored"), F.lit(None).cast("string").alias("forced_id"), "facts", "keys", "orgs")
-    return identity.resolve_entities(rows)
+    return identity.resolve_entities(rows, store=k.by_graph)
 
 
 @query("SELECT s_suppkey, regexp_replace(lower(s_name), '[^a-z0-9_]+', '', 'g') AS key FROM supplier")

@@ -108,3 +108,18 @@ def test_careers_stay_in_buckets(spark):
     entities, facts, relations, _ = _career(Frames(spark, SF))
     named = facts.groupBy("graph_id", "entity_id").count().join(relations.withColumnRenamed("object_id", "entity_id"), ["graph_id", "entity_id"]).join(entities, ["graph_id", "entity_id"])
     assert "hashpartitioning" not in named._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_titles_and_pools_stay_in_buckets(spark):
+    """Title pairs are stored and met in buckets of graph_id, and stored keys are read from there."""
+    import __spark_entry__ as e
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("activity_absorption", "resolution_pool"):
+            plan = e.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning" not in plan, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

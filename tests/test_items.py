@@ -115,3 +115,13 @@ def test_one_source_is_applied_as_a_whole(spark):
     # the skill has no name, so the edge to it goes as well
     assert {(r.subject_ref, r.predicate, r.object_ref, r.confidence) for r in out["relations"].collect()} == {("w", "atOrganization", "o", 0.95)}
     assert sorted(r.code for r in out["issues"].collect()) == ["CONFLICTING_VALUES", "INVALID_PROPERTY", "INVALID_RELATION_DIRECTION", "MISSING_IDENTITY", "UNSUPPORTED_EVIDENCE"]
+
+
+def test_stored_titles_meet_only_where_a_candidate_asks(spark):
+    """Titles of classes without a candidate in the graph make no pairs."""
+    row = lambda g, i, c, stored, p, v: (g, i, c, 0, stored, None, [(p, v)], [], [])
+    rows = [row(1, "O1", "Organization", True, "name", "Acme Lab"), row(1, "O2", "Organization", True, "name", "acme lab"), row(1, "W1", "Work", True, "title", "Red Shop"), row(1, "w", "Work", False, "title", "red shop"), row(2, "W2", "Work", True, "title", "Red Shop")]
+    entities = spark.createDataFrame(rows, ENTITY)
+    pairs = identity._alike_titles(identity.comparable(entities), entities).collect()
+    assert {(r.graph_id, r.class_type) for r in pairs} == {(1, "Work")}
+    assert {(r.a, r.b) for r in pairs} == {(x, y) for x in ("Red Shop", "red shop") for y in ("Red Shop", "red shop")}
