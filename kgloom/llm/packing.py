@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, tidy
+from .common import small_batches, table, tidy
 from .textcols import mix64, text_chunks, tokens
 
 LENGTH = 1024
@@ -399,6 +399,7 @@ def pack(docs: DataFrame, stats: Statistics | None = None, length: int = LENGTH,
     only where its shard has nothing else left. Sequence numbers hold the
     task's partition in their upper bits.
     """
+    small_batches(docs.sparkSession)
     stats = stats or statistics(docs)
     shared = docs.sparkSession.sparkContext.broadcast(stats)
     id_type = docs.schema["doc_id"].dataType.simpleString()

@@ -4,8 +4,12 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
+from kgloom.llm import packing
+from kgloom.llm.common import BATCH_BYTES
+
 
 @pytest.fixture(scope="module")
 def sf_dir(tmp_path_factory, spark, corpus):
@@ -44,3 +48,17 @@ def test_short_lines_are_deduplicated_too(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t) if t else None) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
     assert got == {0: texts[0], 1: "new\none two three\n", 2: texts[2], 3: "", 4: None}
+
+
+def test_arrow_batches_are_bounded_in_bytes(spark, sf_dir):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    texts = spark.range(64).coalesce(1).selectExpr("id AS doc_id", "repeat('some words ', 20000) AS text", "'s' AS source")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for step in (lambda: packing.pack(texts.limit(1)), lambda: corpus_pipeline.classify(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)):
+        spark.conf.unset(name)
+        step()
+        seen = [r.n for r in texts.mapInArrow(sizes, "n bigint").collect()]
+        assert sum(seen) > 64 * 220_000 and max(seen) <= BATCH_BYTES + 300_000
