@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.functions import dates
+from kgloom.functions import dates, titles
 from kgloom.operators.folds import fold_by
 
 
@@ -93,6 +93,29 @@ def absorb_activities(activities: DataFrame, works: DataFrame, pairs: DataFrame)
     return out.withColumn("absorbed_by", F.least("_own", "_a", "_b")["entity_id"]).drop("rep", "_own", "_a", "_b")
 
 
+def absorb_by_title(items: DataFrame) -> DataFrame:
+    """(graph_id, entity_id, absorbed_by) of items (graph_id, entity_id, title, ordinal, is_work) that are no works: absorb_activities() by their titles, in one pass."""
+    def place(r: dict) -> tuple:
+        return (r["ordinal"] is not None, r["ordinal"], r["entity_id"])
+
+    def fold(rows: list[dict]) -> list[tuple]:
+        heads, near = titles.met((r["entity_id"], r["title"]) for r in rows)
+        best: dict = {}
+        for r in rows:
+            if r["is_work"]:
+                head = heads.get(r["entity_id"], r["entity_id"])
+                best[head] = min(best.get(head, place(r)), place(r))
+        out = []
+        for r in rows:
+            if not r["is_work"]:
+                head = heads.get(r["entity_id"], r["entity_id"])
+                found = [best[h] for h in (head, *near.get(head, ())) if h in best]
+                out.append((r["graph_id"], r["entity_id"], min(found)[2] if found else None))
+        return out
+
+    return fold_by(items, "graph_id", ["entity_id"], fold, "graph_id bigint, entity_id string, absorbed_by string")
+
+
 def merge_chunk_results(results: DataFrame) -> DataFrame:
     """results: source_id, chunk, refs (array of e1, e2, ...). Renumbers references so that chunks follow each other; one failed chunk fails its source."""
     from kgloom.operators.documents import ref_offsets

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgloom.functions import dates, text, urls
-from kgloom.operators import assembly, content, graph, graph_store, resolution
+from kgloom.operators import assembly, content, graph, graph_store
 from kgloom.plans import ontology
-from kgloom.plans.queries import query
+from kgloom.plans.queries import named_skills, query
 from kgloom.sources import blocks
 
 
@@ -225,9 +225,7 @@ def work_dedupe(k):
 
 @query()
 def activity_absorption(k):
-    titles = k.facts.where("predicate = 'name' AND entity_id LIKE 'S:%'").select("graph_id", "entity_id", "value_str", F.col("updated").alias("ordinal"))
-    pairs = resolution.similar_title_pairs(titles, ["graph_id"], "entity_id", "value_str", k.by_graph)
-    return assembly.absorb_activities(titles.where("ordinal % 2 = 0"), titles.where("ordinal % 2 = 1"), pairs).select("graph_id", "entity_id", "absorbed_by")
+    return assembly.absorb_by_title(named_skills(k).select("graph_id", F.col("id").alias("entity_id"), "title", F.col("n").alias("ordinal"), (F.col("n") % 2 == 1).alias("is_work")))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority || ' | ' || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderstatus END END AS row FROM orders")
