@@ -125,3 +125,23 @@ def test_stored_titles_meet_only_where_a_candidate_asks(spark):
     pairs = identity._alike_titles(identity.comparable(entities), entities).collect()
     assert {(r.graph_id, r.class_type) for r in pairs} == {(1, "Work")}
     assert {(r.a, r.b) for r in pairs} == {(x, y) for x in ("Red Shop", "red shop") for y in ("Red Shop", "red shop")}
+
+
+def test_held_values_are_comparable(spark):
+    """What a row says of itself is what frames of all rows say of it."""
+    facts = [("name", "Vue 3.2"), ("kind", " Tool"), ("start", "2020-05-01"), ("end", "2021"), ("title", "Red Shop"), ("role", "Lead  Dev"), ("date", None), ("name", None), ("name", "Retrieval Augmented Generation (RAG)")]
+    rows = [(1, f"{c}{n}", c, 0, True, None, facts[n:], [], []) for c in (*identity.RULES, "Person") for n in range(len(facts))] + [(1, "none", "Skill", 0, True, None, None, None, None)]
+    entities = spark.createDataFrame(rows, ENTITY)
+    want = {r.id: {tuple(h) for h in r.held} for r in identity.comparable(entities).collect()}
+    got = {r.id: {tuple(h) for h in r.held or ()} for r in entities.select("id", identity.held_values(F.col("class_type"), F.col("facts")).alias("held")).collect()}
+    assert {i: h for i, h in got.items() if h} == want
+
+
+def test_resolution_is_one_pass(spark):
+    """Pairs of titles are neither stored nor joined, and entities meet by what they share, not all with all."""
+    rows = [(1, f"O{i}", "Organization", i, i % 2 == 0, None, [("name", f"Supplier {i}")], [], []) for i in range(4000)]
+    rows += [(1, "n", "Organization", 5000, False, None, [("name", "supplier  7")], [], [])]
+    out = identity.resolve_entities(spark.createDataFrame(rows, ENTITY))
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.ref: (r.outcome, r.entity_id) for r in out.collect()}
+    assert len(got) == 2001 and got["n"] == ("new", "O7") and got["O7"] == ("new", "O7")
